@@ -1,2 +1,307 @@
-def op9_media_gif(spark, sf_dir):
-    raise NotImplementedError
+"""Media columns: byte payloads as animated GIFs, decoded to timed frames with colour histograms."""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.llm.common import table
+
+WIDTH, ROWS = 64, 1024
+#: Hundredths of a second that a written frame shows.
+DELAY = 10
+#: Bins of a frame's histogram for each of red, green and blue.
+BINS = 8
+CLEAR, END = 256, 257
+#: Codes after a clear code while all are nine bits wide: the table grows to 512 after 254 of them.
+NINE_BITS = 254
+
+
+def lzw_literals(data: np.ndarray) -> bytes:
+    """A code stream that names each byte itself and clears the table before codes would widen; built without a Python step for each byte."""
+    n = len(data)
+    bits = np.zeros((n + -(-n // NINE_BITS) + 1, 9), np.uint8)
+    own = np.ones(len(bits), bool)
+    own[:: NINE_BITS + 1] = own[-1] = False
+    bits[own, :8] = np.unpackbits(data[:, None], axis=1, bitorder="little")
+    bits[~own, 8] = 1  # CLEAR
+    bits[-1, 0] = 1  # END
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def lzw_shortest(data: bytes) -> bytes:
+    """The usual greedy code stream: smaller, and a Python step for each byte."""
+    codes, widths, table, size, width, n = [CLEAR], [9], {}, 258, 9, 258
+    it = iter(data)
+    w = next(it)
+    for b in it:
+        k = w << 8 | b
+        if k in table:
+            w = table[k]
+            continue
+        codes.append(w)
+        widths.append(width)
+        if n == 4096:
+            codes.append(CLEAR)
+            widths.append(width)
+            table.clear()
+            n, width = size, 9
+        else:
+            table[k] = n
+            n += 1
+            width += n > 1 << width and width < 12
+        w = b
+    codes += [w, END]
+    widths += [width, min(12, width + (n + 1 > 1 << width))]
+    out, acc, held = bytearray(), 0, 0
+    for c, k in zip(codes, widths, strict=True):
+        acc |= c << held
+        held += k
+        while held >= 8:
+            out.append(acc & 255)
+            acc >>= 8
+            held -= 8
+    return bytes(out) + (bytes([acc]) if held else b"")
+
+
+def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
+    """The ``size`` colour indexes of a code stream whose first codes are ``bits`` + 1 wide.
+
+    Streams that only name single bytes, with clear codes before wider ones are due, are decoded at once; all
+    others code by code. Missing pixels are 0, more than ``size`` are an error of the writer and ignored.
+    """
+    if bits == 8:
+        every = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+        codes = every[: len(every) // 9 * 9].reshape(-1, 9)
+        low, high = np.packbits(codes[:, :8], axis=1, bitorder="little").ravel(), codes[:, 8].astype(bool)
+        signs = np.flatnonzero(high)
+        end = signs[low[signs] == END - CLEAR]
+        if len(end):
+            signs = signs[signs < end[0]]
+            if len(signs) and signs[0] == 0 and not low[signs].any() and np.diff(np.append(signs, end[0])).max() <= NINE_BITS + 1:
+                return _fit(low[: end[0]][~high[: end[0]]], size)
+    clear, end = 1 << bits, (1 << bits) + 1
+    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    known, out, made = base[:], [], 0
+    prev, width, acc, held = b"", bits + 1, 0, 0
+    for byte in stream:
+        acc |= byte << held
+        held += 8
+        if held < width:
+            continue
+        code = acc & ((1 << width) - 1)
+        acc >>= width
+        held -= width
+        if code == clear:
+            known, prev, width = base[:], b"", bits + 1
+            continue
+        if code == end or made >= size:
+            break
+        if code < len(known):
+            now = known[code]
+        elif prev and code == len(known):
+            now = prev + prev[:1]
+        else:
+            raise ValueError("GIF: a code that the table doesn't hold")
+        out.append(now)
+        made += len(now)
+        if prev and len(known) < 4096:
+            known.append(prev + now[:1])
+            if len(known) == 1 << width and width < 12:
+                width += 1
+        prev = now
+    return _fit(np.frombuffer(b"".join(out), np.uint8), size)
+
+
+def _fit(a: np.ndarray, size: int) -> np.ndarray:
+    return a[:size] if len(a) >= size else np.concatenate([a, np.zeros(size - len(a), np.uint8)])
+
+
+def _blocks(data: bytes) -> bytes:
+    """Sub-blocks of at most 255 bytes, and the empty one that ends them."""
+    full = len(data) // 255 * 255
+    a = np.frombuffer(data[:full], np.uint8).reshape(-1, 255)
+    out = np.concatenate([np.full((len(a), 1), 255, np.uint8), a], axis=1).tobytes()
+    rest = data[full:]
+    return out + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
+
+
+def encode(payload: bytes, *, shortest: bool = False) -> bytes:
+    """A GIF of grey frames, 64 wide and at most 1024 high, whose samples are the payload's bytes (a positive multiple of 64)."""
+    rows = len(payload) // WIDTH
+    height = min(rows, ROWS)
+    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), grey]
+    out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
+    for at in range(0, rows, ROWS):
+        part = payload[at * WIDTH : (at + ROWS) * WIDTH]
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
+        out.append(_blocks(lzw_shortest(part) if shortest else lzw_literals(np.frombuffer(part, np.uint8))))
+    return b"".join(out) + b"\x3b"
+
+
+def _gather(data: bytes, at: int) -> tuple[bytes, int]:
+    parts = []
+    while n := data[at]:
+        parts.append(data[at + 1 : at + 1 + n])
+        at += 1 + n
+    return b"".join(parts), at + 1
+
+
+def _deinterlaced(a: np.ndarray) -> np.ndarray:
+    order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, len(a), step)]
+    out = np.empty_like(a)
+    out[order] = a
+    return out
+
+
+def frames(data: bytes) -> Iterator[dict]:
+    """Each image of a GIF: the colour indexes as stored, and the canvas (height, width, red-green-blue-alpha) after it is drawn.
+
+    Palettes are the image's own or else the screen's; transparent indexes leave the canvas as it is; disposal
+    2 clears the image's place before the next one, 3 puts back what was there. Images out of the screen are cut.
+    """
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF")
+    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    at, screen = 13, None
+    if flags & 0x80:
+        n = 2 << (flags & 7)
+        screen, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3), at + 3 * n
+    canvas = np.zeros((height, width, 4), np.uint8)
+    clock, disposal, delay, through = 0, 0, 0, None
+    while at < len(data) and data[at] != 0x3B:
+        kind, at = data[at], at + 1
+        if kind == 0x21:
+            label, at = data[at], at + 1
+            body, at = _gather(data, at)
+            if label == 0xF9 and len(body) >= 4:
+                packed, delay, index = struct.unpack_from("<BHB", body)
+                disposal, through = packed >> 2 & 7, index if packed & 1 else None
+        elif kind == 0x2C:
+            x, y, w, h, packed = struct.unpack_from("<HHHHB", data, at)
+            at += 9
+            palette = screen
+            if packed & 0x80:
+                n = 2 << (packed & 7)
+                palette, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3), at + 3 * n
+            if palette is None:
+                raise ValueError("GIF: an image without a palette")
+            bits, at = data[at], at + 1
+            stream, at = _gather(data, at)
+            index = unlzw(stream, bits, w * h).reshape(h, w)
+            if packed & 0x40:
+                index = _deinterlaced(index)
+            shown = index[: max(0, height - y), : max(0, width - x)]
+            place = canvas[y : y + shown.shape[0], x : x + shown.shape[1]]
+            before = place.copy() if disposal == 3 else None
+            colour = np.full((*shown.shape, 4), 255, np.uint8)
+            colour[..., :3] = palette[np.minimum(shown, len(palette) - 1)]
+            if through is None:
+                place[...] = colour
+            else:
+                place[shown != through] = colour[shown != through]
+            yield {"index": index, "canvas": canvas, "drawn": place, "start_ms": clock, "delay_ms": 10 * delay, "disposal": disposal, "x": x, "y": y}
+            clock += 10 * delay
+            if disposal == 2:
+                place[...] = 0
+            elif disposal == 3:
+                place[...] = before
+            disposal, delay, through = 0, 0, None
+        else:
+            raise ValueError("GIF: an unknown block")
+
+
+def histogram(pixels: np.ndarray) -> list[int]:
+    """Counts of opaque pixels in eight equal bins of red, then green, then blue."""
+    flat = pixels.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    return [int(n) for c in range(3) for n in np.bincount(flat[:, c] >> 5, minlength=BINS)]
+
+
+MEDIA = "doc_id long, n_bytes long, media binary"
+
+
+def encode_texts(docs: DataFrame, *, shortest: bool = False) -> DataFrame:
+    """Each row's text (null: empty) in UTF-8, with bytes 0 up to a positive multiple of 64, as a GIF: doc_id, n_bytes, media.
+
+    Rows are independent: repeated rows give equal media, null ids stay null, other columns are not read, an empty
+    table gives an empty one. The payload's own length stands beside the media, as bytes 0 may end a text, too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or b""
+                held.append((doc, len(text), encode(text + b"\0" * (-len(text) % WIDTH if text else WIDTH), shortest=shortest)))
+                size += len(held[-1][2])
+                if size > 16 << 20:
+                    yield _batch(held, MEDIA)
+                    held, size = [], 0
+            if held:
+                yield _batch(held, MEDIA)
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEDIA)
+
+
+ARROW = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, disposal int, samples binary, histogram array<long>"
+
+
+def decode_frames(media: DataFrame) -> DataFrame:
+    """The timed frames of a media column: one row for each image, with its samples and what it drew as a histogram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(doc, k, f["start_ms"], f["delay_ms"], f["disposal"], f["index"].tobytes(), histogram(f["drawn"])) for k, f in enumerate(frames(data or b""))] if data else []
+                if rows:
+                    yield _batch(rows, FRAMES)
+
+    return media.select("doc_id", "media").mapInArrow(run, FRAMES)
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, shown_ms long"
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """What the stored media of encode_texts() hold, read back image by image: lengths, digests and the summed histogram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                sha, total, size, count, shown, tail = hashlib.sha256(), np.zeros(3 * BINS, np.int64), 0, 0, 0, b""
+                for f in frames(data):
+                    part = f["index"].tobytes()
+                    sha.update(part)
+                    tail = part[-64:]
+                    total += histogram(f["drawn"])
+                    size, count, shown = size + len(part), count + 1, shown + f["delay_ms"]
+                feature = ",".join(map(str, total.tolist()))
+                rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, count, shown))
+            if rows:
+                yield _batch(rows, DIGESTS)
+
+    return media.mapInArrow(run, DIGESTS)
+
+
+def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_texts(table(spark, sf_dir, "documents")))
