@@ -203,13 +203,16 @@ def frames(data: bytes) -> Iterator[dict]:
             shown = index[: max(0, height - y), : max(0, width - x)]
             place = canvas[y : y + shown.shape[0], x : x + shown.shape[1]]
             before = place.copy() if disposal == 3 else None
-            colour = np.full((*shown.shape, 4), 255, np.uint8)
-            colour[..., :3] = palette[np.minimum(shown, len(palette) - 1)]
+            colours = np.full((256, 4), 255, np.uint8)
+            colours[: len(palette), :3], colours[len(palette) :, :3] = palette, palette[-1]
+            painted = colours.view("<u4").ravel()[shown]
+            over = place.view("<u4")[..., 0]
             if through is None:
-                place[...] = colour
+                over[...] = painted
             else:
-                place[shown != through] = colour[shown != through]
-            yield {"index": index, "canvas": canvas, "drawn": place, "start_ms": clock, "delay_ms": 10 * delay, "disposal": disposal, "x": x, "y": y}
+                over[shown != through] = painted[shown != through]
+            counts = _binned(np.bincount(shown.ravel(), minlength=256), colours) if through is None else histogram(place)
+            yield {"index": index, "canvas": canvas, "drawn": place, "histogram": counts, "start_ms": clock, "delay_ms": 10 * delay, "disposal": disposal, "x": x, "y": y}
             clock += 10 * delay
             if disposal == 2:
                 place[...] = 0
@@ -220,6 +223,11 @@ def frames(data: bytes) -> Iterator[dict]:
             raise ValueError("GIF: an unknown block")
 
 
+def _binned(counts: np.ndarray, colours: np.ndarray) -> list[int]:
+    """histogram() of pixels given as counts of opaque colours."""
+    return [int(n) for c in range(3) for n in np.bincount(colours[:, c] >> 5, weights=counts, minlength=BINS)]
+
+
 def histogram(pixels: np.ndarray) -> list[int]:
     """Counts of opaque pixels in eight equal bins of red, then green, then blue."""
     flat = pixels.reshape(-1, 4)
@@ -271,7 +279,7 @@ def decode_frames(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(doc, k, f["start_ms"], f["delay_ms"], f["disposal"], f["index"].tobytes(), histogram(f["drawn"])) for k, f in enumerate(frames(data or b""))] if data else []
+                rows = [(doc, k, f["start_ms"], f["delay_ms"], f["disposal"], f["index"].tobytes(), f["histogram"]) for k, f in enumerate(frames(data or b""))] if data else []
                 if rows:
                     yield _batch(rows, FRAMES)
 
@@ -293,7 +301,7 @@ def digests(media: DataFrame) -> DataFrame:
                     part = f["index"].tobytes()
                     sha.update(part)
                     tail = part[-64:]
-                    total += histogram(f["drawn"])
+                    total += f["histogram"]
                     size, count, shown = size + len(part), count + 1, shown + f["delay_ms"]
                 feature = ",".join(map(str, total.tolist()))
                 rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, count, shown))
