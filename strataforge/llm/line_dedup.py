@@ -1,2 +1,146 @@
-def op2_line_dedup(spark, sf_dir):
-    raise NotImplementedError
+"""Exact line dedup over levelled sorted runs of line hashes."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.llm.common import scratch, table, written
+
+MIN_CHARS, MIN_DOCS = 40, 5
+BLANK = b" \t\n\x0b\x0c\r"
+#: Batches that a bulk load is taken in, and runs of a level that are compacted to one of the next.
+BATCHES, FANOUT = 8, 4
+#: The id that a null id counts as: below all others.
+NO_ID = -(1 << 63)
+
+
+def key(line: bytes) -> bytes:
+    """A line without blanks at its ends, A to Z in lower case."""
+    return line.strip(BLANK).lower()
+
+
+def _long(k: bytes, least: int) -> bool:
+    """Whether a key has so many code points: bytes that don't continue one."""
+    return len(k) >= least and (len(k) >= 4 * least or k.isascii() or len(k.decode("utf-8", "replace")) >= least)
+
+
+def line_hashes(text: bytes, least: int = MIN_CHARS) -> list[bytes]:
+    """128-bit hashes of the distinct long keys of a text."""
+    return list({hashlib.blake2b(k, digest_size=16).digest() for k in map(key, text.split(b"\n")) if _long(k, least)})
+
+
+def doc_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """(id, hash) of each long line key of each row, once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = line_hashes(text or b"", least)
+                ids += [doc] * len(found)
+                hashes += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "hash"])
+
+    return docs.select(_id(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, hash binary")
+
+
+def _id() -> F.Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
+
+
+class LineRuns:
+    """Runs of (hash, n_docs, last_id), each sorted by hash, in levels under one folder.
+
+    add() writes a batch's own run on level 0; when a level has FANOUT runs they are merged to one of the next, so
+    a line is rewritten as often as there are levels, the logarithm of the batches. seen() merge-joins a
+    batch with the runs, new_lines() merge-anti-joins it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
+        self.levels: list[list[str]] = [[]]
+        self.count = 0
+
+    def _write(self, run: DataFrame, level: int) -> None:
+        path = f"{self.path}/level={level}/run={self.count}"
+        self.count += 1
+        run.sortWithinPartitions("hash").write.parquet(path)
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
+
+    def add(self, lines: DataFrame) -> None:
+        """lines: (id, hash). A document counts once, however often its id or the line is repeated in the batch; a document's lines belong in one batch."""
+        self._write(lines.groupBy("hash").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("last_id")), 0)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self._write(self._merged(self.levels[level]), level + 1)
+            self.levels[level] = []
+            level += 1
+
+    def _merged(self, paths: list[str]) -> DataFrame:
+        runs = self.spark.read.schema("hash binary, n_docs long, last_id long").parquet(*paths)
+        return runs.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+
+    def seen(self) -> DataFrame:
+        """All lines of all runs, each once."""
+        paths = [p for level in self.levels for p in level]
+        return self._merged(paths) if paths else self.spark.createDataFrame([], "hash binary, n_docs long, last_id long")
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The batch's lines that no run holds."""
+        return lines.join(self.seen().select("hash").hint("merge"), "hash", "left_anti")
+
+
+def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """(id, hash) of all long lines, and (hash, last_id) of those found in at least min_docs documents, through the runs."""
+    spark = docs.sparkSession
+    lines = doc_lines(docs, min_chars).withColumn("batch", F.pmod(F.hash("id"), F.lit(batches)))
+    lines = written(lines, "lines", "batch")
+    runs = LineRuns(spark)
+    for k in range(batches):
+        runs.add(lines.where(F.col("batch") == k).select("id", "hash"))
+    return lines.select("id", "hash"), runs.seen().where(F.col("n_docs") >= min_docs).select("hash", "last_id")
+
+
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """Every row with n_lines, n_dropped and kept_text: without the lines whose key has min_chars code points and stands in min_docs documents, but for the document with the largest id among those.
+
+    A null or empty text is one empty line; kept_text is then empty. Documents are ids: repeated rows of an id count as
+    one document and keep or lose lines alike; rows with a null id count as one document below all others. All other
+    columns pass. An empty table gives an empty one. The result's new columns replace equally named ones.
+    """
+    lines, shared = shared_lines(docs, min_chars=min_chars, min_docs=min_docs, batches=batches)
+    # A row of (id, hash) stays only where the line goes: never more rows than lines, and a hot line is split by AQE.
+    drop = lines.join(shared.hint("merge"), "hash").where(F.col("id") < F.col("last_id")).groupBy("id").agg(F.collect_set("hash").alias("_drop"))
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_drop").withColumn("_id", _id())
+    names = docs.columns[:-1]
+    joined = docs.join(drop.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_drop") + ", n_lines long, n_dropped long, kept_text string"
+    at_text, at_drop = joined.columns.index("text"), joined.columns.index("_drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, gone in zip(batch.column(at_text).to_pylist(), batch.column(at_drop).to_pylist(), strict=True):
+                text = text or ""
+                if gone is None:
+                    rows.append((text.count("\n") + 1, 0, text))
+                    continue
+                gone, own = set(gone), text.encode().split(b"\n")
+                kept = [x for x in own if not (_long(k := key(x), min_chars) and hashlib.blake2b(k, digest_size=16).digest() in gone)]
+                rows.append((len(own), len(own) - len(kept), b"\n".join(kept).decode()))
+            more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at_drop] + more, names=[*names, "n_lines", "n_dropped", "kept_text"])
+
+    return joined.mapInArrow(run, schema)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,3 +1,17 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
 SQL: dict[str, str] = {}
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op2_line_dedup"] = f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ex AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
+keyed AS (SELECT doc_id, pos, line, {LOWER.format(f"trim(line, {BLANKS})")} AS k FROM ex),
+shared AS (SELECT k, max(doc_id) AS last_id FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+flagged AS (SELECT d.doc_id, d.pos, d.line, s.k IS NOT NULL AND d.doc_id < s.last_id AS gone FROM keyed d LEFT JOIN shared s ON d.k = s.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id
+"""
