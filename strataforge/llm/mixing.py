@@ -1,2 +1,240 @@
-def op1_mixing(spark, sf_dir):
-    raise NotImplementedError
+"""Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks for sources and shards, then seeded blocks."""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.llm import textvec
+from strataforge.llm.common import NOT_SPACE, cut, groups, table
+
+WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
+SEED = 17
+#: A shard has about so many words or documents of one source at most, whichever is reached first (a longer document stands alone).
+SHARD_WORDS, SHARD_DOCS = 1 << 21, 1 << 15
+#: Blocks have so many words, fewer where the smallest source would have under BLOCKS of them.
+BLOCK_WORDS, BLOCKS = 256, 512
+#: Up to so many sources the table of quotas is broadcast (under 2 MB); beyond it is joined by shuffle.
+BROADCAST_SOURCES = 10_000
+
+
+def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
+    """share of all sizes dealt by weight, none above most times its size; what that cuts off is dealt again by weight."""
+    sizes, weights = sizes.astype(float), weights.astype(float)
+    cap, out, open_ = most * sizes, np.zeros(len(sizes)), np.ones(len(sizes), bool)
+    while open_.any():
+        level = max(0.0, share * sizes.sum() - cap[~open_].sum()) / weights[open_].sum()
+        over = open_ & (weights * level > cap)
+        if not over.any():
+            out[open_] = weights[open_] * level
+            break
+        open_ &= ~over
+    out[~open_] = cap[~open_]
+    return out
+
+
+def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
+    """Seats by highest quotients votes / (2 k + 1), at most caps each; equal quotients go to the earlier one.
+
+    A divisor found by halving gives all but a few seats at once; the rest are dealt one by one.
+    """
+    votes, caps = votes.astype(float), np.where(votes > 0, caps, 0).astype(np.int64)
+    seats = int(min(seats, caps.sum()))
+    if seats <= 0:
+        return np.zeros(len(votes), np.int64)
+    given = lambda d: np.minimum(np.floor(votes / d + 0.5), caps).astype(np.int64)
+    low, high = 0.0, 2 * votes.max() + 1  # too many or enough seats; too few
+    for _ in range(200):
+        mid = (low + high) / 2
+        if mid in (low, high) or mid == 0:
+            break
+        low, high = (mid, high) if given(mid).sum() > seats else (low, mid)
+        if given(high).sum() == seats:
+            break
+    out = given(high)
+    left = [(-votes[i] / (2 * out[i] + 1), i) for i in np.flatnonzero(out < caps)]
+    heapq.heapify(left)
+    for _ in range(seats - int(out.sum())):
+        _, i = heapq.heappop(left)
+        out[i] += 1
+        if out[i] < caps[i]:
+            heapq.heappush(left, (-votes[i] / (2 * out[i] + 1), i))
+    return out
+
+
+def source_quotas(stats: pd.DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> pd.DataFrame:
+    """stats: source, source_size, n_docs. Adds target, seats (blocks), block (words) and shards; sources by code point, null last, take the weights in turn."""
+    stats = stats.assign(_null=stats.source.isna(), _key=[x.encode() if isinstance(x, str) else b"" for x in stats.source]).sort_values(["_null", "_key"]).reset_index(drop=True)
+    size = stats.source_size.to_numpy(np.int64)
+    weight = np.resize(np.array(weights, float), len(stats))
+    goal = targets(size, weight, share, most)
+    some = size[size > 0]
+    block = int(np.clip(some.min() // BLOCKS, 1, BLOCK_WORDS)) if len(some) else 1
+    caps = np.floor(most * np.maximum(1, np.round(size / block)))
+    seats = sainte_lague(goal, int(round(goal.sum() / block)), caps)
+    shards = np.maximum(1, np.maximum(-(-size // SHARD_WORDS), -(-stats.n_docs.to_numpy(np.int64) // SHARD_DOCS)))
+    return pd.DataFrame({"source": stats.source, "source_size": size, "target": goal, "seats": seats, "block": block, "shards": shards})
+
+
+QUOTAS = "source string, source_size long, target double, seats long, block long, shards long"
+
+
+def quotas(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, bool]:
+    """One row for each source, and whether they are few enough to broadcast."""
+    spark = sized.sparkSession
+    stats = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("n_docs"))
+    few = stats.limit(BROADCAST_SOURCES + 1).toPandas()
+    if few.empty:
+        return spark.createDataFrame([], QUOTAS), True
+    if len(few) <= BROADCAST_SOURCES:
+        return spark.createDataFrame(source_quotas(few, weights, share, most).astype({"source": object}).to_dict("records"), QUOTAS), True
+    return stats.groupBy(F.lit(0)).applyInPandas(lambda p: source_quotas(p, weights, share, most), QUOTAS), False
+
+
+def _spread(x: DataFrame, q: DataFrame, few: bool, on: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for c in on:
+        same &= x[c].eqNullSafe(q[c])
+    joined = x.join(F.broadcast(q) if few else q, same, "inner")
+    for c in on:
+        joined = joined.drop(q[c])
+    return joined
+
+
+def blocks_taken(sizes: np.ndarray, block: int, seats: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each block of a shard is taken, and where blocks end on the line of the shard's words.
+
+    Every block is taken seats // blocks times, and a seeded choice of the others once more.
+    """
+    words = int(sizes.sum())
+    n = max(1, int(round(words / block)))
+    often = np.full(n, seats // n, np.int64)
+    often[np.random.default_rng(seed).permutation(n)[: seats % n]] += 1
+    edges = np.arange(n + 1, dtype=np.int64) * words // n if words < 1 << 40 else np.round(np.linspace(0, words, n + 1)).astype(np.int64)
+    return often, edges
+
+
+def words_taken(sizes: np.ndarray, often: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Words that each document gives, repeats counted."""
+    ends = np.cumsum(sizes)
+    upto = np.concatenate(([0], np.cumsum(often * np.diff(edges))))
+
+    def before(x: np.ndarray) -> np.ndarray:
+        i = np.clip(np.searchsorted(edges, x, "right") - 1, 0, len(often) - 1)
+        return upto[i] + often[i] * (x - edges[i])
+
+    return before(ends) - before(ends - sizes)
+
+
+def _shards(docs: DataFrame, weights: tuple, share: float, most: float, seed: int, *more: str) -> DataFrame:
+    """Each row with its source's figures, its shard and the shard's blocks (seats), and a seeded place in the shard."""
+    size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long")
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), *more))
+    q, few = quotas(sized, weights, share, most)
+    place = F.xxhash64(F.lit(seed), "doc_id")
+    placed = _spread(sized, q, few, ["source"]).withColumn("shard", F.pmod(place, F.col("shards"))).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    # Shard sizes are sums made before the shuffle; a source's shards are few next to its documents.
+    sums = placed.groupBy("source", "source_size", "seats", "block", "shard").agg(F.sum("size").alias("shard_size"))
+
+    def deal(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("shard")
+        n = np.maximum(1, np.round(p.shard_size / p.block)).to_numpy()
+        got = sainte_lague(p.shard_size.to_numpy(), int(p.seats.iloc[0]), np.floor(most * n))
+        return pd.DataFrame({"source": p.source, "shard": p.shard, "shard_seats": got})
+
+    dealt = sums.groupBy("source").applyInPandas(deal, "source string, shard long, shard_seats long")
+    return _spread(placed, dealt, False, ["source", "shard"])
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row: how many of its words the mix takes, repeats counted.
+
+    Documents of a source stand in seeded order on a line of words, in shards; the line is cut to equal blocks, each
+    source gets blocks by its target and each shard by its words, by highest quotients, and a shard takes all its
+    blocks as often as they go and a seeded choice once more, so no document gives more than ``most`` times its words.
+    Null and empty texts have size 0 and give nothing; null sources are one source; rows that repeat an id stand side
+    by side in any order (equal rows are interchangeable); other columns are not read; an empty table gives an empty one.
+    """
+
+    schema = "doc_id long, source string, size long, source_size long, target double, taken long"
+    dealt = _shards(docs, weights, share, most, seed).select("doc_id", "source", "size", "source_size", "target", "block", "shard_seats", "place", _group().alias("group"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "group"):
+            taken = _taken(g)
+            yield from pa.table([*(g.column(c) for c in ("doc_id", "source", "size", "source_size", "target")), pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"]).to_batches()
+
+    return dealt.repartition("group").sortWithinPartitions("group", "place", "doc_id", "size").mapInArrow(run, schema)
+
+
+def _group() -> F.Column:
+    """A shard's key, of fixed length; null sources apart from empty ones."""
+    return F.md5(F.concat_ws("\0", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "shard").cast("binary"))
+
+
+def _taken(g: pa.Table) -> np.ndarray:
+    sizes, _, (often, edges) = _line(g)
+    return words_taken(sizes, often, edges)
+
+
+def _line(g: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    sizes = g.column("size").to_numpy()
+    seed = int(g.column("group")[0].as_py()[:15], 16)
+    return sizes, np.cumsum(sizes) - sizes, blocks_taken(sizes, g.column("block")[0].as_py(), g.column("shard_seats")[0].as_py(), seed)
+
+
+def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row as often as a pass over its source takes any of its words, text and n_chars cut to the words taken; other columns pass.
+
+    A pass that takes a whole text takes it as it is; else the runs of taken words, with the space between them as in the
+    text, are joined by a blank. Needs the columns of documents, with which other columns may not clash.
+    """
+    names = docs.columns
+    rows = _shards(docs, weights, share, most, seed, "text", *(c for c in names if c not in ("doc_id", "source", "text")))
+    rows = rows.withColumn("group", _group()).repartition("group").sortWithinPartitions("group", "place", "doc_id", "size")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "group"):
+            sizes, starts, (often, edges) = _line(g)
+            data = g.select(names)
+            at_text = names.index("text")
+            for a, b in textvec.chunks([len(t or "") for t in g.column("text").to_pylist()], 8 << 20):
+                pick, texts = [], []
+                for i in range(a, b):
+                    if not sizes[i]:
+                        continue
+                    text = None
+                    first, last = (int(np.searchsorted(edges, x, "right")) - 1 for x in (starts[i], starts[i] + sizes[i] - 1))
+                    for turn in range(int(often[first : last + 1].max())):
+                        on = np.flatnonzero(often[first : last + 1] > turn) + first
+                        text = text if text is not None else data.column(at_text)[i].as_py()
+                        pick.append(i)
+                        if len(on) == last - first + 1:
+                            texts.append(text)
+                            continue
+                        raw = text.encode()
+                        begin, end = textvec.runs(~textvec.SPACE[np.frombuffer(raw, np.uint8)])
+                        parts = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
+                        spans = [(max(0, edges[p[0]] - starts[i]), min(sizes[i], edges[p[-1] + 1] - starts[i])) for p in parts]
+                        texts.append(b" ".join(raw[begin[x] : end[y - 1]] for x, y in spans if y > x).decode())
+                if pick:
+                    out = data.take(pa.array(pick))
+                    out = out.set_column(at_text, "text", pa.array(texts, pa.string()))
+                    if "n_chars" in names:
+                        out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], data.schema.field("n_chars").type))
+                    yield from out.combine_chunks().to_batches()
+
+    return rows.select(*names, "size", "block", "shard_seats", "group").mapInArrow(run, schema)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
