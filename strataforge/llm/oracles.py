@@ -15,3 +15,12 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
 """
+
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN firsts f USING (payload_digest)
+"""
