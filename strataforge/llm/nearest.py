@@ -1,2 +1,191 @@
-def op6_nearest_neighbours(spark, sf_dir):
-    raise NotImplementedError
+"""Approximate nearest neighbours by cosine: probed lists, scanned by blocks of rotated dimensions with early abandoning."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataforge.llm.common import cut, groups, table
+
+#: Rows that the lists' centres are fitted on at most, in expectation, by a hash of the id.
+SAMPLE = 16_384
+SEED = 11
+#: A list is scanned in parts of about so many rows, each with all queries that probe the list.
+PART = 4096
+#: Dimensions in a block; how many standard errors a partial distance must be above the bound for a candidate to be abandoned.
+BLOCK, ERRORS = 16, 3.0
+NEIGHBOURS = 5
+#: Share of the nearest that the probed lists should hold.
+RECALL = 0.97
+
+
+def rotation(dim: int, seed: int = SEED) -> np.ndarray:
+    """A random orthogonal matrix."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def centres(sample: np.ndarray, lists: int, seed: int = SEED, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means on unit vectors; an empty list takes a random row."""
+    rng = np.random.default_rng(seed)
+    c = sample[rng.choice(len(sample), lists, replace=False)]
+    for _ in range(rounds):
+        near = np.argmax(sample @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, sample)
+        norm = np.linalg.norm(total, axis=1)
+        empty = norm < 1e-12
+        total[empty] = sample[rng.integers(0, len(sample), int(empty.sum()))]
+        c = total / np.linalg.norm(total, axis=1, keepdims=True)
+    return c
+
+
+def probes_for(sample: np.ndarray, middle: np.ndarray, k: int, recall: float, trials: int = 256) -> int:
+    """The fewest lists that hold so large a share of the k nearest of the sample's first rows, among the sample.
+
+    All rows have nearer neighbours than the sample alone, so the whole table's recall is no lower in expectation.
+    """
+    asked = sample[:trials]
+    near = asked @ sample.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -2
+    top = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
+    if not top.size:
+        return len(middle)
+    of_row = np.argmax(sample @ middle.T, axis=1)
+    order = np.argsort(-(asked @ middle.T), axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(middle)), order.shape), axis=1)
+    needed = np.sort(np.take_along_axis(rank, of_row[top], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id and vector in doubles of the rows that take part: not null, of the commonest length, all components finite, not all zero."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return v.where(finite & F.exists("v", lambda x: x != 0))
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines of one vector with rows, each by the same sums in double precision, whatever stands beside it."""
+    return (c * q).sum(axis=1) / (np.sqrt((c * c).sum(axis=1)) * math.sqrt((q * q).sum()))
+
+
+def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, rot: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """The k nearest rows of each query, as (query, row, cosine), by a scan in blocks of rotated dimensions.
+
+    The bound is the k-th distance among a first few rows scanned whole, and falls as others are. After each block a
+    candidate is abandoned when its partial squared distance, as an estimate of the whole, is above the bound by more than
+    the test's error for so many dimensions. What is left is measured on the original vectors.
+    """
+    dim = rows.shape[1]
+    turned, asked = unit(rows) @ rot, unit(queries) @ rot
+    out = []
+    for qi, q in enumerate(asked):
+        keep = np.flatnonzero(ids != query_ids[qi])
+        if len(keep) > 4 * k:
+            first = keep[: 4 * k]
+            bound = np.sort(((turned[first] - q) ** 2).sum(axis=1))[k - 1]
+            partial = np.zeros(len(keep))
+            for at in range(0, dim, BLOCK):
+                d = min(dim, at + BLOCK)
+                partial = partial + ((turned[keep, at:d] - q[at:d]) ** 2).sum(axis=1)
+                # At d of dim dimensions the estimate is partial * dim / d, with a relative error near ERRORS / sqrt(d).
+                allow = bound * (d / dim) * (1 + ERRORS / math.sqrt(d)) ** 2 if d < dim else bound
+                left = partial <= allow + 1e-9
+                keep, partial = keep[left], partial[left]
+                if len(keep) <= k:
+                    break
+            if len(keep) > 16 * k:
+                bound = np.partition(((turned[keep] - q) ** 2).sum(axis=1), k - 1)[k - 1]
+                keep = keep[((turned[keep] - q) ** 2).sum(axis=1) <= bound + 1e-9]
+        score = cosine(queries[qi], rows[keep])
+        best = np.lexsort((ids[keep], -score))[:k]
+        out += [(int(query_ids[qi]), int(ids[keep[b]]), float(score[b])) for b in best]
+    return out
+
+
+def search(vectors: DataFrame, *, every: int = 50, k: int = NEIGHBOURS, lists: int | None = None, probes: int | None = None, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = SEED) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``, among all others.
+
+    Centres come from a bounded sample; every row is in the list of its nearest centre, a query probes the lists of its
+    nearest centres (default: as many as the sample needs for the recall asked for, at least 8). Large lists are scanned in parts. Ties go to the
+    smaller id. Null, zero, ragged and non-finite vectors and null ids take no part; rows that repeat an id are each
+    candidates, and the nearest of them counts; an empty table, or one without queries, gives an empty result.
+    """
+    spark = vectors.sparkSession
+    schema = "query_id long, rank int, vec_id long, score double"
+    v = usable(vectors, id_col, vector_col)
+    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if lengths is None:
+        return spark.createDataFrame([], schema)
+    dim, total = lengths["d"], lengths["count"]
+    v = v.where(F.size("v") == dim)
+    share = min(1.0, SAMPLE / total)
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn = v.where(hashed).select("v").limit(2 * SAMPLE).toPandas()["v"]
+    sample = unit(np.stack(drawn.to_numpy())) if len(drawn) else unit(np.array([v.select("v").first()[0]]))
+    lists = max(1, min(lists or int(math.sqrt(total) / 2), len(sample), 4096))
+    middle = centres(sample, lists, seed)
+    probes = min(lists, probes or max(8, probes_for(sample, middle, k, recall)))
+    rot = rotation(dim, seed)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dim))
+            near = np.argmax(x @ middle.T, axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["vec_id", "v", "list"])
+
+    placed = cut(v.mapInArrow(place, "vec_id long, v array<double>, list int"))
+    # At most 4096 lists, so this table is small whatever the rows.
+    parts = {r["list"]: max(1, math.ceil(r["count"] / PART)) for r in placed.groupBy("list").count().collect()}
+    counts = np.array([parts.get(i, 0) for i in range(lists)], np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw, lst, part = [], [], [], []
+            for vid, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                near = np.argsort(-(unit(np.array([vec])) @ middle.T)[0], kind="stable")[:probes]
+                for n in near.tolist():
+                    for p in range(int(counts[n])):
+                        ids.append(vid), raw.append(vec), lst.append(n), part.append(p)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.list_(pa.float64())), pa.array(lst, pa.int32()), pa.array(part, pa.int32()), pa.array([True] * len(ids))], names=["vec_id", "v", "list", "part", "asks"])
+
+    full = "vec_id long, v array<double>, list int, part int, asks boolean"
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, full)
+    of_list = F.element_at(F.lit(counts.tolist()).cast("array<int>"), F.col("list") + 1)
+    rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_list).cast("int")).withColumn("asks", F.lit(False))
+    both = rows.unionByName(asked).withColumn("cell", F.col("list").cast("long") * (1 << 32) + F.col("part"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "cell"):
+            asks = g.column("asks").to_numpy(zero_copy_only=False)
+            if not asks.any() or asks.all():
+                continue
+            x = g.column("v").combine_chunks().flatten().to_numpy().reshape(g.num_rows, dim)
+            ids = g.column("vec_id").to_numpy()
+            got = scan(x[asks], ids[asks], x[~asks], ids[~asks], rot, k)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], names=["query_id", "vec_id", "score"])
+
+    near = both.repartition("cell").sortWithinPartitions("cell").mapInArrow(found, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
