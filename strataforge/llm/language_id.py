@@ -1,2 +1,179 @@
-def op5_language_id(spark, sf_dir):
-    raise NotImplementedError
+"""Language identification: words by log frequency, unseen words by ever shorter character n-grams."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataforge.llm.common import table
+
+UNKNOWN = "und"
+#: The model is fitted on so many labelled rows of each language in expectation, drawn by a hash of the id.
+FIT_ROWS = 2000
+#: Words and n-grams of each order that a language's model holds at most, the most frequent ones.
+MOST_WORDS, MOST_GRAMS, MOST_ITEMS = 20_000, 8_000, 400_000
+LONGEST = 5
+#: Counts below are not learned.
+LEAST = 2
+WORD = re.compile(r"[^\W\d_]+")
+#: Word scores that a worker remembers.
+CACHE = 500_000
+
+
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def grams(word: str, n: int) -> list[str]:
+    """The n-grams of a word between blanks."""
+    w = f" {word} "
+    return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+
+class Model:
+    """Per-language log frequencies: a dictionary of items and a matrix (item, language) for words and for each order of n-grams."""
+
+    def __init__(self, langs: list[str], tables: list[dict[str, dict[str, int]]]):
+        """tables: of words, then of n-grams from the longest to single characters; each language's counts by item."""
+        self.langs = langs
+        self.rows, self.scores = zip(*(self._scores(t) for t in tables), strict=True)
+        self._forget()
+
+    def _scores(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        items = sorted({x for c in counts.values() for x in c})
+        row = {x: i for i, x in enumerate(items)}
+        m = np.full((len(items), max(1, len(self.langs))), 0.5)
+        for j, lang in enumerate(self.langs):
+            for x, n in counts.get(lang, {}).items():
+                m[row[x], j] += n
+        return row, np.log(m / m.sum(axis=0, keepdims=True)) if items else m
+
+    def _forget(self) -> None:
+        """Unseen words take rows after the known ones, until there are too many."""
+        self.row = dict(self.rows[0])
+        self.all = np.concatenate([self.scores[0], np.zeros((CACHE, self.scores[0].shape[1]))])
+
+    def __getstate__(self) -> tuple:
+        return self.langs, self.rows, self.scores
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, self.rows, self.scores = state
+        self._forget()
+
+    def _backed_off(self, w: str) -> np.ndarray:
+        """The mean of a word's known n-grams of the greatest order that has any; else nothing for any language."""
+        for n in range(min(LONGEST, len(w) + 2), 0, -1):
+            known, scores = self.rows[LONGEST - n + 1], self.scores[LONGEST - n + 1]
+            found = [known[g] for g in grams(w, n) if g in known]
+            if found:
+                return scores[found].mean(axis=0)
+        return np.zeros(self.all.shape[1])
+
+    def word(self, w: str) -> np.ndarray:
+        """A known word's log frequencies; else those it is given by its n-grams."""
+        return self.scores[0][self.rows[0][w]] if w in self.rows[0] else self._backed_off(w)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The best language and its share: the softmax of mean scores over words."""
+        found = words(text or "")
+        if not self.langs or not any(c.isalpha() for w in found for c in w):
+            return UNKNOWN, 0.0
+        counts = Counter(found)
+        new = [w for w in counts if w not in self.row]
+        if len(self.row) + len(new) > len(self.all):
+            self._forget()
+            new = [w for w in counts if w not in self.row]
+        if len(self.row) + len(new) > len(self.all):  # more unseen words in one text than are ever remembered
+            m = np.stack([self.word(w) for w in counts])
+        else:
+            for w in new:
+                self.all[len(self.row)] = self._backed_off(w)
+                self.row[w] = len(self.row)
+            m = self.all[np.fromiter(map(self.row.__getitem__, counts), np.int64, len(counts))]
+        n = np.fromiter(counts.values(), float, len(counts))
+        mean = n @ m / n.sum()
+        best = int(np.argmax(mean))
+        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+
+
+def held_out(id_col: str = "doc_id") -> F.Column:
+    """Whether crc32 of the id as text leaves 2 when divided by 4; not so for null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """Learns from text and lang of rows that are not held out, from a sample of bounded expected size for each language."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
+    if not n:
+        return Model([], [{} for _ in range(LONGEST + 1)])
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, rows / c))]), F.col("lang"))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[Counter]] = {}
+
+        def out() -> pa.RecordBatch:
+            flat = [(lang, k, x, n) for lang, tables in held.items() for k, t in enumerate(tables) for x, n in t.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*flat, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "item", "n"])
+
+        for batch in batches:
+            by_lang: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, Counter()).update(words(text))
+            for lang, seen in by_lang.items():
+                tables = held.setdefault(lang, [Counter() for _ in range(LONGEST + 1)])
+                for w, c in seen.items():
+                    tables[0][w] += c
+                    for k in range(1, LONGEST + 1):
+                        for g in grams(w, LONGEST + 1 - k):
+                            tables[k][g] += c
+            if sum(len(t) for tables in held.values() for t in tables) > 500_000:
+                yield out()
+        if any(t for tables in held.values() for t in tables):
+            yield out()
+
+    counted = drawn.mapInArrow(count, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    # What reaches the driver is bounded: so many items in all, and so many of each language and table.
+    most = F.when(F.col("k") == 0, min(most_words, MOST_ITEMS // len(n) // 2)).otherwise(min(most_grams, MOST_ITEMS // len(n) // 2 // LONGEST))
+    place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "item"))
+    best = counted.withColumn("place", place).where((F.col("place") <= max(most_words, most_grams)) & (F.col("place") <= most)).drop("place").toPandas()
+    tables: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
+    for (lang, k), g in best.groupby(["lang", "k"]):
+        tables[k][lang] = dict(zip(g.item.tolist(), g.n.tolist(), strict=True))
+    return Model(sorted(n), tables)
+
+
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Every row with held_out, lang_pred and score.
+
+    Only the text decides. Null texts and texts without a letter are ``und`` with score 0, and so is all where nothing can be
+    learned. Equal texts get equal results; equal scores go to the language first by code point. All columns of docs
+    pass (lang_pred, score and held_out are replaced); an empty table gives an empty one.
+    """
+    model = model or fit(docs)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("held_out", "lang_pred", "score")
+    at = docs.columns.index("text")
+    names = [*docs.columns, "held_out", "lang_pred", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            got = [m.predict(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", held_out boolean, lang_pred string, score double"
+    return docs.withColumn("held_out", held_out() if "doc_id" in docs.columns else F.lit(False)).mapInArrow(run, schema)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.select("doc_id", "text"), fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
