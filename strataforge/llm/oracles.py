@@ -24,3 +24,45 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
 FROM p LEFT JOIN firsts f USING (payload_digest)
 """
+
+
+def _pii() -> str:
+    """The base patterns as they are, and the added kinds, with positions from the texts between matches."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+        "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = "(CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END ELSE d END)"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: (SELECT {doubled} FROM (SELECT substr(reverse({digits}), i, 1)::INT AS d)))) % 10 = 0"
+    luhn = f"(SELECT sum({doubled}) % 10 = 0 FROM (SELECT i, substr(reverse({digits}), i::BIGINT, 1)::INT AS d FROM range(1, length({digits}) + 1) t(i)))"
+    spelt = "list_aggregate(list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), 'string_agg', '')"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split({spelt}, ''), lambda c: c::INT)), lambda a, x: (a * 10 + x) % 97) = 1"
+    octets = "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(x AS HUGEINT), 999) <= 255))"
+    valid = {"email": "true", "ip": octets, "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 10 AND 15", "iban": mod97, "ssn": "regexp_matches(lower(substr(text, greatest(1, s - 39)::BIGINT, least(s, 40)::BIGINT) || ' ' || substr(text, e + 1, 40)), 'ssn|social|security')"}
+    parts = []
+    for i, (kind, pattern) in enumerate(patterns.items()):
+        parts.append(f"""
+        SELECT doc_id, {i} AS k, '{kind}' AS kind, s, e FROM (
+          SELECT doc_id, text, hits[i] AS m,
+                 (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, (s + length(m))::BIGINT AS e
+          FROM (SELECT doc_id, text, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM (
+            SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS parts FROM d) WHERE len(hits) > 0))
+        WHERE {valid[kind]}""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+kept AS (SELECT * FROM found f WHERE k < 4 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.k < 4 AND b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
+listed AS (SELECT doc_id, {", ".join(f"count_if(k = {i}) AS n{i}" for i in range(4))},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM kept GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n{i}, 0)::BIGINT AS n_{k}" for i, k in enumerate(list(patterns)[:4]))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
+SQL["op8_pii"] = _pii()
