@@ -66,3 +66,22 @@ FROM d LEFT JOIN listed l ON d.doc_id = l.doc_id
 
 
 SQL["op8_pii"] = _pii()
+
+SQL["op4_url_filters"] = f"""
+WITH p AS (SELECT page_id, url, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+stated(kind, h, s) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fits AS (SELECT DISTINCT url, arg_max(h || s, length(h || s)) AS rule, arg_max(kind, length(h || s)) AS verdict FROM (SELECT DISTINCT url, host, path FROM p)
+         JOIN stated ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY url),
+tok AS (SELECT url, list_distinct(list_filter(string_split_regex(regexp_replace({LOWER.format("url")}, '^[a-z]+://', ''), '[^a-z0-9]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+'))) AS tokens FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)),
+lab AS (SELECT row_number() OVER () AS i, p.url, toxic = 1 AS bad FROM p JOIN labels l ON l.doc_id = p.page_id WHERE p.url IS NOT NULL AND toxic IS NOT NULL),
+item AS (SELECT i, bad, unnest(tokens) AS t FROM lab JOIN tok USING (url)),
+n AS (SELECT ceil(0.002::DOUBLE * count(*)) AS least FROM lab),
+ones AS (SELECT t, count(*) AS n, count_if(bad) AS nb FROM item GROUP BY t),
+one AS (SELECT t FROM ones, n WHERE nb >= least AND nb::DOUBLE / ones.n >= 0.3::DOUBLE),
+pairs AS (SELECT a.t AS t, b.t AS u, count(*) AS n, count_if(a.bad) AS nb FROM item a JOIN item b ON a.i = b.i AND a.t < b.t GROUP BY ALL),
+two AS (SELECT t, u FROM pairs, n WHERE nb >= least AND nb::DOUBLE / pairs.n >= 0.3::DOUBLE),
+hit AS (SELECT url FROM tok JOIN one ON list_contains(tokens, t) UNION SELECT url FROM tok JOIN two ON list_contains(tokens, t) AND list_contains(tokens, u))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN p.url IN (SELECT url FROM hit) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits f ON p.url = f.url
+"""
