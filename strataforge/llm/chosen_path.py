@@ -1,2 +1,387 @@
-def op3_ngram_jaccard_join(spark, sf_dir):
-    raise NotImplementedError
+"""Set similarity join on word shingles by chosen paths: split sets on sampled shared tokens, compare within small buckets, verify exactly."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.llm import textvec
+from strataforge.llm.common import cut, groups, table
+
+WORDS, THRESHOLD = 5, 0.8
+#: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
+RECALL = 0.99999
+#: Coordinates of a set's sketch: each the token that one random order of all tokens puts first in the set.
+SKETCH = 48
+#: Buckets up to so many sets are compared whole; larger ones are split on further tokens, so deep at most.
+BUCKET, DEPTH = 2048, 3
+#: A bucket is dense when one of its parts has more than half of it; it is then compared in cells, as splitting does not help.
+DENSE = 0.5
+#: Sets and shingles that a cell of the exact check holds of each side.
+CELL_SETS, CELL_SHINGLES = 512, 2 << 20
+NO_ID = -(1 << 63)
+
+U = np.uint64
+_rng = np.random.default_rng(505)
+TIMES = _rng.integers(1, 1 << 63, WORDS * 2, dtype=np.uint64) * U(2) + U(1)
+ORDERS = _rng.integers(1, 1 << 63, (SKETCH, 2), dtype=np.uint64) * U(2) + U(1)
+
+
+def runs_for(recall: float, threshold: float) -> int:
+    """Paths to follow from the root: each brings a pair at the threshold together with that probability."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+
+
+def least_equal(recall: float, threshold: float, n: int = SKETCH) -> int:
+    """The most equal coordinates that may be asked for while so large a share of pairs at the threshold has them."""
+    missed = 0.0
+    for k in range(n + 1):
+        missed += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if missed > 1 - recall:
+            return k
+    return n
+
+
+def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's runs of words, lower case, and where each text's begin. Fewer words are one shingle, none has none."""
+    data, begins = textvec.joined([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
+    starts, ends = textvec.runs(~textvec.SPACE[data])
+    w = textvec.span_hash(data, starts, ends)
+    first = np.searchsorted(starts, begins)
+    counts = np.diff(first)
+    n = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    out_begin = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat(first[:-1] - out_begin[:-1], n) + np.arange(out_begin[-1])
+    h = np.zeros(len(at), np.uint64)
+    left = np.repeat(first[1:], n) - at
+    padded = np.concatenate([w, np.zeros(words, np.uint64)])
+    for k in range(words):
+        h += np.where(left > k, padded[at + k] * TIMES[k] + TIMES[words + k], U(0))
+    return textvec.mix(h), out_begin
+
+
+def sketches(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Row for each non-empty set: the first token in each order."""
+    at = begin[:-1][np.diff(begin) > 0]
+    out = np.empty((len(at), SKETCH), np.uint64)
+    for k, (times, plus) in enumerate(ORDERS):
+        out[:, k] = np.minimum.reduceat((h ^ plus) * times, at) if len(at) else 0
+    return out
+
+
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def signed(docs: DataFrame, runs: int, words: int = WORDS) -> DataFrame:
+    """id, node (a digest of the set; null for none), n (its size), roots (the sampled tokens of the first paths), sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in textvec.chunks([len(t or "") for t in texts], 2 << 20):
+                h, begin = shingles(texts[a:b], words)
+                full = sketches(h, begin)
+                node, n, roots, sketch, at = [], [], [], [], 0
+                for i in range(b - a):
+                    own = np.unique(h[begin[i] : begin[i + 1]])
+                    n.append(len(own))
+                    if len(own):
+                        node.append(digest(own))
+                        roots.append(full[at, :runs].view(np.int64))
+                        sketch.append(full[at].astype(np.uint32).tobytes())
+                        at += 1
+                    else:
+                        node.append(None), roots.append(None), sketch.append(None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "node", "n", "roots", "sketch"])
+
+    return docs.select(_id(), "text").mapInArrow(run, "id long, node binary, n int, roots array<long>, sketch binary")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root): the smallest node connected to each node of the edges (a, b), by large and small stars until nothing changes."""
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    for _ in range(most):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        e = cut(small)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """Members (path, node, parent size) of paths that more than one set follows, with the path's size."""
+    sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(sizes, "path")
+
+
+def buckets(nodes: DataFrame, runs: int, limit: int = BUCKET) -> DataFrame:
+    """(cell, node): every set in each bucket to compare; buckets have at most about ``limit`` sets."""
+    members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path"))))
+    out = [members.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node")]
+    big = members.where(F.col("size") > limit)
+    for depth in range(DEPTH):
+        if big.isEmpty():
+            break
+        token = lambda j: F.substr("sketch", F.lit(4) * F.pmod(F.xxhash64("parent", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(4))
+        parents = big.select("node", F.col("path").alias("parent"), F.col("size").alias("parent_size")).join(nodes.select("node", "sketch"), "node")
+        children = parents.select("node", "parent", "parent_size", F.posexplode(F.array(*(token(j) for j in range(runs)))).alias("k", "token"))
+        children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path"))))
+        dense = children.where(F.col("size") > DENSE * F.col("parent_size")).select("parent").distinct()
+        if depth == DEPTH - 1:
+            dense = dense.unionByName(children.where(F.col("size") > limit).select("parent")).distinct()
+        dense = cut(dense)
+        out.append(_cells(big.join(dense.withColumnRenamed("parent", "path"), "path", "left_semi"), limit))
+        rest = children.join(dense, "parent", "left_anti")
+        out.append(rest.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node"))
+        big = cut(rest.where(F.col("size") > limit).select("path", "node", "size"))
+    both = out[0]
+    for x in out[1:]:
+        both = both.unionByName(x)
+    return both
+
+
+def _cells(members: DataFrame, limit: int) -> DataFrame:
+    """All pairs of parts of too large buckets: each set goes to the cells of its part with every part, so all pairs meet, in small tasks."""
+    parts = F.ceil(F.col("size") * 2 / limit).cast("int")
+    x = members.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    x = x.select("path", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return x.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
+
+
+def _roots(pairs_of: Iterator[tuple[int, np.ndarray]], m: int) -> np.ndarray:
+    """The first member of each one's component, from rows (i, later members joined with i)."""
+    root = np.arange(m)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    for i, js in pairs_of:
+        for j in js.tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    return np.array([top(i) for i in range(m)])
+
+
+def candidate_edges(cells: DataFrame, nodes: DataFrame, equal: int) -> DataFrame:
+    """Stars (a, b) that connect the sets of a bucket whose sketches have enough equal coordinates: fewer rows than sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for g in groups(batches, "cell"):
+            m = g.num_rows
+            if m < 2:
+                continue
+            s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint32).reshape(m, SKETCH)
+            if m == 2:
+                if (s[0] == s[1]).sum() >= equal:
+                    x, y = g.column("node").to_pylist()
+                    a.append(x), b.append(y)
+            else:
+                root = np.arange(m)
+                for i in range(m - 1):
+                    # Those already with i need no second look; the others' components are renamed to i's.
+                    j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+                    near = j[(s[j] == s[i]).sum(axis=1) >= equal]
+                    if len(near):
+                        joined = np.unique(np.append(root[near], root[i]))
+                        root[np.isin(root, joined)] = joined[0]
+                off = np.flatnonzero(root != np.arange(m))
+                if len(off):
+                    names = g.column("node").to_pylist()
+                    a += [names[i] for i in off]
+                    b += [names[root[i]] for i in off]
+            if len(a) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    full = cells.join(nodes.select("node", "sketch"), "node").select("cell", "node", "sketch")
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products of 0/1 matrices over blocks of the tokens that more than one set has."""
+    sets = left + (right or [])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    use = shared[token]
+    row, token = row[use], number[token[use]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    n = len(left)
+    out = np.zeros((n, len(right) if right is not None else n), np.float32)
+    for at in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(token, [at, at + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[a:b], token[a:b] - at] = 1
+        out += m[:n] @ (m[n:] if right is not None else m).T
+    return out
+
+
+def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Exact links among the sets of each candidate component (node, root, id, w, n): rows (node, links, texts, to, open).
+
+    links and texts: documents and different sets linked with the node in one cell; to: the first set of the node's component
+    in the cell; open: whether the component has other cells.
+    """
+    size = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("long")).alias("total"))
+    parts = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
+    placed = members.join(size.select("root", parts.alias("parts")), "root")
+    rows = docs.select(_id(), "text").join(placed, "id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in textvec.chunks([len(t or "") for t in texts], 2 << 20):
+                h, begin = shingles(texts[a:b], words)
+                own = [np.unique(h[begin[i] : begin[i + 1]]) for i in range(b - a)]
+                nodes = batch.column("node").slice(a, b - a).to_pylist()
+                # Rows of one id may have different texts: only the one of this set counts.
+                keep = [i for i in range(b - a) if len(own[i]) and digest(own[i]) == nodes[i]]
+                if keep:
+                    part = batch.slice(a, b - a).take(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([part.column("root"), part.column("node"), part.column("w"), part.column("parts"), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["root", "node", "w", "parts", "tokens"])
+
+    s = rows.select("text", "root", "node", "w", "parts").mapInArrow(sets, "root binary, node binary, w long, parts int, tokens binary")
+    s = s.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    s = s.select("root", "node", "w", "parts", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    s = s.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).withColumn("cell", F.md5(F.concat_ws("-", F.hex("root"), "low", "high").cast("binary")))
+    t = Fraction(str(threshold))
+    p, q = t.numerator, t.denominator
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for g in groups(batches, "cell"):
+            seen: dict[bytes, int] = {}
+            for i, x in enumerate(g.column("node").to_pylist()):
+                seen.setdefault(x, i)
+            names, at = list(seen), list(seen.values())
+            tokens = [np.frombuffer(g.column("tokens")[i].as_py(), np.uint64) for i in at]
+            w = g.column("w").to_numpy()[at]
+            own = g.column("own").to_numpy()[at]
+            open_, low, high = g.column("parts")[0].as_py() > 1, g.column("low")[0].as_py(), g.column("high")[0].as_py()
+            n = np.array([len(x) for x in tokens], np.int64)
+
+            def enough(i: np.ndarray, j: np.ndarray | None, tokens: list = tokens, n: np.ndarray = n) -> np.ndarray:
+                both = intersections([tokens[x] for x in i], None if j is None else [tokens[x] for x in j]).astype(np.int64)
+                return (p + q) * both >= p * (n[i][:, None] + n[i if j is None else j][None, :])
+
+            near = np.zeros((len(names), len(names)), bool)
+            if low == high:
+                near = enough(np.arange(len(names)), None)
+                np.fill_diagonal(near, False)
+            else:
+                i, j = np.flatnonzero(own == low), np.flatnonzero(own == high)
+                if len(i) and len(j):
+                    near[np.ix_(i, j)] = enough(i, j)
+                    near |= near.T
+            root = _roots(((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(len(names))), len(names)) if near.sum() < 8 * len(names) else _spread(near)
+            total, texts = near @ w, near.sum(axis=1)
+            held += [(names[i], int(total[i]), int(texts[i]), names[root[i]], open_) for i in range(len(names))]
+            if len(held) > 20_000:
+                yield _rows(held)
+                held = []
+        if held:
+            yield _rows(held)
+
+    return s.select("cell", "root", "node", "w", "parts", "own", "low", "high", "tokens").repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "node binary, links long, texts long, to binary, open boolean")
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["node", "links", "texts", "to", "open"])
+
+
+def _spread(near: np.ndarray) -> np.ndarray:
+    """The first member of each one's component, of a dense adjacency matrix."""
+    root = np.arange(len(near))
+    todo = np.ones(len(near), bool)
+    for i in range(len(near)):
+        if not todo[i]:
+            continue
+        inside = np.zeros(len(near), bool)
+        edge = np.array([i])
+        inside[i] = True
+        while len(edge):
+            new = near[edge].any(axis=0) & ~inside
+            inside |= new
+            edge = np.flatnonzero(new)
+        root[inside] = i
+        todo &= ~inside
+    return root
+
+
+def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_text_links of every row: rows with Jaccard similarity of at least ``threshold`` are linked.
+
+    Sets are of shingles of ``words`` lower-case words between blanks; a shorter text is one shingle. class_id is the smallest
+    id of all rows linked directly or through others; n_links counts linked rows (equal sets included), n_text_links linked
+    sets other than the row's own. Null, empty and blank texts have no shingle: they are linked to nothing and are their own
+    class. Rows that repeat an id count as rows; null ids count as one id below all others and come back null. Other columns
+    are not read; an empty table gives an empty one.
+    """
+    runs, equal = runs_for(recall, threshold), least_equal(recall, threshold)
+    base = cut(signed(docs, runs, words))
+    with_set = base.where(F.col("node").isNotNull())
+    nodes = with_set.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
+    nodes = cut(nodes)
+    near = components(candidate_edges(buckets(nodes, runs), nodes, equal))
+    members = near.join(nodes.select("node", "id", "w", "n"), "node")
+    found = cut(verified(members, docs, threshold, words))
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    root = found.where(~F.col("open")).select("node", F.col("to").alias("class"))
+    spread = found.where("open").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    if not spread.isEmpty():
+        root = root.unionByName(components(spread).select("node", F.col("root").alias("class")))
+    known = nodes.select("node", "id", "w").join(sums, "node", "left").join(root, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    known = cut(known)
+    first = known.groupBy("class").agg(F.min("id").alias("class_id"))
+    # A class of one needs no join; large classes meet one row each.
+    known = known.join(first, "class").select("node", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
+    out = base.select("id", "node").join(known, "node", "left")
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("id").alias("doc_id"), F.when(F.col("node").isNull(), real("id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+
+
+def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The rows whose id is their class's, with all columns; of rows that repeat an id and text, one."""
+    classes = classify(docs, **options)
+    ids = classes.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_first"), F.count("*").alias("_rows"))
+    ids = cut(ids.where("_first").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_rows"))
+    kept = docs.withColumn("_id", _id()).join(ids, "_id")
+    if not ids.where("_rows > 1").isEmpty():
+        kept = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_id", "text"]))
+    return kept.select(*docs.columns)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
