@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     if not QUERIES:
-        from strataforge.plans import relational, retrieval, tabular, text  # noqa: F401
+        from strataforge.plans import graph, relational, retrieval, tabular, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
