@@ -1 +1 @@
-
+"""Files, archives, CSV, Markdown, JSON lines and manifests as DataFrames."""

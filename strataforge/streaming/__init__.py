@@ -1 +1 @@
-
+"""Structured Streaming: watching files, touch counters, windows."""
