@@ -37,7 +37,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, include_text: bool = False) -> DataFrame:
-    """path (below the root), size, modified, content, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty, unsupported_ext, generated, minified, too_large. Nothing stops a scan early."""
+    """path (below the root), size, modified, content, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty (where the reader lists those), unsupported_ext, generated, minified, too_large. Nothing stops a scan early."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
