@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
@@ -133,7 +133,7 @@ def words_taken(sizes: np.ndarray, often: np.ndarray, edges: np.ndarray) -> np.n
     return before(ends) - before(ends - sizes)
 
 
-def _shards(docs: DataFrame, weights: tuple, share: float, most: float, seed: int, *more: str) -> DataFrame:
+def _shards(docs: DataFrame, weights: tuple, share: float, most: float, seed: int, *more: Column) -> DataFrame:
     """Each row with its source's figures, its shard and the shard's blocks (seats), and a seeded place in the shard."""
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long")
     sized = cut(docs.select("doc_id", "source", size.alias("size"), *more))
@@ -194,19 +194,19 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
     """The mix itself: each row as often as a pass over its source takes any of its words, text and n_chars cut to the words taken; other columns pass.
 
     A pass that takes a whole text takes it as it is; else the runs of taken words, with the space between them as in the
-    text, are joined by a blank. Needs the columns of documents, with which other columns may not clash.
+    text, are joined by a blank. Needs doc_id, text and source; null and empty texts are not in the mix.
     """
     names = docs.columns
-    rows = _shards(docs, weights, share, most, seed, "text", *(c for c in names if c not in ("doc_id", "source", "text")))
+    rows = _shards(docs, weights, share, most, seed, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
     rows = rows.withColumn("group", _group()).repartition("group").sortWithinPartitions("group", "place", "doc_id", "size")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "group"):
             sizes, starts, (often, edges) = _line(g)
-            data = g.select(names)
+            data = g.select([f"c{i}" for i in range(len(names))]).rename_columns(names)
             at_text = names.index("text")
-            for a, b in textvec.chunks([len(t or "") for t in g.column("text").to_pylist()], 8 << 20):
+            for a, b in textvec.chunks([len(t or "") for t in data.column(at_text).to_pylist()], 8 << 20):
                 pick, texts = [], []
                 for i in range(a, b):
                     if not sizes[i]:
@@ -232,7 +232,7 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
                         out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], data.schema.field("n_chars").type))
                     yield from out.combine_chunks().to_batches()
 
-    return rows.select(*names, "size", "block", "shard_seats", "group").mapInArrow(run, schema)
+    return rows.select("row.*", "size", "block", "shard_seats", "group").mapInArrow(run, schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
