@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words everywhere in this package: blank and the ASCII controls 9 to 13.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -49,6 +50,22 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with so many rows, or with this share of all: so at most HOT_KEYS keys are hot, whatever the size.
+HOT_ROWS, HOT_KEYS = 2000, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how) for a right side with one row for each key and the number of left rows that have it.
+
+    Hot keys, at most HOT_KEYS by their definition, are broadcast, so their rows stay where they are; the others are joined
+    by shuffle. The count column is not returned.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(count) >= least).drop(count))
+    cold = right.where(F.col(count) < least).drop(count)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """One table for each run of equal, non-null values of a column by which the rows come sorted."""
     import numpy as np

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import scratch, table, written
+from strataforge.llm.common import join_hot, scratch, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
@@ -98,14 +98,14 @@ class LineRuns:
 
 
 def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(id, hash) of all long lines, and (hash, last_id) of those found in at least min_docs documents, through the runs."""
+    """(id, hash) of all long lines, and (hash, n_docs, last_id) of those found in at least min_docs documents, through the runs."""
     spark = docs.sparkSession
     lines = doc_lines(docs, min_chars).withColumn("batch", F.pmod(F.hash("id"), F.lit(batches)))
     lines = written(lines, "lines", "batch")
     runs = LineRuns(spark)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("id", "hash"))
-    return lines.select("id", "hash"), runs.seen().where(F.col("n_docs") >= min_docs).select("hash", "last_id")
+    return lines.select("id", "hash"), runs.seen().where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -116,8 +116,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     columns pass. An empty table gives an empty one. The result's new columns replace equally named ones.
     """
     lines, shared = shared_lines(docs, min_chars=min_chars, min_docs=min_docs, batches=batches)
-    # A row of (id, hash) stays only where the line goes: never more rows than lines, and a hot line is split by AQE.
-    drop = lines.join(shared.hint("merge"), "hash").where(F.col("id") < F.col("last_id")).groupBy("id").agg(F.collect_set("hash").alias("_drop"))
+    # A row of (id, hash) stays only where the line goes: never more rows than lines. Very common lines don't gather in a task.
+    drop = join_hot(lines, shared.hint("merge"), "hash", "n_docs", lines.count()).where(F.col("id") < F.col("last_id")).groupBy("id").agg(F.collect_set("hash").alias("_drop"))
     docs = docs.drop("n_lines", "n_dropped", "kept_text", "_drop").withColumn("_id", _id())
     names = docs.columns[:-1]
     joined = docs.join(drop.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
