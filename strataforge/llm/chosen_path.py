@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import cut, groups, table
+from strataforge.llm.common import cut, groups, join_hot, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
@@ -112,13 +112,14 @@ def _id() -> Column:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node connected to each node of the edges (a, b), by large and small stars until nothing changes."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, total = None, 2 * e.count()
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        large = join_hot(both, low, "a", "k", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(large)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = join_hot(large, low, "a", "k", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -129,15 +130,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _sized(members: DataFrame) -> DataFrame:
+def _sized(members: DataFrame, total: int) -> DataFrame:
     """Members (path, node, parent size) of paths that more than one set follows, with the path's size."""
-    sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes, "path")
+    sizes = members.groupBy("path").agg(F.count("*").alias("size"), F.count("*").alias("k")).where("size > 1")
+    return join_hot(members, sizes, "path", "k", total)
 
 
 def buckets(nodes: DataFrame, runs: int, limit: int = BUCKET) -> DataFrame:
     """(cell, node): every set in each bucket to compare; buckets have at most about ``limit`` sets."""
-    members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path"))))
+    total = runs * nodes.count()
+    members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path")), total))
     out = [members.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node")]
     big = members.where(F.col("size") > limit)
     for depth in range(DEPTH):
@@ -146,7 +148,7 @@ def buckets(nodes: DataFrame, runs: int, limit: int = BUCKET) -> DataFrame:
         token = lambda j: F.substr("sketch", F.lit(4) * F.pmod(F.xxhash64("parent", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(4))
         parents = big.select("node", F.col("path").alias("parent"), F.col("size").alias("parent_size")).join(nodes.select("node", "sketch"), "node")
         children = parents.select("node", "parent", "parent_size", F.posexplode(F.array(*(token(j) for j in range(runs)))).alias("k", "token"))
-        children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path"))))
+        children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path")), total))
         dense = children.where(F.col("size") > DENSE * F.col("parent_size")).select("parent").distinct()
         if depth == DEPTH - 1:
             dense = dense.unionByName(children.where(F.col("size") > limit).select("parent")).distinct()
@@ -255,7 +257,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
     """
     size = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("long")).alias("total"))
     parts = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
-    placed = members.join(size.select("root", parts.alias("parts")), "root")
+    placed = join_hot(members, size.select("root", parts.alias("parts"), "sets"), "root", "sets", members.count())
     rows = docs.select(_id(), "text").join(placed, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +357,7 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORD
     nodes = with_set.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
     nodes = cut(nodes)
     near = components(candidate_edges(buckets(nodes, runs), nodes, equal))
-    members = near.join(nodes.select("node", "id", "w", "n"), "node")
+    members = cut(near.join(nodes.select("node", "id", "w", "n"), "node"))
     found = cut(verified(members, docs, threshold, words))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     root = found.where(~F.col("open")).select("node", F.col("to").alias("class"))
@@ -364,10 +366,10 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORD
         root = root.unionByName(components(spread).select("node", F.col("root").alias("class")))
     known = nodes.select("node", "id", "w").join(sums, "node", "left").join(root, "node", "left").withColumn("class", F.coalesce("class", "node"))
     known = cut(known)
-    first = known.groupBy("class").agg(F.min("id").alias("class_id"))
-    # A class of one needs no join; large classes meet one row each.
-    known = known.join(first, "class").select("node", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
-    out = base.select("id", "node").join(known, "node", "left")
+    first = known.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("k"))
+    total = base.count()
+    known = join_hot(known, first, "class", "k", total).select("node", "class_id", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
+    out = join_hot(base.select("id", "node"), cut(known), "node", "w", total, "left")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.when(F.col("node").isNull(), real("id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
