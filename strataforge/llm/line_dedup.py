@@ -56,11 +56,14 @@ def _id() -> F.Column:
 class LineRuns:
     """Runs of (hash, n_docs, last_id), each sorted by hash, in levels under one folder.
 
-    add() writes a batch's own run on level 0; when a level has FANOUT runs they are merged to one of the next, so
-    a line is rewritten as often as there are levels, the logarithm of the batches. seen() merge-joins a
-    batch with the runs, new_lines() merge-anti-joins it.
+    Batches come with falling ids. add() merge-anti-joins a batch with the runs: a line that no run holds enters with its
+    largest id, one that is held adds to the count alone, so each line has its holder from the first batch that had it.
+    Both are the batch's own run on level 0; when a level has FANOUT runs they are merged to one of the next, so a line is
+    rewritten as often as there are levels, the logarithm of the batches.
     """
 
+    SCHEMA = "hash binary, n_docs long, last_id long"
+
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
         self.levels: list[list[str]] = [[]]
@@ -74,33 +77,46 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(path)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _merged(self, paths: list[str]) -> DataFrame:
+        return self._read(paths).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+
+    def held(self) -> DataFrame:
+        """The hashes of all runs, repeated where runs repeat them."""
+        return self._read([p for level in self.levels for p in level]).select("hash").hint("merge")
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The batch's lines that no run holds."""
+        return lines.join(self.held(), "hash", "left_anti")
+
     def add(self, lines: DataFrame) -> None:
         """lines: (id, hash). A document counts once, however often its id or the line is repeated in the batch; a document's lines belong in one batch."""
-        self._write(lines.groupBy("hash").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("last_id")), 0)
+        batch = lines.groupBy("hash").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("last_id"))
+        if self.count:
+            again = batch.join(self.held(), "hash", "left_semi").withColumn("last_id", F.lit(None).cast("long"))
+            batch = self.new_lines(batch).unionByName(again)
+        self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._write(self._merged(self.levels[level]), level + 1)
             self.levels[level] = []
             level += 1
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema("hash binary, n_docs long, last_id long").parquet(*paths)
-        return runs.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
-
     def seen(self) -> DataFrame:
         """All lines of all runs, each once."""
-        paths = [p for level in self.levels for p in level]
-        return self._merged(paths) if paths else self.spark.createDataFrame([], "hash binary, n_docs long, last_id long")
-
-    def new_lines(self, lines: DataFrame) -> DataFrame:
-        """The batch's lines that no run holds."""
-        return lines.join(self.seen().select("hash").hint("merge"), "hash", "left_anti")
+        return self._merged([p for level in self.levels for p in level])
 
 
 def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(id, hash) of all long lines, and (hash, n_docs, last_id) of those found in at least min_docs documents, through the runs."""
     spark = docs.sparkSession
-    lines = doc_lines(docs, min_chars).withColumn("batch", F.pmod(F.hash("id"), F.lit(batches)))
+    parts = [k / batches for k in range(1, batches)]
+    bounds = docs.select(_id()).agg(F.percentile_approx("id", parts, 1000)).first()[0] or []
+    # Batch 0 has the largest ids.
+    batch = sum((F.when(F.col("id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
+    lines = doc_lines(docs, min_chars).withColumn("batch", batch)
     lines = written(lines, "lines", "batch")
     runs = LineRuns(spark)
     for k in range(batches):

@@ -115,11 +115,11 @@ def test_lines_against_brute_force(spark):
 def test_runs_are_compacted_by_levels(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(5):
-        batch = spark.createDataFrame([(k, b"all"), (k, b"k%d" % k)], "id long, hash binary")
+        batch = spark.createDataFrame([(9 - k, b"all"), (9 - k, b"k%d" % k)], "id long, hash binary")
         assert runs.new_lines(batch).count() == (2 if k == 0 else 1)
         runs.add(batch)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {bytes(r["hash"]): (r["n_docs"], r["last_id"]) for r in runs.seen().collect()} == {b"all": (5, 4)} | {b"k%d" % k: (1, k) for k in range(5)}
+    assert {bytes(r["hash"]): (r["n_docs"], r["last_id"]) for r in runs.seen().collect()} == {b"all": (5, 9)} | {b"k%d" % k: (1, 9 - k) for k in range(5)}
 
 
 # ---- 3 n-gram Jaccard join
