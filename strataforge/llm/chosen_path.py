@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import cut, groups, join_hot, table
+from strataforge.llm.common import cut, groups, join_hot, small_batches, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
@@ -86,7 +86,7 @@ def signed(docs: DataFrame, runs: int, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in textvec.chunks([len(t or "") for t in texts], 2 << 20):
+            for a, b in textvec.chunks([len(t or "") for t in texts], 1 << 19):
                 h, begin = shingles(texts[a:b], words)
                 full = sketches(h, begin)
                 node, n, roots, sketch, at = [], [], [], [], 0
@@ -102,7 +102,7 @@ def signed(docs: DataFrame, runs: int, words: int = WORDS) -> DataFrame:
                         node.append(None), roots.append(None), sketch.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "node", "n", "roots", "sketch"])
 
-    return docs.select(_id(), "text").mapInArrow(run, "id long, node binary, n int, roots array<long>, sketch binary")
+    return small_batches(docs).select(_id(), "text").mapInArrow(run, "id long, node binary, n int, roots array<long>, sketch binary")
 
 
 def _id() -> Column:
@@ -263,7 +263,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in textvec.chunks([len(t or "") for t in texts], 2 << 20):
+            for a, b in textvec.chunks([len(t or "") for t in texts], 1 << 19):
                 h, begin = shingles(texts[a:b], words)
                 own = [np.unique(h[begin[i] : begin[i + 1]]) for i in range(b - a)]
                 nodes = batch.column("node").slice(a, b - a).to_pylist()

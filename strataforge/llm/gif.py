@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import table
+from strataforge.llm.common import small_batches, table
 
 WIDTH, ROWS = 64, 1024
 #: Hundredths of a second that a written frame shows.
@@ -254,7 +254,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
             if held:
                 yield _batch(held, MEDIA)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEDIA)
+    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEDIA)
 
 
 ARROW = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import table
+from strataforge.llm.common import small_batches, table
 
 UNKNOWN = "und"
 #: The model is fitted on so many labelled rows of each language in expectation, drawn by a hash of the id.
@@ -23,7 +23,7 @@ LONGEST = 5
 LEAST = 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Word scores that a worker remembers.
-CACHE = 500_000
+CACHE = 150_000
 
 
 def words(text: str) -> list[str]:
@@ -109,7 +109,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """Learns from text and lang of rows that are not held out, from a sample of bounded expected size for each language."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
     if not n:
         return Model([], [{} for _ in range(LONGEST + 1)])
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = small_batches(docs).drop("held_out", "lang_pred", "score")
     at = docs.columns.index("text")
     names = [*docs.columns, "held_out", "lang_pred", "score"]
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import join_hot, scratch, table, written
+from strataforge.llm.common import join_hot, scratch, small_batches, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
@@ -46,7 +46,7 @@ def doc_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "hash"])
 
-    return docs.select(_id(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, hash binary")
+    return small_batches(docs).select(_id(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, hash binary")
 
 
 def _id() -> F.Column:

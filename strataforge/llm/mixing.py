@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import NOT_SPACE, cut, groups, table
+from strataforge.llm.common import NOT_SPACE, cut, groups, small_batches, table
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = 17
@@ -197,7 +197,7 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
     text, are joined by a blank. Needs doc_id, text and source; null and empty texts are not in the mix.
     """
     names = docs.columns
-    rows = _shards(docs, weights, share, most, seed, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
+    rows = _shards(small_batches(docs), weights, share, most, seed, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
     rows = rows.withColumn("group", _group()).repartition("group").sortWithinPartitions("group", "place", "doc_id", "size")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

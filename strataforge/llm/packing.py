@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import table
+from strataforge.llm.common import small_batches, table
 
 SEQUENCE, END_ID = 4096, 2
 #: A sequence holds at most so many pieces, and so many tokens that bear loss.
@@ -25,7 +25,7 @@ CACHE = 1_200_000
 #: Texts of these characters alone, outside what may be a special token or a contraction, are split by their bytes: there lower case and NFC act on each letter alone. Others go through the whole tokenizer, word by word.
 UNSAFE = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]|<\||'[a-zA-Z]")
 #: Bytes split by numpy at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 
 LETTER, DIGIT, OTHER, BLANK = 0, 1, 2, 3
 KIND = np.full(256, OTHER, np.uint8)
@@ -53,17 +53,17 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Encodes words not seen before."""
         tokenize, as_char = self.model.tokenize, self.as_char
         ids = [[t.id for t in tokenize(w.decode("latin-1") if w.isalpha() else w.decode("latin-1").translate(as_char))] for w in words]
-        n = len(self.known)
+        n = len(self.keys)
         while n + len(words) > len(self.begin):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -74,7 +74,8 @@ class WordTokenizer:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.values = np.insert(self.keys, at, hashes), np.insert(self.values, at, np.arange(n, n + len(ids)))
 
     def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
         data, begins = textvec.joined(texts)
@@ -90,13 +91,15 @@ class WordTokenizer:
         last[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == DIGIT)
         ends = np.flatnonzero(last) + 1
         hashes, where, inverse = np.unique(textvec.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) > CACHE:
+        if len(self.keys) > CACHE:
             self._forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        raw = data.tobytes()
-        self._learn([keys[i] for i in new], [raw[starts[j] : ends[j]] for j in where[new].tolist()] if new else [])
-        word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse] if keys else np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != hashes[at < len(self.keys)]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[starts[j] : ends[j]] for j in where[new].tolist()])
+        word = self.values[np.searchsorted(self.keys, hashes)][inverse]
         counts = self.count[word]
         sums = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.repeat(self.begin[word] - sums[:-1], counts) + np.arange(sums[-1])]
@@ -249,7 +252,7 @@ def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, s
         if held[0]:
             yield packed(*held)
 
-    return items.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
+    return small_batches(items).select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import scratch, table
+from strataforge.llm.common import scratch, small_batches, table
 
 #: Fixed values of the format: magic of the skippable frame that holds the dictionary, of a frame, of a dictionary.
 DICT_FRAME, FRAME, DICT = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -197,7 +197,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "records", "bytes"])
 
     listed = scratch(pages.sparkSession, "warc-list")
-    pages.select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(run, "archive string, records long, bytes long").write.parquet(listed)
+    small_batches(pages).select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(run, "archive string, records long, bytes long").write.parquet(listed)
     return pages.sparkSession.read.parquet(listed)
 
 
