@@ -121,7 +121,7 @@ def safe_path(path: Column, roots: list[str]) -> Column:
     return below & ~broad & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
-def ocap(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+def compact_text(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """line: a header, then one tab-separated row for each row, for a compact text of a result (in the order of a column)."""
     return rows.orderBy(order).select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
 

@@ -88,13 +88,13 @@ def upsert_latest(spark, d):
     return x.select("o_orderstatus", "n", (F.floor(F.col("t") * 1000 + 0.5).cast("double") / 1000).alias("total"))
 
 
-@register("ocap_dictionary", "SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::INTEGER AS id, count(*)::BIGINT AS n FROM events GROUP BY 1")
-def ocap_dictionary(spark, d):
+@register("dictionary_encode", "SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::INTEGER AS id, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def dictionary_encode(spark, d):
     return S.dictionary(read(spark, d, "events"), "event_type", "event_id")
 
 
-@register("ocap_rows", "WITH k AS (SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1) AS id FROM events GROUP BY 1) SELECT event_id, concat_ws(chr(9), event_id, user_id, k.id) AS row FROM events JOIN k USING (event_type)")
-def ocap_rows(spark, d):
+@register("encoded_rows", "WITH k AS (SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1) AS id FROM events GROUP BY 1) SELECT event_id, concat_ws(chr(9), event_id, user_id, k.id) AS row FROM events JOIN k USING (event_type)")
+def encoded_rows(spark, d):
     x = S.encoded(read(spark, d, "events").select("event_id", "user_id", "event_type"), ["event_type"], "event_id")
     return x.select("event_id", F.concat_ws("\t", "event_id", "user_id", "event_type_id").alias("row"))
 
