@@ -101,9 +101,10 @@ def contains_join(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     words = texts.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word")).where("word <> ''")
     lower = names.select(F.lower("name").alias("name")).distinct()
-    length = lower.select(F.length("name").alias("n")).distinct()
-    # Pieces of the words with the names' lengths: an equality join in place of a nested loop.
-    distinct = words.select("word").distinct()
-    pieces = distinct.crossJoin(F.broadcast(length.limit(64))).where(F.length("word") >= F.col("n")).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"), "n")
+    # One row: the lengths that names have, no more than the longest name has letters.
+    lengths = lower.agg(F.collect_set(F.length("name")).alias("lengths"))
+    # Pieces of the distinct words with those lengths: an equality join in place of a nested loop.
+    sized = words.select("word").distinct().crossJoin(F.broadcast(lengths)).select("word", F.explode("lengths").alias("n")).where(F.length("word") >= F.col("n"))
+    pieces = sized.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"), "n")
     hit = pieces.select("word", F.substr("word", F.col("at").cast("int"), F.col("n").cast("int")).alias("name")).join(lower, "name").distinct()
     return words.join(hit, "word").select("id", "name").distinct()

@@ -62,7 +62,7 @@ def profile(df: DataFrame) -> DataFrame:
     """name, type, nulls, distinct, min, max, mean of each column; the last three of numbers only, the mean to three digits.
 
     All columns are profiled in one pass for what needs no distinct count; distinct counts come from one long shape
-    (column, hash of the value), so no row is copied more than once a column in whatever width.
+    (column, 64-bit hash of the value), so cells are shuffled once, after a partial distinct, in 8 bytes whatever their width.
     """
     kinds = {f.name: _kind(f.dataType) for f in df.schema}
     parts = []
@@ -83,7 +83,9 @@ def inner_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cols = [F.col(f"a.{c}") if c in left.columns else F.col(f"b.{c}") for c in right.columns]
     cols += [F.col(f"a.{c}") for c in left.columns if c not in right.columns]
-    same = F.col(f"a.{left_key}") == F.col(f"b.{right_key}") if left.schema[left_key].dataType == right.schema[right_key].dataType and not left.schema[left_key].nullable else key(f"a.{left_key}") == key(f"b.{right_key}")
+    kinds = left.schema[left_key].dataType, right.schema[right_key].dataType
+    typed = kinds[0] == kinds[1] and not isinstance(kinds[0], T.StringType)
+    same = F.col(f"a.{left_key}").eqNullSafe(F.col(f"b.{right_key}")) if typed else key(f"a.{left_key}") == key(f"b.{right_key}")
     return a.join(b, same).select(*cols)
 
 
