@@ -148,10 +148,10 @@ def correlated_counts(spark, d):
     return R.left_counts(read(spark, d, "supplier").select("s_suppkey"), read(spark, d, "lineitem").select("l_suppkey"), "s_suppkey", "l_suppkey")
 
 
-@register("stats_row", "SELECT (SELECT count(*) FROM orders)::BIGINT AS orders, (SELECT count(*) FROM lineitem)::BIGINT AS lines, (SELECT count(*) FROM part)::BIGINT AS parts, (SELECT floor(avg(o_totalprice) * 1000 + 0.5) / 1000 FROM orders) AS avg_price, (SELECT max(ts) FROM events) AS last_event")
+@register("stats_row", "SELECT (SELECT count(*) FROM orders)::BIGINT AS orders, (SELECT count(*) FROM lineitem)::BIGINT AS lines, (SELECT count(*) FROM part)::BIGINT AS parts, (SELECT floor(avg(o_totalprice) * 1000 + 0.5) / 1000 FROM orders) AS avg_price, (SELECT epoch_us(max(ts)) FROM events) AS last_event")
 def stats_row(spark, d):
     one = lambda t, *a: read(spark, d, t).agg(*a)
-    return one("orders", F.count("*").alias("orders"), half_up(F.avg("o_totalprice")).alias("avg_price")).crossJoin(one("lineitem", F.count("*").alias("lines"))).crossJoin(one("part", F.count("*").alias("parts"))).crossJoin(one("events", F.max("ts").alias("last_event")))
+    return one("orders", F.count("*").alias("orders"), half_up(F.avg("o_totalprice")).alias("avg_price")).crossJoin(one("lineitem", F.count("*").alias("lines"))).crossJoin(one("part", F.count("*").alias("parts"))).crossJoin(one("events", F.unix_micros(F.max("ts").cast("timestamp")).alias("last_event")))
 
 
 @register("diagnostic_groups", "SELECT CASE WHEN toxic = 1 THEN 'TOXIC' WHEN quality = 0 THEN 'LOW_QUALITY' ELSE 'OK' END AS code, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warn' ELSE 'info' END AS severity, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM labels GROUP BY ALL")

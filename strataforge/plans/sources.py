@@ -91,16 +91,16 @@ def stream_touch_counts(spark, d):
     return x.groupBy("key").agg(*(F.max_by(c, "batch").alias(c) for c in ("opened", "pulled", "edited")))
 
 
-@register("stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@register("stream_windows", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     """Tumbling windows in batch form, as the stream computes them. (An addition of this engine.)"""
     x = streams.tumbling(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    return x.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return x.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("session_windows", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s DESC ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, k")
+@register("session_windows", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s DESC ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, k")
 def session_windows(spark, d):
-    return streams.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return streams.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.unix_micros("start"))
 
 
 @register("rollup_orders", "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")

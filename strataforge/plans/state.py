@@ -37,9 +37,9 @@ def age_decay_rerank(spark, d):
     return x.groupBy("user_id").agg(F.round(F.sum(age_decay(age, 1800.0, 21600.0)), 6).alias("score")).where("score > 0")
 
 
-@register("latest_by_type", "SELECT event_type, count(*)::BIGINT AS n, arg_max(value, row(ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY 1")
+@register("latest_by_type", "SELECT event_type, count(*)::BIGINT AS n, arg_max(value, row(ts, event_id)) AS value, epoch_us(max(ts)) AS ts FROM events GROUP BY 1")
 def latest_by_type(spark, d):
-    return S.latest_by(read(spark, d, "events"), "event_type", "value")
+    return S.latest_by(read(spark, d, "events"), "event_type", "value").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @register("session_savings", "SELECT role, count(*)::BIGINT AS calls, sum(t)::BIGINT AS tokens, sum(greatest(0, 1800 - t))::BIGINT AS saved FROM (SELECT role, ceil(length(text) / 4)::BIGINT AS t FROM conversations) GROUP BY 1")
@@ -61,14 +61,14 @@ def hash_chain_build(spark, d):
     return _chain(spark, d).select("user_id", "event_id", "prev", "hash")
 
 
-@register("hash_chain_verify", "SELECT user_id, count(*)::BIGINT AS rows, CASE WHEN user_id % 10 = 0 AND count(*) >= 3 THEN 3 END::BIGINT AS first_broken FROM events GROUP BY 1")
+@register("hash_chain_verify", "SELECT user_id, count(*)::BIGINT AS rows, CASE WHEN user_id % 10 = 0 AND count(*) >= 3 THEN 3 ELSE 0 END::BIGINT AS first_broken FROM events GROUP BY 1")
 def hash_chain_verify(spark, d):
-    """Chains of which every tenth user's third row is changed after the fact."""
+    """Chains of which every tenth user's third row is changed after the fact; 0 stands for an unbroken chain."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     x = _chain(spark, d).withColumn("n", n).withColumn("core", F.when((F.col("user_id") % 10 == 0) & (F.col("n") == 3), F.concat("core", F.lit("!"))).otherwise(F.col("core"))).drop("n")
-    return S.verify_chain(x, "user_id", ["ts", "event_id"])
+    return S.verify_chain(x, "user_id", ["ts", "event_id"]).na.fill(0, ["first_broken"])
 
 
 @register("incremental_diff", "SELECT status, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id % 20 = 1 THEN 'new' WHEN doc_id % 20 = 2 THEN 'removed' WHEN doc_id % 20 = 3 THEN 'changed' ELSE 'same' END AS status FROM documents) GROUP BY 1")
