@@ -14,7 +14,9 @@ from strataforge.llm.common import join_hot, scratch, small_batches, table, writ
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
 #: Batches that a bulk load is taken in, and runs of a level that are compacted to one of the next.
-BATCHES, FANOUT = 8, 4
+BATCHES, FANOUT = 4, 2
+#: Rows of a run in a file, in expectation.
+FILE_ROWS = 500_000
 #: The id that a null id counts as: below all others.
 NO_ID = -(1 << 63)
 
@@ -64,15 +66,16 @@ class LineRuns:
 
     SCHEMA = "hash binary, n_docs long, last_id long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, files: int = 1):
+        """files: into how many a batch's run is written; a merged run has as many as its parts."""
+        self.spark, self.path, self.fanout, self.files = spark, path or scratch(spark, "line-runs"), fanout, files
         self.levels: list[list[str]] = [[]]
         self.count = 0
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self.count}"
         self.count += 1
-        run.sortWithinPartitions("hash").write.parquet(path)
+        run.coalesce(self.files * self.fanout**level).sortWithinPartitions("hash").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -84,19 +87,20 @@ class LineRuns:
         return self._read(paths).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
 
     def held(self) -> DataFrame:
-        """The hashes of all runs, repeated where runs repeat them."""
-        return self._read([p for level in self.levels for p in level]).select("hash").hint("merge")
+        """The hash of each line of the runs, once: where it has entered."""
+        return self._read([p for level in self.levels for p in level]).where("last_id IS NOT NULL").select("hash")
 
     def new_lines(self, lines: DataFrame) -> DataFrame:
         """The batch's lines that no run holds."""
-        return lines.join(self.held(), "hash", "left_anti")
+        return lines.join(self.held().hint("merge"), "hash", "left_anti")
 
     def add(self, lines: DataFrame) -> None:
         """lines: (id, hash). A document counts once, however often its id or the line is repeated in the batch; a document's lines belong in one batch."""
         batch = lines.groupBy("hash").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("last_id"))
         if self.count:
-            again = batch.join(self.held(), "hash", "left_semi").withColumn("last_id", F.lit(None).cast("long"))
-            batch = self.new_lines(batch).unionByName(again)
+            # One merge join for both: rows without a match are the anti-join, the others add to the count.
+            held = self.held().withColumn("held", F.lit(True)).hint("merge")
+            batch = batch.join(held, "hash", "left").select("hash", "n_docs", F.when(F.col("held").isNull(), F.col("last_id")).alias("last_id"))
         self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -118,7 +122,7 @@ def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     batch = sum((F.when(F.col("id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
     lines = doc_lines(docs, min_chars).withColumn("batch", batch)
     lines = written(lines, "lines", "batch")
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, files=-(-lines.count() // batches // FILE_ROWS) or 1)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("id", "hash"))
     return lines.select("id", "hash"), runs.seen().where(F.col("n_docs") >= min_docs)
