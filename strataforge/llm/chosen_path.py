@@ -28,6 +28,9 @@ DENSE = 0.5
 CELL_SETS, CELL_SHINGLES = 512, 2 << 20
 NO_ID = -(1 << 63)
 
+#: Rows of narrow tables, and of tables with sketches, in a partition of a checkpoint.
+EDGE_ROWS, NODE_ROWS = 250_000, 20_000
+
 U = np.uint64
 _rng = np.random.default_rng(505)
 TIMES = _rng.integers(1, 1 << 63, WORDS * 2, dtype=np.uint64) * U(2) + U(1)
@@ -109,18 +112,25 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
 
 
+def _parts(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node connected to each node of the edges (a, b), by large and small stars until nothing changes."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, total = None, 2 * e.count()
+    # Edges don't grow in number, so the checkpoints, and the shuffles that read them, need no more partitions than this.
+    n = _parts(total, EDGE_ROWS)
+    e = e.coalesce(n)
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
         large = join_hot(both, low, "a", "k", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
+        large = cut(large.coalesce(n))
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
         small = join_hot(large, low, "a", "k", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = cut(small)
+        e = cut(small.coalesce(n))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -139,7 +149,7 @@ def _sized(members: DataFrame, total: int) -> DataFrame:
 def buckets(nodes: DataFrame, runs: int, limit: int = BUCKET) -> DataFrame:
     """(cell, node): every set in each bucket to compare; buckets have at most about ``limit`` sets."""
     total = runs * nodes.count()
-    members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path")), total))
+    members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path")), total).coalesce(_parts(total, EDGE_ROWS)))
     out = [members.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node")]
     big = members.where(F.col("size") > limit)
     for depth in range(DEPTH):
@@ -355,9 +365,10 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORD
     base = cut(signed(docs, runs, words))
     with_set = base.where(F.col("node").isNotNull())
     nodes = with_set.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
-    nodes = cut(nodes)
+    total = base.count()
+    nodes = cut(nodes.coalesce(_parts(total, NODE_ROWS)))
     near = components(candidate_edges(buckets(nodes, runs), nodes, equal))
-    members = cut(near.join(nodes.select("node", "id", "w", "n"), "node"))
+    members = cut(near.join(nodes.select("node", "id", "w", "n"), "node").coalesce(_parts(total, NODE_ROWS)))
     found = cut(verified(members, docs, threshold, words))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     root = found.where(~F.col("open")).select("node", F.col("to").alias("class"))
@@ -365,11 +376,10 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORD
     if not spread.isEmpty():
         root = root.unionByName(components(spread).select("node", F.col("root").alias("class")))
     known = nodes.select("node", "id", "w").join(sums, "node", "left").join(root, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    known = cut(known)
+    known = cut(known.coalesce(_parts(total, NODE_ROWS)))
     first = known.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("k"))
-    total = base.count()
     known = join_hot(known, first, "class", "k", total).select("node", "class_id", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
-    out = join_hot(base.select("id", "node"), cut(known), "node", "w", total, "left")
+    out = join_hot(base.select("id", "node"), cut(known.coalesce(_parts(total, NODE_ROWS))), "node", "w", total, "left")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.when(F.col("node").isNull(), real("id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
