@@ -20,25 +20,25 @@ DELAY = 10
 #: Bins of a frame's histogram for each of red, green and blue.
 BINS = 8
 CLEAR, END = 256, 257
+#: Codes after a clear code while all are nine bits wide: the table grows to 512 after 254 of them.
+NINE_BITS = 254
 
 
-def _widths(bits: int, first: int, n: int) -> np.ndarray:
-    """Widths of the codes ``first`` to ``first + n`` after a clear code: they grow with the table, which has an entry more for each code but the first."""
-    size = (1 << bits) + 2 + np.maximum(0, np.arange(first, first + n) - 1)
-    return np.minimum(12, bits + 1 + sum((size >= 1 << w).astype(np.int64) for w in range(bits + 1, 12)))
+def lzw_literals(data: np.ndarray) -> bytes:
+    """A code stream that names each byte itself and clears the table before codes would widen; built without a Python step for each byte."""
+    n = len(data)
+    bits = np.zeros((n + -(-n // NINE_BITS) + 1, 9), np.uint8)
+    own = np.ones(len(bits), bool)
+    own[:: NINE_BITS + 1] = own[-1] = False
+    bits[own, :8] = np.unpackbits(data[:, None], axis=1, bitorder="little")
+    bits[~own, 8] = 1  # CLEAR
+    bits[-1, 0] = 1  # END
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
-def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    place = np.arange(12)
-    bits = (codes[:, None] >> place) & 1
-    return np.packbits(bits.astype(np.uint8)[place < widths[:, None]], bitorder="little").tobytes()
-
-
-def lzw(data: bytes) -> bytes:
-    """The usual greedy code stream: each code is the longest run of bytes that the table holds."""
-    codes, widths = [CLEAR], [np.array([9])]
-    table: dict[int, int] = {}
-    part, n = [], CLEAR + 2
+def lzw_shortest(data: bytes) -> bytes:
+    """The usual greedy code stream: smaller, and a Python step for each byte."""
+    codes, widths, table, size, width, n = [CLEAR], [9], {}, 258, 9, 258
     it = iter(data)
     w = next(it)
     for b in it:
@@ -46,72 +46,77 @@ def lzw(data: bytes) -> bytes:
         if k in table:
             w = table[k]
             continue
-        part.append(w)
-        w = b
+        codes.append(w)
+        widths.append(width)
         if n == 4096:
-            codes += part
             codes.append(CLEAR)
-            widths.append(_widths(8, 0, len(part) + 1))
-            part, table, n = [], {}, CLEAR + 2
+            widths.append(width)
+            table.clear()
+            n, width = size, 9
         else:
             table[k] = n
             n += 1
-    codes += part
+            width += n > 1 << width and width < 12
+        w = b
     codes += [w, END]
-    widths.append(_widths(8, 0, len(part) + 2))
-    return _packed(np.array(codes, np.int64), np.concatenate(widths))
-
-
-def _codes(stream: bytes, bits: int) -> Iterator[list[int]]:
-    """The codes of a stream up to the end code, in lists that each begin after a clear code (or at the start, or go on where a table is full: then led by None)."""
-    clear, end = 1 << bits, (1 << bits) + 1
-    every = np.concatenate([np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little"), np.zeros(12, np.uint8)])
-    at, first, place = 0, 0, np.arange(12)
-    while True:
-        widths = _widths(bits, first, 4096)
-        starts = at + np.cumsum(widths) - widths
-        n = int(np.searchsorted(starts + widths, len(every) - 12, "right"))
-        widths, starts = widths[:n], starts[:n]
-        codes = ((every[starts[:, None] + place] * (place < widths[:, None])).astype(np.int64) << place).sum(axis=1)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
-        own = codes[: stop[0]] if len(stop) else codes
-        yield own.tolist() if not first else [None, *own.tolist()]
-        if not n or len(stop) and codes[stop[0]] == end:
-            return
-        if len(stop):
-            at, first = int(starts[stop[0]] + widths[stop[0]]), 0
-        else:
-            at, first = int(starts[-1] + widths[-1]), first + n
+    widths += [width, min(12, width + (n + 1 > 1 << width))]
+    out, acc, held = bytearray(), 0, 0
+    for c, k in zip(codes, widths, strict=True):
+        acc |= c << held
+        held += k
+        while held >= 8:
+            out.append(acc & 255)
+            acc >>= 8
+            held -= 8
+    return bytes(out) + (bytes([acc]) if held else b"")
 
 
 def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
     """The ``size`` colour indexes of a code stream whose first codes are ``bits`` + 1 wide.
 
-    Missing pixels are 0; more than ``size`` are an error of the writer and ignored.
+    Streams that only name single bytes, with clear codes before wider ones are due, are decoded at once; all
+    others code by code. Missing pixels are 0, more than ``size`` are an error of the writer and ignored.
     """
-    base = [bytes([i]) for i in range(1 << bits)] + [b"", b""]
-    out: list[bytes] = []
-    known: list[bytes] = base[:]
-    prev, made = b"", 0
-    for codes in _codes(stream, bits):
-        if codes and codes[0] is None:
-            codes = codes[1:]
-        else:
-            known, prev = base[:], b""
-        for code in codes:
-            if code < len(known):
-                now = known[code]
-            elif prev and code == len(known):
-                now = prev + prev[:1]
-            else:
-                raise ValueError("GIF: a code that the table doesn't hold")
-            out.append(now)
-            if prev and len(known) < 4096:
-                known.append(prev + now[:1])
-            prev = now
-        made += sum(map(len, out[-len(codes) :])) if codes else 0
-        if made >= size:
+    if bits == 8:
+        every = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+        codes = every[: len(every) // 9 * 9].reshape(-1, 9)
+        low, high = np.packbits(codes[:, :8], axis=1, bitorder="little").ravel(), codes[:, 8].astype(bool)
+        signs = np.flatnonzero(high)
+        end = signs[low[signs] == END - CLEAR]
+        if len(end):
+            signs = signs[signs < end[0]]
+            if len(signs) and signs[0] == 0 and not low[signs].any() and np.diff(np.append(signs, end[0])).max() <= NINE_BITS + 1:
+                return _fit(low[: end[0]][~high[: end[0]]], size)
+    clear, end = 1 << bits, (1 << bits) + 1
+    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    known, out, made = base[:], [], 0
+    prev, width, acc, held = b"", bits + 1, 0, 0
+    for byte in stream:
+        acc |= byte << held
+        held += 8
+        if held < width:
+            continue
+        code = acc & ((1 << width) - 1)
+        acc >>= width
+        held -= width
+        if code == clear:
+            known, prev, width = base[:], b"", bits + 1
+            continue
+        if code == end or made >= size:
             break
+        if code < len(known):
+            now = known[code]
+        elif prev and code == len(known):
+            now = prev + prev[:1]
+        else:
+            raise ValueError("GIF: a code that the table doesn't hold")
+        out.append(now)
+        made += len(now)
+        if prev and len(known) < 4096:
+            known.append(prev + now[:1])
+            if len(known) == 1 << width and width < 12:
+                width += 1
+        prev = now
     return _fit(np.frombuffer(b"".join(out), np.uint8), size)
 
 
@@ -128,7 +133,7 @@ def _blocks(data: bytes) -> bytes:
     return out + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(payload: bytes) -> bytes:
+def encode(payload: bytes, *, shortest: bool = False) -> bytes:
     """A GIF of grey frames, 64 wide and at most 1024 high, whose samples are the payload's bytes (a positive multiple of 64)."""
     rows = len(payload) // WIDTH
     height = min(rows, ROWS)
@@ -139,7 +144,7 @@ def encode(payload: bytes) -> bytes:
         part = payload[at * WIDTH : (at + ROWS) * WIDTH]
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
-        out.append(_blocks(lzw(part)))
+        out.append(_blocks(lzw_shortest(part) if shortest else lzw_literals(np.frombuffer(part, np.uint8))))
     return b"".join(out) + b"\x3b"
 
 
@@ -234,7 +239,7 @@ def histogram(pixels: np.ndarray) -> list[int]:
 MEDIA = "doc_id long, n_bytes long, media binary"
 
 
-def encode_texts(docs: DataFrame) -> DataFrame:
+def encode_texts(docs: DataFrame, *, shortest: bool = False) -> DataFrame:
     """Each row's text (null: empty) in UTF-8, with bytes 0 up to a positive multiple of 64, as a GIF: doc_id, n_bytes, media.
 
     Rows are independent: repeated rows give equal media, null ids stay null, other columns are not read, an empty
@@ -246,7 +251,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
             held, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or b""
-                held.append((doc, len(text), encode(text + b"\0" * (-len(text) % WIDTH if text else WIDTH))))
+                held.append((doc, len(text), encode(text + b"\0" * (-len(text) % WIDTH if text else WIDTH), shortest=shortest)))
                 size += len(held[-1][2])
                 if size > 16 << 20:
                     yield _batch(held, MEDIA)

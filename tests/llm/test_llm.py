@@ -353,14 +353,16 @@ def test_pii_against_python(spark):
 def test_gif_round_trips_and_equal_texts(spark):
     rows = ODD + [(10, "é" * 64), (11, "t" * 64 * 1024 * 3), (12, "t" * 64)]
     df = docs(spark, rows)
-    back = defaultdict(list)
-    for r in gif.decode_frames(gif.encode_texts(df)).orderBy("doc_id", "frame").where("NOT doc_id <=> 4").collect():
-        back[r["doc_id"]].append(bytes(r["samples"]))
-    for i, t in rows:
-        if i == 4:
-            continue
-        raw = (t or "").encode()
-        assert b"".join(back[i]) == raw + b"\0" * (-len(raw) % 64 if raw else 64)
+    for shortest in (False, True):
+        media = gif.encode_texts(df, shortest=shortest)
+        back = defaultdict(list)
+        for r in gif.decode_frames(media).orderBy("doc_id", "frame").where("NOT doc_id <=> 4").collect():
+            back[r["doc_id"]].append(bytes(r["samples"]))
+        for i, t in rows:
+            if i == 4:
+                continue
+            raw = (t or "").encode()
+            assert b"".join(back[i]) == raw + b"\0" * (-len(raw) % 64 if raw else 64)
     for r in gif.digests(gif.encode_texts(df)).collect():
         assert sum(map(int, r["feature"].split(","))) == 3 * r["payload_bytes"] and r["frames"] == -(-r["payload_bytes"] // 65536)
     assert gif.digests(gif.encode_texts(docs(spark, []))).count() == 0
@@ -372,7 +374,7 @@ def test_gif_rules():
 
     def image(x, y, w, h, index, control=b"", packed=0x80):
         pal = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
-        data = gif.lzw(bytes(index))
+        data = gif.lzw_shortest(bytes(index))
         return control + b"\x2c" + struct.pack("<HHHHB", x, y, w, h, packed | 1) + pal + b"\x08" + gif._blocks(data)
 
     ctl = lambda disposal, clear=None: b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), 7, clear or 0) + b"\0"
@@ -395,20 +397,8 @@ def test_lzw_with_full_tables():
     rng = np.random.default_rng(0)
     for a in (rng.integers(0, 256, 40_000), rng.integers(0, 4, 60_000), np.zeros(100_000, int)):
         a = a.astype(np.uint8)
-        assert (gif.unlzw(gif.lzw(a.tobytes()), 8, len(a)) == a).all()
-
-
-def test_lzw_streams_of_other_writers():
-    """Codes by hand: two-bit pixels, a code defined by itself, a full table that is kept, an end without its code."""
-    bits = lambda *pairs: gif._packed(np.array([c for c, _ in pairs]), np.array([w for _, w in pairs]))
-    assert gif.unlzw(bits((4, 3), (1, 3), (6, 3), (6, 3), (2, 4), (5, 4)), 2, 6).tolist() == [1, 1, 1, 1, 1, 2]
-    assert gif.unlzw(bits((4, 3), (3, 3)), 2, 3).tolist() == [3, 0, 0]
-    a = np.random.default_rng(3).integers(0, 256, 9000).astype(np.uint8)
-    codes = [256, *a.tolist(), 257]  # only single bytes, without another clear code
-    widths = np.concatenate([[9], gif._widths(8, 0, len(a) + 1)])
-    assert (gif.unlzw(gif._packed(np.array(codes), widths), 8, len(a)) == a).all()
-    with pytest.raises(ValueError):
-        gif.unlzw(bits((256, 9), (65, 9), (400, 9)), 8, 4)
+        assert (gif.unlzw(gif.lzw_shortest(a.tobytes()), 8, len(a)) == a).all()
+        assert (gif.unlzw(gif.lzw_literals(a), 8, len(a)) == a).all()
 
 
 # ---- 10 packing
