@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -75,7 +76,7 @@ def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
     """The ``size`` colour indexes of a code stream whose first codes are ``bits`` + 1 wide.
 
     Streams that only name single bytes, with clear codes before wider ones are due, are decoded at once; all
-    others code by code. Missing pixels are 0, more than ``size`` are an error of the writer and ignored.
+    others code by code. Missing pixels are refused, more than ``size`` are an error of the writer and ignored.
     """
     if bits == 8:
         every = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
@@ -87,41 +88,67 @@ def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
             signs = signs[signs < end[0]]
             if len(signs) and signs[0] == 0 and not low[signs].any() and np.diff(np.append(signs, end[0])).max() <= NINE_BITS + 1:
                 return _fit(low[: end[0]][~high[: end[0]]], size)
+    if not 0 < bits < 9:
+        raise ValueError("GIF: codes of no possible width")
     clear, end = 1 << bits, (1 << bits) + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    known, out, made = base[:], [], 0
-    prev, width, acc, held = b"", bits + 1, 0, 0
-    for byte in stream:
-        acc |= byte << held
-        held += 8
-        if held < width:
-            continue
-        code = acc & ((1 << width) - 1)
-        acc >>= width
-        held -= width
-        if code == clear:
-            known, prev, width = base[:], b"", bits + 1
-            continue
-        if code == end or made >= size:
+    known, out, made, prev = base[:], [], 0, b""
+    every, total = np.frombuffer(stream + b"\0\0", np.uint8).astype(np.int64), 8 * len(stream)
+    at, done, stop = 0, 0, -1  # the next code's first bit; codes read since the last clear code
+    while made < size and stop != end:
+        widths, ends = _steps(bits, min(done, 4096), 4096 if done else 512)
+        n = int(np.searchsorted(ends, total - at, "right"))
+        if not n:
             break
-        if code < len(known):
-            now = known[code]
-        elif prev and code == len(known):
-            now = prev + prev[:1]
-        else:
-            raise ValueError("GIF: a code that the table doesn't hold")
-        out.append(now)
-        made += len(now)
-        if prev and len(known) < 4096:
-            known.append(prev + now[:1])
-            if len(known) == 1 << width and width < 12:
-                width += 1
-        prev = now
+        starts = at + ends[:n] - widths[:n]
+        low = starts >> 3
+        codes = (every[low] | every[low + 1] << 8 | every[low + 2] << 16) >> (starts & 7) & (1 << widths[:n]) - 1
+        signs = np.flatnonzero((codes == clear) | (codes == end))
+        own = codes[: signs[0]].tolist() if len(signs) else codes.tolist()
+        first = len(out)
+        for code in own:
+            if code < len(known):
+                now = known[code]
+            elif prev and code == len(known) < 4096:
+                now = prev + prev[:1]
+            elif made + sum(map(len, out[first:])) >= size:
+                break
+            else:
+                raise ValueError("GIF: a code that the table doesn't hold")
+            out.append(now)
+            if prev and len(known) < 4096:
+                known.append(prev + now[:1])
+            prev = now
+        made += sum(map(len, out[first:]))
+        stop, at, done = -1, at + int(ends[n - 1]), done + n
+        if len(signs):
+            stop, at, done = int(codes[signs[0]]), int(starts[signs[0]] + widths[signs[0]]), 0
+            known, prev = base[:], b""
     return _fit(np.frombuffer(b"".join(out), np.uint8), size)
 
 
+def _widths(bits: int, first: int, n: int) -> np.ndarray:
+    """Widths of the codes ``first`` to ``first + n`` after a clear code: they grow with the table, which has an entry more for each code but the first."""
+    size = (1 << bits) + 2 + np.maximum(0, np.arange(first, first + n) - 1)
+    return np.minimum(12, bits + 1 + sum((size >= 1 << w).astype(np.int64) for w in range(bits + 1, 12)))
+
+
+@functools.lru_cache(64)
+def _steps(bits: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_widths(), and the bits up to the end of each code."""
+    widths = _widths(bits, first, n)
+    return widths, np.cumsum(widths)
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    every = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(every[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
+
+
 def _fit(a: np.ndarray, size: int) -> np.ndarray:
-    return a[:size] if len(a) >= size else np.concatenate([a, np.zeros(size - len(a), np.uint8)])
+    if len(a) < size:
+        raise ValueError("GIF: pixels are missing")
+    return a[:size]
 
 
 def _blocks(data: bytes) -> bytes:

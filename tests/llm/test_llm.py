@@ -401,6 +401,46 @@ def test_lzw_with_full_tables():
         assert (gif.unlzw(gif.lzw_literals(a), 8, len(a)) == a).all()
 
 
+def test_lzw_streams_of_other_writers():
+    """Codes by hand: two-bit pixels, a code defined by itself, a full table that is kept, missing pixels."""
+    bits = lambda *pairs: gif._packed(np.array([c for c, _ in pairs]), np.array([w for _, w in pairs]))
+    assert gif.unlzw(bits((4, 3), (1, 3), (6, 3), (6, 3), (2, 4), (5, 4)), 2, 6).tolist() == [1, 1, 1, 1, 1, 2]
+    assert gif.unlzw(bits((4, 3), (3, 3), (5, 3)), 2, 1).tolist() == [3]
+    for missing in (bits((4, 3), (3, 3)), bits((4, 3), (3, 3), (5, 3)), b""):
+        with pytest.raises(ValueError):
+            gif.unlzw(missing, 2, 3)
+    with pytest.raises(ValueError):
+        gif.unlzw(gif.lzw_literals(np.zeros(5, np.uint8)), 8, 6)
+    a = np.random.default_rng(3).integers(0, 256, 9000).astype(np.uint8)
+    codes = [256, *a.tolist(), 257]  # only single bytes, without another clear code
+    widths = np.concatenate([[9], gif._widths(8, 0, len(a) + 1)])
+    assert (gif.unlzw(gif._packed(np.array(codes), widths), 8, len(a)) == a).all()
+    with pytest.raises(ValueError):
+        gif.unlzw(bits((256, 9), (65, 9), (400, 9)), 8, 4)
+
+
+def test_lzw_of_small_palettes():
+    """Images of 2 to 128 colours, each pixel named by its own code with a clear code before codes widen, or greedy."""
+    rng = np.random.default_rng(4)
+    for bits in range(2, 8):
+        a = rng.integers(0, 1 << bits, 700).astype(np.uint8)
+        own, codes = (1 << bits) - 2, []
+        for at in range(0, len(a), own):
+            codes += [1 << bits, *a[at : at + own].tolist()]
+        codes.append((1 << bits) + 1)
+        assert (gif.unlzw(gif._packed(np.array(codes), np.full(len(codes), bits + 1)), bits, len(a)) == a).all()
+        table, w, greedy = {(x,): x for x in range(1 << bits)}, (), []
+        for x in a.tolist():
+            if (*w, x) in table:
+                w = (*w, x)
+                continue
+            greedy.append(table[w])
+            table[(*w, x)] = len(table) + 2
+            w = (x,)
+        greedy += [table[w], (1 << bits) + 1]
+        assert (gif.unlzw(gif._packed(np.array(greedy), gif._widths(bits, 0, len(greedy))), bits, len(a)) == a).all()
+
+
 # ---- 10 packing
 
 TOKENS = ["don't STOP <|endoftext|> naïve İstanbul ΣΑΣ é \x1d x\x85y 中文 ½ ²", "'S 'LL it''s", "ß Éa—b…", "a b 123,45 <|x", "\x00\x01 q", "ÀÉÞß×÷ ÿ", "a!!'S 'x", "", "   ", "x" * 3000]
