@@ -39,37 +39,27 @@ def lzw_literals(data: np.ndarray) -> bytes:
 
 def lzw_shortest(data: bytes) -> bytes:
     """The usual greedy code stream: smaller, and a Python step for each byte."""
-    codes, widths, table, size, width, n = [CLEAR], [9], {}, 258, 9, 258
-    it = iter(data)
-    w = next(it)
+    # Codes stand 8 bits higher, so a code and a byte make a key in one step.
+    codes, table, n = [CLEAR << 8], {}, CLEAR + 2 << 8
+    put, it = codes.append, iter(data)
+    w = next(it) << 8
     for b in it:
-        k = w << 8 | b
+        k = w | b
         if k in table:
             w = table[k]
             continue
-        codes.append(w)
-        widths.append(width)
-        if n == 4096:
-            codes.append(CLEAR)
-            widths.append(width)
-            table.clear()
-            n, width = size, 9
+        put(w)
+        if n == 4096 << 8:
+            put(CLEAR << 8)
+            table, n = {}, CLEAR + 2 << 8
         else:
             table[k] = n
-            n += 1
-            width += n > 1 << width and width < 12
-        w = b
-    codes += [w, END]
-    widths += [width, min(12, width + (n + 1 > 1 << width))]
-    out, acc, held = bytearray(), 0, 0
-    for c, k in zip(codes, widths, strict=True):
-        acc |= c << held
-        held += k
-        while held >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            held -= 8
-    return bytes(out) + (bytes([acc]) if held else b"")
+            n += 256
+        w = b << 8
+    codes += [w, END << 8]
+    # A clear code comes after 3,839 others: the first adds no entry, and 3,838 fill the table.
+    widths = np.concatenate([[9], np.resize(_steps(8, 0, 4096 - CLEAR)[0], len(codes) - 1)])
+    return _packed(np.array(codes, np.int64) >> 8, widths)
 
 
 def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
@@ -105,20 +95,24 @@ def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
         codes = (every[low] | every[low + 1] << 8 | every[low + 2] << 16) >> (starts & 7) & (1 << widths[:n]) - 1
         signs = np.flatnonzero((codes == clear) | (codes == end))
         own = codes[: signs[0]].tolist() if len(signs) else codes.tolist()
-        first = len(out)
-        for code in own:
-            if code < len(known):
-                now = known[code]
-            elif prev and code == len(known) < 4096:
-                now = prev + prev[:1]
-            elif made + sum(map(len, out[first:])) >= size:
-                break
-            else:
-                raise ValueError("GIF: a code that the table doesn't hold")
-            out.append(now)
-            if prev and len(known) < 4096:
-                known.append(prev + now[:1])
-            prev = now
+        first, room = len(out), 4096 - len(known) + (not prev)
+        put, grow = out.append, known.append
+        try:
+            for code in own[:room]:
+                try:
+                    now = known[code]
+                except IndexError:
+                    if not prev or code != len(known):
+                        raise
+                    now = prev + prev[:1]
+                if prev:
+                    grow(prev + now[:1])
+                put(now)
+                prev = now
+            out += map(known.__getitem__, own[room:])
+        except IndexError:
+            if made + sum(map(len, out[first:])) < size:
+                raise ValueError("GIF: a code that the table doesn't hold") from None
         made += sum(map(len, out[first:]))
         stop, at, done = -1, at + int(ends[n - 1]), done + n
         if len(signs):
@@ -339,4 +333,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_texts(table(spark, sf_dir, "documents")))
+    return digests(encode_texts(table(spark, sf_dir, "documents"), shortest=True))

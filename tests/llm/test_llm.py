@@ -368,6 +368,15 @@ def test_gif_round_trips_and_equal_texts(spark):
     assert gif.digests(gif.encode_texts(docs(spark, []))).count() == 0
 
 
+def test_gif_query_writes_greedy_streams(spark, tmp_path):
+    text = " ".join(f"word{i % 50}" for i in range(3000))
+    docs(spark, [(1, text)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = gif.op9_media_gif(spark, str(tmp_path)).collect()[0]
+    raw = text.encode() + b"\0" * (-len(text) % 64)
+    assert got["payload_sha256"] == hashlib.sha256(raw).hexdigest()
+    assert got["media_sha256"] == hashlib.sha256(gif.encode(raw, shortest=True)).hexdigest() and 2 * got["media_bytes"] < len(raw)
+
+
 def test_gif_rules():
     """A hand-made file: own palette, transparency, disposal, interlacing."""
     import struct
