@@ -224,6 +224,27 @@ def test_rules_are_mined_from_labels(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, labelled, support=0.05, confidence=0.6).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_rules_of_any_length_against_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    rows = [("http://x/" + "/".join(sorted(rng.sample("abcdef", rng.randrange(1, 6)))), False) for _ in range(120)]
+    rows = [(u, {"a", "b", "c"} < set(u[9:].split("/")) or rng.random() < 0.15) for u, _ in rows] + [("http://x/a/b/c", True)] * 4
+    sets = [({"x", *u[9:].split("/")}, bad) for u, bad in rows]
+    want = []
+    for k in range(1, 8):
+        for some in map(set, combinations("abcdefx", k)):
+            marks = [bad for s, bad in sets if some <= s]
+            if sum(marks) >= 4 and sum(marks) / len(marks) >= 0.75 and not any(w < some for w in want):
+                want.append(some)
+    assert any(len(w) > 2 for w in want)
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    got = [set(r["antecedent"]) for r in url_filters.mine(df, support=4 / len(rows), confidence=0.75).collect()]
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want))
+    verdicts = {r["url"]: r["verdict"] for r in url_filters.judge(df.select("url"), df, support=4 / len(rows), confidence=0.75).collect()}
+    assert verdicts == {u: "block" if any(w <= s for w in want) else "allow" for (u, _), (s, _) in zip(rows, sets, strict=True)}
+
+
 # ---- 5 language
 
 def test_language_backoff_and_unknown(spark):
