@@ -12,8 +12,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, or without text, go."""
-    return language_id.identify(docs).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Documents without any letter, or without text, go; where no language can be learned, all others stay without one."""
+    letters = (F.col("score") > 0) | F.col("text").rlike(r"\p{L}")
+    return language_id.identify(docs).where(letters).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

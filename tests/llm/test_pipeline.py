@@ -48,3 +48,15 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert ids("n-gram Jaccard join") == [*range(8), 32]
     assert set(ids("packing")) == set(ids("mixing sources")) <= {*range(8), 32}
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == seen["packing"].columns
+
+
+def test_pipeline_without_languages(spark, tmp_path):
+    """With lang null in all rows nothing can be learned: documents with letters stay, others go."""
+    import corpus_pipeline
+
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    docs = [(k, body(k), None, "a" if k % 2 else None, None) for k in range(6)] + [(10, "?! 12 ½", None, "a", 0), (11, None, None, "a", 0), (12, "日本", None, "a", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, str(tmp_path)).collect()) == [*range(6), 12]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
