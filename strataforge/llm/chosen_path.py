@@ -9,7 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
@@ -352,15 +352,8 @@ def _spread(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links of every row: rows with Jaccard similarity of at least ``threshold`` are linked.
-
-    Sets are of shingles of ``words`` lower-case words between blanks; a shorter text is one shingle. class_id is the smallest
-    id of all rows linked directly or through others; n_links counts linked rows (equal sets included), n_text_links linked
-    sets other than the row's own. Null, empty and blank texts have no shingle: they are linked to nothing and are their own
-    class. Rows that repeat an id count as rows; null ids count as one id below all others and come back null. Other columns
-    are not read; an empty table gives an empty one.
-    """
+def _classified(docs: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
+    """id, node of every row with class_id, n_links, n_text_links and head: whether its set is the one by which the class has its id."""
     runs, equal = runs_for(recall, threshold), least_equal(recall, threshold)
     base = cut(signed(docs, runs, words))
     with_set = base.where(F.col("node").isNotNull())
@@ -377,22 +370,56 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORD
         root = root.unionByName(components(spread).select("node", F.col("root").alias("class")))
     known = nodes.select("node", "id", "w").join(sums, "node", "left").join(root, "node", "left").withColumn("class", F.coalesce("class", "node"))
     known = cut(known.coalesce(_parts(total, NODE_ROWS)))
-    first = known.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("k"))
-    known = join_hot(known, first, "class", "k", total).select("node", "class_id", "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
-    out = join_hot(base.select("id", "node"), cut(known.coalesce(_parts(total, NODE_ROWS))), "node", "w", total, "left")
+    first = known.groupBy("class").agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("k"))
+    known = join_hot(known, first, "class", "k", total).select("node", F.col("first.id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("head"), "w", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
+    return join_hot(base.select("id", "node"), cut(known.coalesce(_parts(total, NODE_ROWS))), "node", "w", total, "left")
+
+
+def classify(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_text_links of every row: rows with Jaccard similarity of at least ``threshold`` are linked.
+
+    Sets are of shingles of ``words`` lower-case words between blanks; a shorter text is one shingle. class_id is the smallest
+    id of all rows linked directly or through others; n_links counts linked rows (equal sets included), n_text_links linked
+    sets other than the row's own. Null, empty and blank texts have no shingle: they are linked to nothing and are their own
+    class. Rows that repeat an id count as rows; null ids count as one id below all others and come back null. Other columns
+    are not read; an empty table gives an empty one.
+    """
+    out = _classified(docs, threshold, words, recall)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.when(F.col("node").isNull(), real("id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
-def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose id is their class's, with all columns; of rows that repeat an id and text, one."""
-    classes = classify(docs, **options)
-    ids = classes.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_first"), F.count("*").alias("_rows"))
-    ids = cut(ids.where("_first").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_rows"))
-    kept = docs.withColumn("_id", _id()).join(ids, "_id")
-    if not ids.where("_rows > 1").isEmpty():
-        kept = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_id", "text"]))
-    return kept.select(*docs.columns)
+def with_node(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _node, as in signed()."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in textvec.chunks([len(t or "") for t in texts], 1 << 19):
+                h, begin = shingles(texts[a:b], words)
+                own = [np.unique(h[begin[i] : begin[i + 1]]) for i in range(b - a)]
+                nodes = pa.array([digest(x) if len(x) else None for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, nodes], names=names)
+
+    return small_batches(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _node binary")
+
+
+def first_of_each_class(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """One row of each class by id, set and text, with all columns; of rows without a shingle that repeat an id and text, one."""
+    first = F.col("node").isNull() | (F.col("head") & (F.col("id") == F.col("class_id")))
+    rows = cut(_classified(docs, threshold, words, recall).select("id", "node", first.alias("first")))
+    ids = cut(rows.groupBy(F.col("id").alias("_id")).agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows")).where("_first").drop("_first"))
+    all_rows = docs.withColumn("_id", _id())
+    if ids.where("_rows > 1").isEmpty():
+        return all_rows.join(ids, "_id").select(*docs.columns)
+    # Rows that share an id, as null ids do, are told apart by their sets.
+    heads = rows.where("first").join(ids.where("_rows > 1").select(F.col("_id").alias("id")), "id").select(F.col("id").alias("_of"), F.col("node").alias("_set")).distinct()
+    shared = with_node(all_rows.join(ids.where("_rows > 1").select("_id"), "_id"), words)
+    shared = shared.join(heads, (F.col("_id") == F.col("_of")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
+    order = Window.partitionBy("_id", "_node", F.when(F.col("_node").isNull(), F.col("text"))).orderBy("text")
+    shared = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return all_rows.join(ids.where("_rows = 1").select("_id"), "_id").select(*docs.columns).unionByName(shared.select(*docs.columns))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

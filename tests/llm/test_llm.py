@@ -194,6 +194,19 @@ def test_one_of_each_class_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_one_of_each_class_stays_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    base = [[f"k{k}x{i}" for i in range(80)] for k in range(3)]
+    near = lambda k, i: " ".join([*base[k][:i], "other", *base[k][i + 1 :]])
+    full = lambda k: " ".join(base[k])
+    rows = [(None, full(0)), (None, near(0, 0)), (None, near(0, 79)), (None, None), (None, None), (None, ""), (3, full(1)), (7, near(1, 0)), (7, full(2)), (7, near(2, 0)), (9, near(2, 79)), (9, full(2) + "  ")]
+    rng.shuffle(rows)
+    kept = [(r["doc_id"], r["text"]) for r in chosen_path.first_of_each_class(docs(spark, rows)).collect()]
+    with_words = [(i, next(k for k in range(3) if f"k{k}x5" in t)) for i, t in kept if t]
+    assert sorted(with_words, key=str) == [(3, 1), (7, 2), (None, 0)]
+    assert sorted((x for x in kept if not x[1]), key=str) == [(None, ""), (None, None)]
+
+
 def test_intersections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 50, n).astype(np.uint64)) for n in (3, 30, 1, 20, 40)]
