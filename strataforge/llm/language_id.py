@@ -18,6 +18,8 @@ UNKNOWN = "und"
 FIT_ROWS = 2000
 #: Words and n-grams of each order that a language's model holds at most, the most frequent ones.
 MOST_WORDS, MOST_GRAMS, MOST_ITEMS = 20_000, 8_000, 400_000
+#: Languages learned at most, those with the most rows: a worker's memory of words has a number for each of them (0.6 GB at 512).
+MOST_LANGS = 512
 LONGEST = 5
 #: Counts below are not learned.
 LEAST = 2
@@ -107,10 +109,13 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
-    """Learns from text and lang of rows that are not held out, from a sample of bounded expected size for each language."""
+def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, most_langs: int = MOST_LANGS) -> Model:
+    """Learns from text and lang of rows that are not held out, from a sample of bounded expected size for each language.
+
+    Only the ``most_langs`` languages with the most rows are learned; rows of others teach nothing, and others are never predicted.
+    """
     known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not n:
         return Model([], [{} for _ in range(LONGEST + 1)])
     share = F.element_at(F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, rows / c))]), F.col("lang"))

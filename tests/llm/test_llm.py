@@ -274,6 +274,13 @@ def test_language_backoff_and_unknown(spark):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_more_languages_than_the_default(spark):
+    code = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    rows = [(4 * k + j, f"{code(k)}q {code(k)}q", "s", f"l{k:03}") for k in range(515) for j in range(4)]
+    df = docs(spark, rows)
+    assert len(language_id.fit(df, most_langs=600).langs) == 515 and len(language_id.fit(df, most_langs=2).langs) == 2
+
+
 # ---- 6 nearest neighbours
 
 def test_neighbours_against_brute_force(spark):
