@@ -21,24 +21,10 @@ DELAY = 10
 #: Bins of a frame's histogram for each of red, green and blue.
 BINS = 8
 CLEAR, END = 256, 257
-#: Codes after a clear code while all are nine bits wide: the table grows to 512 after 254 of them.
-NINE_BITS = 254
 
 
-def lzw_literals(data: np.ndarray) -> bytes:
-    """A code stream that names each byte itself and clears the table before codes would widen; built without a Python step for each byte."""
-    n = len(data)
-    bits = np.zeros((n + -(-n // NINE_BITS) + 1, 9), np.uint8)
-    own = np.ones(len(bits), bool)
-    own[:: NINE_BITS + 1] = own[-1] = False
-    bits[own, :8] = np.unpackbits(data[:, None], axis=1, bitorder="little")
-    bits[~own, 8] = 1  # CLEAR
-    bits[-1, 0] = 1  # END
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def lzw_shortest(data: bytes) -> bytes:
-    """The usual greedy code stream: smaller, and a Python step for each byte."""
+def lzw(data: bytes) -> bytes:
+    """The usual greedy code stream, with codes of 9 to 12 bits and a clear code when the table is full."""
     # Codes stand 8 bits higher, so a code and a byte make a key in one step.
     codes, table, n = [CLEAR << 8], {}, CLEAR + 2 << 8
     put, it = codes.append, iter(data)
@@ -65,19 +51,9 @@ def lzw_shortest(data: bytes) -> bytes:
 def unlzw(stream: bytes, bits: int, size: int) -> np.ndarray:
     """The ``size`` colour indexes of a code stream whose first codes are ``bits`` + 1 wide.
 
-    Streams that only name single bytes, with clear codes before wider ones are due, are decoded at once; all
-    others code by code. Missing pixels are refused, more than ``size`` are an error of the writer and ignored.
+    Codes are cut out of the bytes in runs between clear codes, whose widths are known beforehand, and looked up one by
+    one. Missing pixels are refused, more than ``size`` are an error of the writer and ignored.
     """
-    if bits == 8:
-        every = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-        codes = every[: len(every) // 9 * 9].reshape(-1, 9)
-        low, high = np.packbits(codes[:, :8], axis=1, bitorder="little").ravel(), codes[:, 8].astype(bool)
-        signs = np.flatnonzero(high)
-        end = signs[low[signs] == END - CLEAR]
-        if len(end):
-            signs = signs[signs < end[0]]
-            if len(signs) and signs[0] == 0 and not low[signs].any() and np.diff(np.append(signs, end[0])).max() <= NINE_BITS + 1:
-                return _fit(low[: end[0]][~high[: end[0]]], size)
     if not 0 < bits < 9:
         raise ValueError("GIF: codes of no possible width")
     clear, end = 1 << bits, (1 << bits) + 1
@@ -154,18 +130,29 @@ def _blocks(data: bytes) -> bytes:
     return out + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(payload: bytes, *, shortest: bool = False) -> bytes:
-    """A GIF of grey frames, 64 wide and at most 1024 high, whose samples are the payload's bytes (a positive multiple of 64)."""
+#: The written palette: a colour of its own for each byte, so that histograms tell letters from signs and other bytes.
+PALETTE = np.stack([np.arange(256), np.arange(256) * 37 % 256, np.arange(256) * 101 % 256], axis=1).astype(np.uint8)
+
+
+def encode(payload: bytes, padding: int = 0) -> bytes:
+    """A GIF of frames, 64 wide and at most 1024 high, whose samples are the payload's bytes (a positive multiple of 64).
+
+    Frames are cleared before the next one (disposal 2). The last ``padding`` bytes, all 0, are written as transparent
+    pixels where the last frame leaves a colour index unused; what shows through is the background, index 0.
+    """
     rows = len(payload) // WIDTH
-    height = min(rows, ROWS)
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), grey]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), PALETTE.tobytes()]
     out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
     for at in range(0, rows, ROWS):
-        part = payload[at * WIDTH : (at + ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0")
+        part, through = payload[at * WIDTH : (at + ROWS) * WIDTH], None
+        if padding and at + ROWS >= rows:
+            used = np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+            if not used.all():
+                through = 255 - int(np.argmin(used[::-1] > 0))
+                part = part[:-padding] + bytes([through]) * padding
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2 | (through is not None), DELAY, through or 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
-        out.append(_blocks(lzw_shortest(part) if shortest else lzw_literals(np.frombuffer(part, np.uint8))))
+        out.append(_blocks(lzw(part)))
     return b"".join(out) + b"\x3b"
 
 
@@ -185,14 +172,14 @@ def _deinterlaced(a: np.ndarray) -> np.ndarray:
 
 
 def frames(data: bytes) -> Iterator[dict]:
-    """Each image of a GIF: the colour indexes as stored, and the canvas (height, width, red-green-blue-alpha) after it is drawn.
+    """Each image of a GIF: the colour indexes as stored, its samples (the indexes, with the screen's background where they are transparent), and a copy of the canvas (height, width, red-green-blue-alpha) after it is drawn.
 
     Palettes are the image's own or else the screen's; transparent indexes leave the canvas as it is; disposal
     2 clears the image's place before the next one, 3 puts back what was there. Images out of the screen are cut.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    width, height, flags, ground, _ = struct.unpack_from("<HHBBB", data, 6)
     at, screen = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -233,7 +220,8 @@ def frames(data: bytes) -> Iterator[dict]:
             else:
                 over[shown != through] = painted[shown != through]
             counts = _binned(np.bincount(shown.ravel(), minlength=256), colours) if through is None else histogram(place)
-            yield {"index": index, "canvas": canvas, "drawn": place, "histogram": counts, "start_ms": clock, "delay_ms": 10 * delay, "disposal": disposal, "x": x, "y": y}
+            samples = index if through is None else np.where(index == through, np.uint8(ground), index)
+            yield {"index": index, "samples": samples, "canvas": canvas.copy(), "histogram": counts, "start_ms": clock, "delay_ms": 10 * delay, "disposal": disposal, "x": x, "y": y}
             clock += 10 * delay
             if disposal == 2:
                 place[...] = 0
@@ -260,7 +248,7 @@ def histogram(pixels: np.ndarray) -> list[int]:
 MEDIA = "doc_id long, n_bytes long, media binary"
 
 
-def encode_texts(docs: DataFrame, *, shortest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame) -> DataFrame:
     """Each row's text (null: empty) in UTF-8, with bytes 0 up to a positive multiple of 64, as a GIF: doc_id, n_bytes, media.
 
     Rows are independent: repeated rows give equal media, null ids stay null, other columns are not read, an empty
@@ -272,7 +260,8 @@ def encode_texts(docs: DataFrame, *, shortest: bool = False) -> DataFrame:
             held, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or b""
-                held.append((doc, len(text), encode(text + b"\0" * (-len(text) % WIDTH if text else WIDTH), shortest=shortest)))
+                padding = -len(text) % WIDTH if text else WIDTH
+                held.append((doc, len(text), encode(text + b"\0" * padding, padding)))
                 size += len(held[-1][2])
                 if size > 16 << 20:
                     yield _batch(held, MEDIA)
@@ -295,12 +284,16 @@ FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, disposal int, sa
 
 
 def decode_frames(media: DataFrame) -> DataFrame:
-    """The timed frames of a media column: one row for each image, with its samples and what it drew as a histogram."""
+    """The timed frames of a media column: one row for each image, with its samples and what it drew as a histogram.
+
+    Null and empty media have no frame, so no row; repeated rows give repeated frames; other columns are not read; an empty
+    table gives an empty one. Bytes that are no GIF, or lack pixels, are an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(doc, k, f["start_ms"], f["delay_ms"], f["disposal"], f["index"].tobytes(), f["histogram"]) for k, f in enumerate(frames(data or b""))] if data else []
+                rows = [(doc, k, f["start_ms"], f["delay_ms"], f["disposal"], f["samples"].tobytes(), f["histogram"]) for k, f in enumerate(frames(data or b""))] if data else []
                 if rows:
                     yield _batch(rows, FRAMES)
 
@@ -311,15 +304,22 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored media of encode_texts() hold, read back image by image: lengths, digests and the summed histogram."""
+    """What the stored media of encode_texts() hold, read back image by image: lengths, digests and the summed histogram.
+
+    Null media hold nothing: n_bytes stays, lengths and counts are 0, digests and feature null. Repeated rows give equal rows;
+    null ids stay null; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if data is None:
+                    rows.append((doc, n, 0, None, None, 0, None, None, 0, 0))
+                    continue
                 sha, total, size, count, shown, tail = hashlib.sha256(), np.zeros(3 * BINS, np.int64), 0, 0, 0, b""
                 for f in frames(data):
-                    part = f["index"].tobytes()
+                    part = f["samples"].tobytes()
                     sha.update(part)
                     tail = part[-64:]
                     total += f["histogram"]
@@ -329,8 +329,8 @@ def digests(media: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, DIGESTS)
 
-    return media.mapInArrow(run, DIGESTS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS)
 
 
 def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_texts(table(spark, sf_dir, "documents"), shortest=True))
+    return digests(encode_texts(table(spark, sf_dir, "documents")))

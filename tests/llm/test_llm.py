@@ -392,30 +392,90 @@ def test_pii_against_python(spark):
 # ---- 9 GIF
 
 def test_gif_round_trips_and_equal_texts(spark):
-    rows = ODD + [(10, "é" * 64), (11, "t" * 64 * 1024 * 3), (12, "t" * 64)]
+    rows = ODD + [(10, "é" * 64), (11, "t" * 64 * 1024 * 3), (12, "t" * 64), (13, "ends in zeros\0\0"), (14, "".join(map(chr, range(1, 1500))))]
     df = docs(spark, rows)
-    for shortest in (False, True):
-        media = gif.encode_texts(df, shortest=shortest)
-        back = defaultdict(list)
-        for r in gif.decode_frames(media).orderBy("doc_id", "frame").where("NOT doc_id <=> 4").collect():
-            back[r["doc_id"]].append(bytes(r["samples"]))
-        for i, t in rows:
-            if i == 4:
-                continue
-            raw = (t or "").encode()
-            assert b"".join(back[i]) == raw + b"\0" * (-len(raw) % 64 if raw else 64)
-    for r in gif.digests(gif.encode_texts(df)).collect():
-        assert sum(map(int, r["feature"].split(","))) == 3 * r["payload_bytes"] and r["frames"] == -(-r["payload_bytes"] // 65536)
+    media = gif.encode_texts(df)
+    back = defaultdict(list)
+    for r in gif.decode_frames(media).orderBy("doc_id", "frame").where("NOT doc_id <=> 4").collect():
+        back[r["doc_id"]].append(bytes(r["samples"]))
+    for i, t in rows:
+        if i != 4:
+            assert b"".join(back[i]) == padded(t)
     assert gif.digests(gif.encode_texts(docs(spark, []))).count() == 0
 
 
-def test_gif_query_writes_greedy_streams(spark, tmp_path):
-    text = " ".join(f"word{i % 50}" for i in range(3000))
-    docs(spark, [(1, text)]).write.parquet(str(tmp_path / "documents.parquet"))
-    got = gif.op9_media_gif(spark, str(tmp_path)).collect()[0]
-    raw = text.encode() + b"\0" * (-len(text) % 64)
-    assert got["payload_sha256"] == hashlib.sha256(raw).hexdigest()
-    assert got["media_sha256"] == hashlib.sha256(gif.encode(raw, shortest=True)).hexdigest() and 2 * got["media_bytes"] < len(raw)
+def padded(text):
+    raw = (text or "").encode()
+    return raw + b"\0" * (-len(raw) % 64 if raw else 64)
+
+
+def plain_unlzw(data):
+    """Eight-bit GIF codes, a bit at a time."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    at, width, table, prev, out = 0, 9, None, None, b""
+    while True:
+        code, at = int(bits[at : at + width][::-1], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, prev = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        now = table[code] if code < len(table) else prev + prev[:1]
+        if prev is not None and len(table) < 4096:
+            table.append(prev + now[:1])
+        out, prev = out + now, now
+        width = min(12, max(9, len(table).bit_length()))
+
+
+def plain_gif(data):
+    """Samples, histogram counts, images and their time of a stored text, by a plain reader of just this form."""
+    palette, at, samples, total, images, shown = data[13 : 13 + 768], 13 + 768, b"", [0] * 24, 0, 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                packed, delay, index = data[at + 3], data[at + 4] + 256 * data[at + 5], data[at + 6]
+                assert packed >> 2 == 2
+            at += 2
+        else:
+            at += 11
+        parts = b""
+        while n := data[at]:
+            parts, at = parts + data[at + 1 : at + 1 + n], at + 1 + n
+        at += 1
+        if parts.startswith(b"NETSCAPE") or len(parts) == 4 and data[at] == 0x2C:
+            continue
+        pixels, clear = plain_unlzw(parts), index if packed & 1 else None
+        samples += bytes(0 if p == clear else p for p in pixels)
+        for p in pixels:
+            if p != clear:
+                for c in range(3):
+                    total[8 * c + (palette[3 * p + c] >> 5)] += 1
+        images, shown = images + 1, shown + 10 * delay
+    return samples, total, images, shown
+
+
+def test_gif_query_by_brute_force(spark, tmp_path):
+    import zlib
+
+    rows = [*ODD, (20, " ".join(f"word{i % 50}" for i in range(14000))), (21, "z" * 64), (None, "same"), (None, "same"), (22, "".join(chr(i % 900 + 33) for i in range(9000)))]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = gif.op9_media_gif(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        raw = padded(t)
+        data = gif.encode(raw, len(raw) - len((t or "").encode()))
+        samples, total, images, shown = plain_gif(data)
+        assert samples == raw
+        want.append((i, len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, total)), images, shown))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert max(r["media_bytes"] / r["n_bytes"] for r in got if r["doc_id"] == 20) < 0.5
+
+
+def test_null_media_and_other_columns(spark):
+    media = gif.encode_texts(docs(spark, [(1, "a")])).selectExpr("doc_id", "7 AS frame", "n_bytes", "media").unionByName(spark.createDataFrame([(2, 0, None, None)], "doc_id long, frame int, n_bytes long, media binary"))
+    got = {r["doc_id"]: r for r in gif.digests(media).collect()}
+    assert got[1]["payload_bytes"] == 64 and got[2]["payload_bytes"] == 0 and got[2]["payload_sha256"] is None
+    assert {r["doc_id"] for r in gif.decode_frames(media).collect()} == {1}
 
 
 def test_gif_rules():
@@ -424,7 +484,7 @@ def test_gif_rules():
 
     def image(x, y, w, h, index, control=b"", packed=0x80):
         pal = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
-        data = gif.lzw_shortest(bytes(index))
+        data = gif.lzw(bytes(index))
         return control + b"\x2c" + struct.pack("<HHHHB", x, y, w, h, packed | 1) + pal + b"\x08" + gif._blocks(data)
 
     ctl = lambda disposal, clear=None: b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), 7, clear or 0) + b"\0"
@@ -447,8 +507,7 @@ def test_lzw_with_full_tables():
     rng = np.random.default_rng(0)
     for a in (rng.integers(0, 256, 40_000), rng.integers(0, 4, 60_000), np.zeros(100_000, int)):
         a = a.astype(np.uint8)
-        assert (gif.unlzw(gif.lzw_shortest(a.tobytes()), 8, len(a)) == a).all()
-        assert (gif.unlzw(gif.lzw_literals(a), 8, len(a)) == a).all()
+        assert (gif.unlzw(gif.lzw(a.tobytes()), 8, len(a)) == a).all()
 
 
 def test_lzw_streams_of_other_writers():
@@ -460,7 +519,7 @@ def test_lzw_streams_of_other_writers():
         with pytest.raises(ValueError):
             gif.unlzw(missing, 2, 3)
     with pytest.raises(ValueError):
-        gif.unlzw(gif.lzw_literals(np.zeros(5, np.uint8)), 8, 6)
+        gif.unlzw(gif.lzw(bytes(5)), 8, 6)
     a = np.random.default_rng(3).integers(0, 256, 9000).astype(np.uint8)
     codes = [256, *a.tolist(), 257]  # only single bytes, without another clear code
     widths = np.concatenate([[9], gif._widths(8, 0, len(a) + 1)])
