@@ -312,6 +312,46 @@ def test_few_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in df([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])])] == [(0, 1, 2), (0, 2, 1)]
 
 
+def test_large_and_small_numbers(spark):
+    """Vectors whose squares overflow or vanish have the cosines of their directions."""
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, 0.0]), (3, [0.0, -5e-324])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["vec_id"], round(r["score"], 12)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, round(0.5**0.5, 12)), (3, -round(0.5**0.5, 12))]
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 9, 1), (0, [0.0, 1.0], 9, 1), (7, [1.0, 0.1], 9, 1), (7, [0.1, 1.0], 9, 1), (8, [-1.0, 0.0], 9, 1)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, bound int")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 7), (0, 2, 8)]
+
+
+def test_a_scan_in_chunks_finds_what_one_chunk_finds():
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((3000, 40)), rng.standard_normal((7, 40))
+    x[100:130] = x[100]
+    q[0] = x[100]
+    ids, asked = np.arange(3000), np.arange(5000, 5007)
+    rot = nearest.rotation(40)
+    both = []
+    for size in (3000, 170):
+        scan = nearest.Scan(q, asked, np.full(7, np.inf), rot, 5)
+        for a in range(0, 3000, size):
+            scan.add(x[a : a + size], ids[a : a + size])
+        both.append(scan.found())
+    u, w = nearest.unit(x), nearest.unit(q)
+    best = [(int(asked[i]), int(j)) for i in range(7) for j in np.lexsort((ids, -(u @ w[i]).round(12)))[:5]]
+    for got in both:
+        assert len({(a, b) for a, b, _ in got} & set(best)) >= 0.9 * len(best) and [b for a, b, _ in got[:5]] == [100, 101, 102, 103, 104]
+
+
+def test_queries_far_from_all_lists_get_all_their_neighbours(spark):
+    """Nearly all rows crowd into one list, and the lists probed first are empty or small."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([np.tile([1.0, 0, 0, 0], (3000, 1)), rng.standard_normal((40, 4))])
+    got = nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=20, lists=40, probes=1).groupBy("query_id").count().collect()
+    assert len(got) == 152 and {r["count"] for r in got} == {5}
+
+
 # ---- 7 WARC
 
 def test_archives_come_back(spark):
