@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import join_hot, scratch, small_batches, table, written
+from strataforge.llm.common import join_hot, remove, scratch, small_batches, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
-#: Batches that a bulk load is taken in, and runs of a level that are compacted to one of the next.
-BATCHES, FANOUT = 4, 2
-#: Rows of a run in a file, in expectation.
-FILE_ROWS = 500_000
+#: Batches that a bulk load is taken in at least, documents of a batch at most (in expectation) beyond that, and runs of a
+#: level that are compacted to one of the next.
+BATCHES, BATCH_DOCS, FANOUT = 4, 10_000_000, 2
 #: The id that a null id counts as: below all others.
 NO_ID = -(1 << 63)
 
@@ -55,80 +56,122 @@ def _id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
 
 
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables, one file a bucket, are known to be sorted; the session's setting comes back afterwards."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Runs of (hash, n_docs, last_id), each sorted by hash, in levels under one folder.
+    """Runs of (hash, n_docs, last_id) in levels: tables in buckets of the hash, each a file sorted by it.
 
     Batches come with falling ids. add() merge-anti-joins a batch with the runs: a line that no run holds enters with its
     largest id, one that is held adds to the count alone, so each line has its holder from the first batch that had it.
-    Both are the batch's own run on level 0; when a level has FANOUT runs they are merged to one of the next, so a line is
-    rewritten as often as there are levels, the logarithm of the batches.
+    Both are the batch's own run on level 0; when a level has ``fanout`` runs they are merged to one of the next, so a line is
+    rewritten as often as there are levels, the logarithm of the batches. Buckets are as many as the session's shuffle
+    partitions, so a batch is dealt out once, by its own count, and runs are merged where they lie: neither shuffled nor sorted.
+
+    Runs are tables of the session's catalogue, with files in the shared folder; both go when a run is merged into another, and with close().
     """
 
     SCHEMA = "hash binary, n_docs long, last_id long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, files: int = 1):
-        """files: into how many a batch's run is written; a merged run has as many as its parts."""
-        self.spark, self.path, self.fanout, self.files = spark, path or scratch(spark, "line-runs"), fanout, files
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
+        self.name, self.buckets = f"line_run_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
         self.count = 0
 
     def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}/run={self.count}"
+        name, path = f"{self.name}_{self.count}", f"{self.path}/level={level}/run={self.count}"
         self.count += 1
-        run.coalesce(self.files * self.fanout**level).sortWithinPartitions("hash").write.parquet(path)
+        with sorted_buckets(self.spark):
+            run.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
-
-    def held(self) -> DataFrame:
-        """The hash of each line of the runs, once: where it has entered."""
-        return self._read([p for level in self.levels for p in level]).where("last_id IS NOT NULL").select("hash")
+        self.levels[level].append(name)
+        self.paths[name] = path
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(t) for level in self.levels for t in level]
+
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs merged by hash, two at a time."""
+        out = runs[0]
+        for r in runs[1:]:
+            both = out.alias("a").join(r.alias("b").hint("merge"), F.col("a.hash") == F.col("b.hash"), "full")
+            n = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+            out = both.select(F.coalesce("a.hash", "b.hash").alias("hash"), n.alias("n_docs"), F.greatest("a.last_id", "b.last_id").alias("last_id"))
+        return out
+
+    def _known(self, batch: DataFrame) -> DataFrame:
+        """The batch with ``held``, whether a run holds the line: one merge join with each run."""
+        batch = batch.withColumn("held", F.lit(False))
+        for i, r in enumerate(self.runs()):
+            r = r.where("last_id IS NOT NULL").select(F.col("hash").alias(f"h{i}")).hint("merge")
+            batch = batch.join(r, F.col("hash") == F.col(f"h{i}"), "left").withColumn("held", F.col("held") | F.col(f"h{i}").isNotNull()).drop(f"h{i}")
+        return batch
 
     def new_lines(self, lines: DataFrame) -> DataFrame:
         """The batch's lines that no run holds."""
-        return lines.join(self.held().hint("merge"), "hash", "left_anti")
+        return self._known(lines).where("NOT held").drop("held")
 
     def add(self, lines: DataFrame) -> None:
         """lines: (id, hash). A document counts once, however often its id or the line is repeated in the batch; a document's lines belong in one batch."""
         batch = lines.groupBy("hash").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("last_id"))
-        if self.count:
-            # One merge join for both: rows without a match are the anti-join, the others add to the count.
-            held = self.held().withColumn("held", F.lit(True)).hint("merge")
-            batch = batch.join(held, "hash", "left").select("hash", "n_docs", F.when(F.col("held").isNull(), F.col("last_id")).alias("last_id"))
-        self._write(batch, 0)
+        # Rows without a match are the anti-join, the others add to the count.
+        self._write(self._known(batch).select("hash", "n_docs", F.when(~F.col("held"), F.col("last_id")).alias("last_id")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            self._write(self._merged(self.levels[level]), level + 1)
+            old = self.levels[level]
+            self._write(self._merged([self.spark.table(t) for t in old]), level + 1)
             self.levels[level] = []
+            self._forget(old)
             level += 1
 
+    def _forget(self, tables: list[str]) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            remove(self.spark, self.paths.pop(t))
+
     def seen(self) -> DataFrame:
-        """All lines of all runs, each once."""
-        return self._merged([p for level in self.levels for p in level])
+        """All lines of all runs, each once, as a written table."""
+        if not self.count:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        with sorted_buckets(self.spark):
+            return written(self._merged(self.runs()), "lines-seen")
+
+    def close(self) -> None:
+        self._forget([t for level in self.levels for t in level])
+        self.levels = [[]]
 
 
-def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, hash) of all long lines, and (hash, n_docs, last_id) of those found in at least min_docs documents, through the runs."""
     spark = docs.sparkSession
+    batches = batches or max(BATCHES, -(-docs.count() // BATCH_DOCS))
     parts = [k / batches for k in range(1, batches)]
-    bounds = docs.select(_id()).agg(F.percentile_approx("id", parts, 1000)).first()[0] or []
-    # Batch 0 has the largest ids.
-    batch = sum((F.when(F.col("id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
-    lines = doc_lines(docs, min_chars).withColumn("batch", batch)
-    lines = written(lines, "lines", "batch")
-    runs = LineRuns(spark, files=-(-lines.count() // batches // FILE_ROWS) or 1)
-    for k in range(batches):
+    bounds = sorted(set(docs.select(_id()).agg(F.percentile_approx("id", parts, 250 * batches)).first()[0] or []))
+    # Batch 0 has the largest ids: the batch is the number of bounds that an id is below.
+    batch = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: F.col("id") < b)) if bounds else F.lit(0)
+    lines = written(doc_lines(docs, min_chars).withColumn("batch", batch.cast("int")), "lines", "batch")
+    runs = LineRuns(spark)
+    for k in range(len(bounds) + 1):
         runs.add(lines.where(F.col("batch") == k).select("id", "hash"))
-    return lines.select("id", "hash"), runs.seen().where(F.col("n_docs") >= min_docs)
+    shared = runs.seen().where(F.col("n_docs") >= min_docs)
+    runs.close()
+    return lines.select("id", "hash"), shared
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """Every row with n_lines, n_dropped and kept_text: without the lines whose key has min_chars code points and stands in min_docs documents, but for the document with the largest id among those.
 
     A null or empty text is one empty line; kept_text is then empty. Documents are ids: repeated rows of an id count as

@@ -121,7 +121,7 @@ class Scan:
             keep, done = np.flatnonzero(ids != self.ids[qi]), np.zeros(0, np.int64)
             partial, at = partial[keep], first
             while True:
-                if len(keep) > k and at < dim:
+                if len(keep) > 8 * k and at < dim:
                     # Rows that look best are measured whole, so that the bound falls before the others are judged.
                     look = np.argpartition(partial, k - 1)[:k]
                     whole = keep[look]
