@@ -31,15 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Rows of an Arrow batch where whole texts go through Python: some MB, whatever the default.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where whole texts go through Python: some MB, whatever the default.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches are bounded for rows with long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """df, after the session's Arrow batches are bounded for rows with long texts. Smaller bounds that the session has stay."""
+    for name, most in BATCHES.items():
+        now = df.sparkSession.conf.get(name, "0").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(name, str(most))
     return df
 
 
