@@ -38,7 +38,7 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.exec
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches are bounded for rows with long texts. Smaller bounds that the session has stay."""
     for name, most in BATCHES.items():
-        now = df.sparkSession.conf.get(name, "0").lower().removesuffix("b")
+        now = df.sparkSession.conf.get(name, "1000000000").lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             df.sparkSession.conf.set(name, str(most))
     return df
