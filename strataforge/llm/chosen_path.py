@@ -13,19 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import cut, groups, join_hot, small_batches, table
+from strataforge.llm.common import cut, groups, join_hot, maybe_in, small_batches, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
 RECALL = 0.99999
 #: Coordinates of a set's sketch: each the token that one random order of all tokens puts first in the set.
 SKETCH = 48
-#: Buckets up to so many sets are compared whole; larger ones are split on further tokens, so deep at most.
-BUCKET, DEPTH = 2048, 3
-#: A bucket is dense when one of its parts has more than half of it; it is then compared in cells, as splitting does not help.
+#: Buckets up to so many sets are compared whole; larger ones lose their inner sets to representatives and are split on further tokens, so often at most.
+BUCKET, DEPTH = 2048, 4
+#: Representatives of a large bucket, in expectation; equal coordinates with one that make a set an inner one.
+CHIEFS, INNER = 8, 40
+#: A bucket is dense when one of its parts has more than half of it: splitting does not help, so it goes on whole, to other representatives.
 DENSE = 0.5
-#: Sets and shingles that a cell of the exact check holds of each side.
-CELL_SETS, CELL_SHINGLES = 512, 2 << 20
+#: Sets and shingles that a block of the exact check holds.
+CELL_SETS, CELL_SHINGLES = 2048, 2 << 20
 NO_ID = -(1 << 63)
 
 #: Rows of narrow tables, and of tables with sketches, in a partition of a checkpoint.
@@ -116,14 +118,14 @@ def _parts(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node connected to each node of the edges (a, b), by large and small stars until nothing changes."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, total = None, 2 * e.count()
     # Edges don't grow in number, so the checkpoints, and the shuffles that read them, need no more partitions than this.
     n = _parts(total, EDGE_ROWS)
     e = e.coalesce(n)
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
         large = join_hot(both, low, "a", "k", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -135,8 +137,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -146,35 +146,87 @@ def _sized(members: DataFrame, total: int) -> DataFrame:
     return join_hot(members, sizes, "path", "k", total)
 
 
-def buckets(nodes: DataFrame, runs: int, limit: int = BUCKET) -> DataFrame:
-    """(cell, node): every set in each bucket to compare; buckets have at most about ``limit`` sets."""
+def chiefs(big: DataFrame, nodes: DataFrame, equal: int, limit: int, turn: int) -> DataFrame:
+    """(path, node, chief, same): how many coordinates each set of a large bucket has in common with each representative, where this matters.
+
+    About CHIEFS sets of each bucket, chosen by a hash, meet all others, which are dealt in parts of about ``limit`` sets.
+    """
+    parts = F.ceil(F.col("size") / limit).cast("int")
+    m = big.join(nodes.select("node", "sketch"), "node").withColumn("parts", parts)
+    leads = F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.col("size")) < CHIEFS
+    rows = m.select("path", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "node", "sketch")
+    meet = m.where(leads).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "sketch")
+    least = INNER + equal - SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "cell"):
+            kind = g.column("kind").to_numpy()
+            s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint32).reshape(len(kind), SKETCH)
+            n = int((kind == 0).sum())
+            for c in range(n):
+                same = (s[n:] == s[c]).sum(axis=1)
+                at = np.flatnonzero(same >= least)
+                if len(at):
+                    found = g.take(pa.array(at + n))
+                    name = pa.array([g.column("node")[c].as_py()] * len(at), pa.binary())
+                    yield from pa.table([found.column("path"), found.column("node"), name, pa.array(same[at].astype(np.int32))], names=["path", "node", "chief", "same"]).combine_chunks().to_batches()
+
+    cells = rows.unionByName(meet).withColumn("cell", F.xxhash64("path", "part"))
+    return cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "path long, node binary, chief binary, same int")
+
+
+def thinned(big: DataFrame, nodes: DataFrame, equal: int, limit: int, turn: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """What large buckets (path, node, size) keep without the inner sets of representatives, and edges (a, b) in their place.
+
+    When a set has INNER coordinates in common with a representative, all that have ``equal`` in common with the set have at
+    least INNER + equal - SKETCH in common with the representative. So if all of those are linked with the representative,
+    the inner sets need no further comparison. That is done where the sets linked by this alone are no more than the inner
+    ones; so a group of k near copies takes about CHIEFS * k rows, and sets that share a passage are not linked for it.
+    """
+    met = cut(chiefs(big, nodes, equal, limit, turn).withColumn("by", F.xxhash64("path", "chief")).coalesce(_parts(total, EDGE_ROWS)))
+    counts = met.groupBy("by").agg(F.count_if(F.col("same") >= INNER).alias("inner"), F.count_if(F.col("same") < equal).alias("only"), F.count("*").alias("k"))
+    good = join_hot(met, counts.where("only <= inner").select("by", "k"), "by", "k", total)
+    inner = good.where(F.col("same") >= INNER).select("path", "node").distinct()
+    return big.join(inner, ["path", "node"], "left_anti").select("path", "node"), good.select(F.col("node").alias("a"), F.col("chief").alias("b"))
+
+
+def buckets(nodes: DataFrame, runs: int, equal: int, limit: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(cell, node): every set in each bucket to compare, and edges (a, b) that need no comparison; buckets have at most about ``limit`` sets."""
     total = runs * nodes.count()
     members = cut(_sized(nodes.select("node", F.posexplode("roots").alias("k", "token")).select("node", F.xxhash64("k", "token").alias("path")), total).coalesce(_parts(total, EDGE_ROWS)))
-    out = [members.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node")]
+    out, edges = [members.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node")], [nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")]
     big = members.where(F.col("size") > limit)
-    for depth in range(DEPTH):
+    for turn in range(DEPTH):
+        if big.isEmpty():
+            break
+        left, linked = thinned(big, nodes, equal, limit, turn, total)
+        edges.append(linked)
+        left = cut(_sized(left, total).coalesce(_parts(total, EDGE_ROWS)))
+        out.append(left.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node"))
+        big = left.where(F.col("size") > limit)
         if big.isEmpty():
             break
         token = lambda j: F.substr("sketch", F.lit(4) * F.pmod(F.xxhash64("parent", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(4))
         parents = big.select("node", F.col("path").alias("parent"), F.col("size").alias("parent_size")).join(nodes.select("node", "sketch"), "node")
         children = parents.select("node", "parent", "parent_size", F.posexplode(F.array(*(token(j) for j in range(runs)))).alias("k", "token"))
-        children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path")), total))
-        dense = children.where(F.col("size") > DENSE * F.col("parent_size")).select("parent").distinct()
-        if depth == DEPTH - 1:
-            dense = dense.unionByName(children.where(F.col("size") > limit).select("parent")).distinct()
-        dense = cut(dense)
-        out.append(_cells(big.join(dense.withColumnRenamed("parent", "path"), "path", "left_semi"), limit))
+        children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path")), total).coalesce(_parts(total, EDGE_ROWS)))
+        dense = cut(children.where(F.col("size") > DENSE * F.col("parent_size")).select("parent").distinct())
         rest = children.join(dense, "parent", "left_anti")
         out.append(rest.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node"))
-        big = cut(rest.where(F.col("size") > limit).select("path", "node", "size"))
-    both = out[0]
+        whole = big.join(dense.withColumnRenamed("parent", "path"), "path", "left_semi").select("path", "node", "size")
+        big = cut(rest.where(F.col("size") > limit).select("path", "node", "size").unionByName(whole))
+    else:
+        out.append(_cells(big, limit))
+    both, linked = out[0], edges[0]
     for x in out[1:]:
         both = both.unionByName(x)
-    return both
+    for x in edges[1:]:
+        linked = linked.unionByName(x)
+    return both, linked
 
 
 def _cells(members: DataFrame, limit: int) -> DataFrame:
-    """All pairs of parts of too large buckets: each set goes to the cells of its part with every part, so all pairs meet, in small tasks."""
+    """All pairs of parts of what is left of too large buckets: each set goes to the cells of its part with every part, so all pairs meet, in small tasks."""
     parts = F.ceil(F.col("size") * 2 / limit).cast("int")
     x = members.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
     x = x.select("path", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -238,37 +290,89 @@ def candidate_edges(cells: DataFrame, nodes: DataFrame, equal: int) -> DataFrame
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs, by products of 0/1 matrices over blocks of the tokens that more than one set has."""
+    """Sizes of the intersections of all pairs, over the tokens that more than one set has: products of 0/1 matrices for common ones, the pairs of their sets for rare ones."""
     sets = left + (right or [])
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    use = shared[token]
-    row, token = row[use], number[token[use]]
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    n = len(left)
-    out = np.zeros((n, len(right) if right is not None else n), np.float32)
-    for at in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(token, [at, at + columns])
-        m = np.zeros((len(sets), columns), np.float32)
-        m[row[a:b], token[a:b] - at] = 1
-        out += m[:n] @ (m[n:] if right is not None else m).T
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    count = np.diff(np.append(first, len(flat)))
+    n, m = len(left), len(right) if right is not None else len(left)
+    out = np.zeros((n, m), np.float32)
+    rare = np.where(count < max(2, len(sets) // 10), count, 0)
+    for c in np.unique(rare[rare > 1]).tolist():
+        own = row[first[rare == c][:, None] + np.arange(c)]
+        for at in range(0, len(own), step := max(1, (1 << 20) // (c * c))):
+            i, j = (np.broadcast_to(x, (len(own[at : at + step]), c, c)).ravel() for x in (own[at : at + step, :, None], own[at : at + step, None, :]))
+            if right is not None:
+                cross = (i < n) & (j >= n)
+                i, j = i[cross], j[cross] - n
+            np.add.at(out.ravel(), i * m + j, np.float32(1))
+    common = np.flatnonzero((count > 1) & (rare == 0))
+    for at in range(0, len(common), columns):
+        some = common[at : at + columns]
+        matrix = np.zeros((len(sets), len(some)), np.float32)
+        k = count[some]
+        place = np.repeat(first[some] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        matrix[row[place], np.repeat(np.arange(len(some)), k)] = 1
+        out += matrix[:n] @ (matrix[n:] if right is not None else matrix).T
     return out
 
 
+FOUND = "node binary, links long, texts long, to binary, open boolean"
+BLOCK = "root binary, own int, parts int, nodes array<binary>, w array<long>, sizes array<int>, tokens binary"
+BLOCK_KINDS = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+FOUND_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+
+
+def _batch(rows: list[tuple], kinds: list, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+
+class Linker:
+    """Links among the sets of one block, or between those of two, by exact comparison."""
+
+    def __init__(self, threshold: float):
+        t = Fraction(str(threshold))
+        self.p, self.q = t.numerator, t.denominator
+
+    def _near(self, left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+        both = intersections(left, right).astype(np.int64)
+        a, b = (np.array([len(x) for x in s], np.int64) for s in (left, left if right is None else right))
+        return (self.p + self.q) * both >= self.p * (a[:, None] + b[None, :])
+
+    def rows(self, nodes: list[list[bytes]], w: list[list[int]], tokens: list[list[np.ndarray]], open_: bool) -> list[tuple]:
+        """FOUND rows; one block's own links, or with a second block only those between both."""
+        names = [x for own in nodes for x in own]
+        n, total = len(nodes[0]), np.concatenate([np.array(x, np.int64) for x in w])
+        near = np.zeros((len(names), len(names)), bool)
+        if len(nodes) == 1:
+            near = self._near(tokens[0], None)
+            np.fill_diagonal(near, False)
+        else:
+            near[:n, n:] = self._near(*tokens)
+            near |= near.T
+        root = _roots(((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(len(names))), len(names)) if near.sum() < 8 * len(names) else _spread(near)
+        links, texts = near @ total, near.sum(axis=1)
+        return [(names[i], int(links[i]), int(texts[i]), names[root[i]], open_) for i in range(len(names))]
+
+
 def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
     """Exact links among the sets of each candidate component (node, root, id, w, n): rows (node, links, texts, to, open).
 
     links and texts: documents and different sets linked with the node in one cell; to: the first set of the node's component
-    in the cell; open: whether the component has other cells.
+    in the cell; open: whether the component has other cells. Small components are compared at once. Sets of large ones are
+    gathered in blocks, one row each, and pairs of blocks are compared: a component of k sets takes k rows of sets and
+    (k / CELL_SETS) squared rows of blocks.
     """
     size = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("long")).alias("total"))
     parts = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
-    placed = join_hot(members, size.select("root", parts.alias("parts"), "sets"), "root", "sets", members.count())
-    rows = docs.select(_id(), "text").join(placed, "id")
+    n = members.count()
+    placed = join_hot(members, size.select("root", parts.alias("parts"), "sets"), "root", "sets", n)
+    # Only texts that may be members are moved.
+    some = maybe_in(docs.select(_id(), "text"), "id", members.select("id"), n).where("_maybe").drop("_maybe")
+    rows = some.join(placed, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,53 +388,47 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
                     yield pa.RecordBatch.from_arrays([part.column("root"), part.column("node"), part.column("w"), part.column("parts"), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["root", "node", "w", "parts", "tokens"])
 
     s = rows.select("text", "root", "node", "w", "parts").mapInArrow(sets, "root binary, node binary, w long, parts int, tokens binary")
-    s = s.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    s = s.select("root", "node", "w", "parts", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    s = s.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).withColumn("cell", F.md5(F.concat_ws("-", F.hex("root"), "low", "high").cast("binary")))
-    t = Fraction(str(threshold))
-    p, q = t.numerator, t.denominator
+    s = s.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("cell", F.md5(F.concat(F.hex("root"), F.lit("-"), "own").cast("binary")))
+    linker = Linker(threshold)
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of components of one part; one row for each part of the others."""
         held: list[tuple] = []
+        none = (None,) * len(BLOCK_KINDS)
         for g in groups(batches, "cell"):
             seen: dict[bytes, int] = {}
             for i, x in enumerate(g.column("node").to_pylist()):
                 seen.setdefault(x, i)
-            names, at = list(seen), list(seen.values())
-            tokens = [np.frombuffer(g.column("tokens")[i].as_py(), np.uint64) for i in at]
-            w = g.column("w").to_numpy()[at]
-            own = g.column("own").to_numpy()[at]
-            open_, low, high = g.column("parts")[0].as_py() > 1, g.column("low")[0].as_py(), g.column("high")[0].as_py()
-            n = np.array([len(x) for x in tokens], np.int64)
-
-            def enough(i: np.ndarray, j: np.ndarray | None, tokens: list = tokens, n: np.ndarray = n) -> np.ndarray:
-                both = intersections([tokens[x] for x in i], None if j is None else [tokens[x] for x in j]).astype(np.int64)
-                return (p + q) * both >= p * (n[i][:, None] + n[i if j is None else j][None, :])
-
-            near = np.zeros((len(names), len(names)), bool)
-            if low == high:
-                near = enough(np.arange(len(names)), None)
-                np.fill_diagonal(near, False)
+            at = list(seen.values())
+            raw = [g.column("tokens")[i].as_py() for i in at]
+            w = g.column("w").to_numpy()[at].tolist()
+            parts = g.column("parts")[0].as_py()
+            if parts == 1:
+                held += [x + none for x in linker.rows([list(seen)], [w], [[np.frombuffer(x, np.uint64) for x in raw]], False)]
             else:
-                i, j = np.flatnonzero(own == low), np.flatnonzero(own == high)
-                if len(i) and len(j):
-                    near[np.ix_(i, j)] = enough(i, j)
-                    near |= near.T
-            root = _roots(((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(len(names))), len(names)) if near.sum() < 8 * len(names) else _spread(near)
-            total, texts = near @ w, near.sum(axis=1)
-            held += [(names[i], int(total[i]), int(texts[i]), names[root[i]], open_) for i in range(len(names))]
-            if len(held) > 20_000:
-                yield _rows(held)
+                held.append((None,) * len(FOUND_KINDS) + (g.column("root")[0].as_py(), g.column("own")[0].as_py(), parts, list(seen), w, [len(x) // 8 for x in raw], b"".join(raw)))
+            if parts > 1 or len(held) > 20_000:
+                yield _batch(held, FOUND_KINDS + BLOCK_KINDS, f"{FOUND}, {BLOCK}")
                 held = []
         if held:
-            yield _rows(held)
+            yield _batch(held, FOUND_KINDS + BLOCK_KINDS, f"{FOUND}, {BLOCK}")
 
-    return s.select("cell", "root", "node", "w", "parts", "own", "low", "high", "tokens").repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "node binary, links long, texts long, to binary, open boolean")
+    first = cut(s.repartition("cell").sortWithinPartitions("cell").mapInArrow(gather, f"{FOUND}, {BLOCK}"))
+    done, blocks = first.where("node IS NOT NULL").select(*(x.split()[0] for x in FOUND.split(", "))), first.where("root IS NOT NULL").select(*(x.split()[0] for x in BLOCK.split(", ")))
+    if blocks.isEmpty():
+        return done
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    pairs = pairs.withColumn("cell", F.md5(F.concat_ws("-", F.hex("root"), "low", "high").cast("binary"))).select("cell", "own", "low", "high", "nodes", "w", "sizes", "tokens")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "cell"):
+            own = g.drop_columns(["cell"]).to_pylist()
+            tokens = [np.split(np.frombuffer(b["tokens"], np.uint64), np.cumsum(b["sizes"])[:-1]) for b in own]
+            # A part without sets has no block, so a pair with it has only one.
+            if len(own) == 1 + (own[0]["low"] != own[0]["high"]):
+                yield _batch(linker.rows([b["nodes"] for b in own], [b["w"] for b in own], tokens, True), FOUND_KINDS, FOUND)
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["node", "links", "texts", "to", "open"])
+    return done.unionByName(pairs.repartition("cell").sortWithinPartitions("cell", "own").mapInArrow(compare, FOUND))
 
 
 def _spread(near: np.ndarray) -> np.ndarray:
@@ -360,7 +458,8 @@ def _classified(docs: DataFrame, threshold: float, words: int, recall: float) ->
     nodes = with_set.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch"))
     total = base.count()
     nodes = cut(nodes.coalesce(_parts(total, NODE_ROWS)))
-    near = components(candidate_edges(buckets(nodes, runs), nodes, equal))
+    cells, linked = buckets(nodes, runs, equal)
+    near = components(candidate_edges(cells, nodes, equal).unionByName(linked))
     members = cut(near.join(nodes.select("node", "id", "w", "n"), "node").coalesce(_parts(total, NODE_ROWS)))
     found = cut(verified(members, docs, threshold, words))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
@@ -409,17 +508,23 @@ def first_of_each_class(docs: DataFrame, *, threshold: float = THRESHOLD, words:
     """One row of each class by id, set and text, with all columns; of rows without a shingle that repeat an id and text, one."""
     first = F.col("node").isNull() | (F.col("head") & (F.col("id") == F.col("class_id")))
     rows = cut(_classified(docs, threshold, words, recall).select("id", "node", first.alias("first")))
-    ids = cut(rows.groupBy(F.col("id").alias("_id")).agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows")).where("_first").drop("_first"))
-    all_rows = docs.withColumn("_id", _id())
-    if ids.where("_rows > 1").isEmpty():
-        return all_rows.join(ids, "_id").select(*docs.columns)
+    ids = rows.groupBy(F.col("id").alias("_id")).agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows"))
+    # Ids of one row, the first of its class, stay as they are, wherever they stand; only rows of other ids are moved.
+    others = cut(ids.where("NOT _first OR _rows > 1"))
+    n = others.count()
+    all_rows = maybe_in(docs.withColumn("_id", _id()), "_id", others.select("_id"), n)
+    plain, moved = all_rows.where("NOT _maybe").drop("_maybe"), all_rows.where("_maybe").drop("_maybe")
+    stay = plain.unionByName(moved.join(others.select("_id"), "_id", "left_anti")).select(*docs.columns)
+    mixed = others.where("_first AND _rows > 1").select("_id")
+    if mixed.isEmpty():
+        return stay
     # Rows that share an id, as null ids do, are told apart by their sets.
-    heads = rows.where("first").join(ids.where("_rows > 1").select(F.col("_id").alias("id")), "id").select(F.col("id").alias("_of"), F.col("node").alias("_set")).distinct()
-    shared = with_node(all_rows.join(ids.where("_rows > 1").select("_id"), "_id"), words)
+    heads = rows.where("first").join(mixed.select(F.col("_id").alias("id")), "id").select(F.col("id").alias("_of"), F.col("node").alias("_set")).distinct()
+    shared = with_node(moved.join(mixed, "_id"), words)
     shared = shared.join(heads, (F.col("_id") == F.col("_of")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
     order = Window.partitionBy("_id", "_node", F.when(F.col("_node").isNull(), F.col("text"))).orderBy("text")
     shared = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return all_rows.join(ids.where("_rows = 1").select("_id"), "_id").select(*docs.columns).unionByName(shared.select(*docs.columns))
+    return stay.unionByName(shared.select(*docs.columns))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,28 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
+#: Bits of a filter of ids, at most: 16 MB that are broadcast, whatever the rows.
+FILTER_BITS = 1 << 27
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """df with ``_maybe``: false only for rows whose key (long) is not among the n ``ids`` (one column of that name).
+
+    A bitmap of the ids' hashes, 16 bits for each up to FILTER_BITS in all, is broadcast, so rows are told apart where they
+    stand. With far more ids than bits all rows may be in, which is right, though of no use.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
+    if n > FILTER_BITS:
+        return df.withColumn("_maybe", F.lit(True))
+    at = F.pmod(F.xxhash64(key), F.lit(bits)).cast("long")
+    maps = ids.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("_page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << 15) - 1))).alias("_map"))
+    low = F.col("_at").bitwiseAND(F.lit((1 << 15) - 1))
+    byte = F.conv(F.hex(F.substr("_map", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = F.getbit(byte, low.bitwiseAND(F.lit(7)).cast("int")) == 1
+    x = df.withColumn("_at", at).withColumn("_page", F.shiftright("_at", 15)).join(F.broadcast(maps), "_page", "left")
+    return x.withColumn("_maybe", F.coalesce(seen, F.lit(False))).select(*df.columns, "_maybe")
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """One table for each run of equal, non-null values of a column by which the rows come sorted."""
     import numpy as np

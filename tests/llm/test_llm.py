@@ -179,7 +179,7 @@ def test_join_with_split_buckets_and_cells(spark, monkeypatch):
     """Tiny limits: buckets are split, dense ones compared in cells, components checked in cells."""
     monkeypatch.setattr(chosen_path, "CELL_SETS", 3)
     real = chosen_path.buckets
-    monkeypatch.setattr(chosen_path, "buckets", lambda nodes, runs: real(nodes, runs, 4))
+    monkeypatch.setattr(chosen_path, "buckets", lambda nodes, runs, equal: real(nodes, runs, equal, 4))
     rng = random.Random(2)
     base = [f"v{i}" for i in range(150)]
     rows = near_rows() + [(1000 + k, " ".join(base[:j] + [f"x{k}"] + base[j + 1 :])) for k, j in enumerate(rng.choices(range(150), k=30))]
@@ -187,6 +187,26 @@ def test_join_with_split_buckets_and_cells(spark, monkeypatch):
     assert sorted(got, key=str) == brute_links(rows)
 
 
+def test_a_large_class_takes_few_rows(spark, monkeypatch):
+    """k near copies of one text: rows in buckets, edges and blocks grow with k, and links are those of brute force."""
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(150)]
+    rows = [(k, " ".join(base[:j] + [f"x{k}"] + base[j + 1 :])) for k, j in enumerate(rng.choices(range(150), k=420))]
+    monkeypatch.setattr(chosen_path, "CELL_SETS", 60)
+    real, size = chosen_path.buckets, []
+
+    def counted(nodes, runs, equal):
+        cells, edges = real(nodes, runs, equal, 50)
+        size.append((cells.count(), edges.count()))
+        return cells, edges
+
+    monkeypatch.setattr(chosen_path, "buckets", counted)
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.classify(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_links(rows)
+    runs = chosen_path.runs_for(chosen_path.RECALL, chosen_path.THRESHOLD)
+    assert size[0][0] < 2 * runs * 420 and size[0][1] < 3 * chosen_path.CHIEFS * runs * 420, size
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_rows() + [(None if i is None else i + 500, t) for i, t in ODD]
     kept = chosen_path.first_of_each_class(docs(spark, rows))
