@@ -21,11 +21,12 @@ RECALL = 0.99999
 #: Coordinates of a set's sketch: each the token that one random order of all tokens puts first in the set.
 SKETCH = 48
 #: Buckets up to so many sets are compared whole; larger ones lose their inner sets to representatives and are split on further tokens, so often at most.
-BUCKET, DEPTH = 2048, 4
+BUCKET, DEPTH = 2048, 3
 #: Representatives of a large bucket, in expectation; equal coordinates with one that make a set an inner one.
 CHIEFS, INNER = 8, 40
-#: A bucket is dense when one of its parts has more than half of it: splitting does not help, so it goes on whole, to other representatives.
-DENSE = 0.5
+#: A bucket is dense when one of its parts has more than half of it: splitting does not help. It is then compared in cells, or
+#: goes on whole to other representatives if that took more than so many cells for a set.
+DENSE, CELLS = 0.5, 16
 #: Sets and shingles that a block of the exact check holds.
 CELL_SETS, CELL_SHINGLES = 2048, 2 << 20
 NO_ID = -(1 << 63)
@@ -183,7 +184,7 @@ def thinned(big: DataFrame, nodes: DataFrame, equal: int, limit: int, turn: int,
     the inner sets need no further comparison. That is done where the sets linked by this alone are no more than the inner
     ones; so a group of k near copies takes about CHIEFS * k rows, and sets that share a passage are not linked for it.
     """
-    met = cut(chiefs(big, nodes, equal, limit, turn).withColumn("by", F.xxhash64("path", "chief")).coalesce(_parts(total, EDGE_ROWS)))
+    met = cut(chiefs(big, nodes, equal, limit, turn).withColumn("by", F.xxhash64("path", "chief")))
     counts = met.groupBy("by").agg(F.count_if(F.col("same") >= INNER).alias("inner"), F.count_if(F.col("same") < equal).alias("only"), F.count("*").alias("k"))
     good = join_hot(met, counts.where("only <= inner").select("by", "k"), "by", "k", total)
     inner = good.where(F.col("same") >= INNER).select("path", "node").distinct()
@@ -206,7 +207,10 @@ def buckets(nodes: DataFrame, runs: int, equal: int, limit: int = BUCKET) -> tup
         big = left.where(F.col("size") > limit)
         if big.isEmpty():
             break
-        token = lambda j: F.substr("sketch", F.lit(4) * F.pmod(F.xxhash64("parent", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(4))
+        # Each turn has coordinates of its own, after those of the roots: a path never takes a token that it has already.
+        each = max(1, (SKETCH - runs) // DEPTH)
+        place = lambda j: runs + turn * each + F.pmod(F.xxhash64("parent") + j, F.lit(each))  # noqa: B023, E731
+        token = lambda j: F.substr("sketch", F.lit(4) * F.pmod(place(j), F.lit(SKETCH)).cast("int") + 1, F.lit(4))  # noqa: B023, E731
         parents = big.select("node", F.col("path").alias("parent"), F.col("size").alias("parent_size")).join(nodes.select("node", "sketch"), "node")
         children = parents.select("node", "parent", "parent_size", F.posexplode(F.array(*(token(j) for j in range(runs)))).alias("k", "token"))
         children = cut(_sized(children.select("node", "parent", "parent_size", F.xxhash64("parent", "k", "token").alias("path")), total).coalesce(_parts(total, EDGE_ROWS)))
@@ -214,6 +218,8 @@ def buckets(nodes: DataFrame, runs: int, equal: int, limit: int = BUCKET) -> tup
         rest = children.join(dense, "parent", "left_anti")
         out.append(rest.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node"))
         whole = big.join(dense.withColumnRenamed("parent", "path"), "path", "left_semi").select("path", "node", "size")
+        out.append(_cells(whole.where(F.col("size") <= CELLS * limit / 2), limit))
+        whole = whole.where(F.col("size") > CELLS * limit / 2)
         big = cut(rest.where(F.col("size") > limit).select("path", "node", "size").unionByName(whole))
     else:
         out.append(_cells(big, limit))
@@ -428,7 +434,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
             if len(own) == 1 + (own[0]["low"] != own[0]["high"]):
                 yield _batch(linker.rows([b["nodes"] for b in own], [b["w"] for b in own], tokens, True), FOUND_KINDS, FOUND)
 
-    return done.unionByName(pairs.repartition("cell").sortWithinPartitions("cell", "own").mapInArrow(compare, FOUND))
+    return done.unionByName(cut(pairs.repartition("cell").sortWithinPartitions("cell", "own").mapInArrow(compare, FOUND)))
 
 
 def _spread(near: np.ndarray) -> np.ndarray:
@@ -461,7 +467,7 @@ def _classified(docs: DataFrame, threshold: float, words: int, recall: float) ->
     cells, linked = buckets(nodes, runs, equal)
     near = components(candidate_edges(cells, nodes, equal).unionByName(linked))
     members = cut(near.join(nodes.select("node", "id", "w", "n"), "node").coalesce(_parts(total, NODE_ROWS)))
-    found = cut(verified(members, docs, threshold, words))
+    found = verified(members, docs, threshold, words)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     root = found.where(~F.col("open")).select("node", F.col("to").alias("class"))
     spread = found.where("open").select(F.col("node").alias("a"), F.col("to").alias("b"))
