@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import NOT_SPACE, cut, groups, small_batches, table
+from strataforge.llm.common import NOT_SPACE, cut, groups, join_hot, small_batches, table
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = 17
@@ -21,8 +21,10 @@ SEED = 17
 SHARD_WORDS, SHARD_DOCS = 1 << 21, 1 << 15
 #: Blocks have so many words, fewer where the smallest source would have under BLOCKS of them.
 BLOCK_WORDS, BLOCKS = 256, 512
-#: Up to so many sources the table of quotas is broadcast (under 2 MB); beyond it is joined by shuffle.
+#: Up to so many sources their quotas are found on the driver and broadcast (under 2 MB); beyond, by sums over the table of sources.
 BROADCAST_SOURCES = 10_000
+#: Divisors that one pass over the table of sources tries.
+TRIES = 32
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
@@ -86,26 +88,74 @@ def source_quotas(stats: pd.DataFrame, weights: tuple = WEIGHTS, share: float =
 QUOTAS = "source string, source_size long, target double, seats long, block long, shards long"
 
 
-def quotas(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, bool]:
-    """One row for each source, and whether they are few enough to broadcast."""
+def quotas_of_many(stats: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """source_quotas() without gathering the sources: places by a sort, the level of targets and the divisor by sums over the table."""
+    ordered = cut(stats.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    # One number for each partition.
+    held = {r["_p"]: r["count"] for r in at.groupBy(F.shiftright("_at", 33).alias("_p")).count().collect()}
+    before, offsets = 0, []
+    for p in range(max(held) + 1):
+        offsets.append(before)
+        before += held.get(p, 0)
+    place = F.element_at(F.lit(offsets).cast("array<long>"), F.shiftright("_at", 33).cast("int") + 1) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.lit([float(w) for w in weights]), (place % len(weights)).cast("int") + 1)
+    x = cut(at.select("source", "source_size", "n_docs", place.alias("place"), weight.alias("weight"), (most * F.col("source_size")).alias("cap")))
+    whole, smallest = x.agg(share * F.sum("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).first()
+    level = 0.0
+    while True:
+        over = F.col("weight") * level > F.col("cap")
+        cut_off, open_ = x.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        higher = max(0.0, whole - cut_off) / open_ if open_ else level
+        if higher <= level:
+            break
+        level = higher
+    block = int(np.clip(smallest // BLOCKS, 1, BLOCK_WORDS)) if smallest else 1
+    x = x.withColumn("target", F.least("cap", F.col("weight") * level)).withColumn("limit", F.floor(most * F.greatest(F.lit(1), F.round(F.col("source_size") / block))).cast("long"))
+    goal, limits, top = x.agg(F.sum("target"), F.sum(F.when(F.col("target") > 0, F.col("limit")).otherwise(0)), F.max("target")).first()
+    seats = int(min(round(goal / block), limits))
+    given = lambda d: F.when(F.col("target") > 0, F.least(F.floor(F.col("target") / d + 0.5), F.col("limit"))).otherwise(0).cast("long")
+    low, high = 0.0, 2 * top + 1  # too many or enough seats; too few
+    while True:
+        tries = [d for d in np.linspace(low, high, TRIES + 2)[1:-1].tolist() if low < d < high]
+        if not tries:
+            break
+        got = x.agg(*(F.sum(given(d)) for d in tries)).first()
+        low, high = max([low, *(d for d, n in zip(tries, got, strict=True) if n > seats)]), min([high, *(d for d, n in zip(tries, got, strict=True) if n <= seats)])
+        if seats in got:
+            high = tries[list(got).index(seats)]
+            break
+    x = x.withColumn("seats", given(high))
+    while left := seats - (x.agg(F.sum("seats")).first()[0] or 0):
+        # Few are left: those whose quotients no divisor in doubles tells apart.
+        rank = (F.col("target") / (2 * F.col("seats") + 1)).alias("q")
+        more = x.where("target > 0 AND seats < `limit`").select("place", rank).orderBy(F.desc("q"), "place").limit(left).select("place", F.lit(1).alias("one"))
+        x = cut(x.join(more, "place", "left").withColumn("seats", F.col("seats") + F.coalesce("one", F.lit(0))).drop("one"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS))
+    return x.select("source", "source_size", "target", "seats", F.lit(block).cast("long").alias("block"), shards.cast("long").alias("shards"), "n_docs")
+
+
+def _key() -> Column:
+    """A source's name, null sources apart from empty ones."""
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")
+
+
+def with_quotas(rows: DataFrame, q: DataFrame, n_docs: int | None) -> DataFrame:
+    """rows with their source's figures; n_docs: of all rows, or none where q is small enough to broadcast."""
+    rows, q = rows.withColumn("_source", _key()), q.withColumn("_source", _key()).drop("source")
+    return (rows.join(F.broadcast(q.drop("n_docs")), "_source") if n_docs is None else join_hot(rows, q, "_source", "n_docs", n_docs)).drop("_source")
+
+
+def quotas(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, int | None]:
+    """One row for each source, and the number of all rows, or none if the sources are few enough to broadcast."""
     spark = sized.sparkSession
     stats = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("n_docs"))
     few = stats.limit(BROADCAST_SOURCES + 1).toPandas()
     if few.empty:
-        return spark.createDataFrame([], QUOTAS), True
+        return spark.createDataFrame([], QUOTAS), None
     if len(few) <= BROADCAST_SOURCES:
-        return spark.createDataFrame(source_quotas(few, weights, share, most).astype({"source": object}).to_dict("records"), QUOTAS), True
-    return stats.groupBy(F.lit(0)).applyInPandas(lambda p: source_quotas(p, weights, share, most), QUOTAS), False
-
-
-def _spread(x: DataFrame, q: DataFrame, few: bool, on: list[str]) -> DataFrame:
-    same = F.lit(True)
-    for c in on:
-        same &= x[c].eqNullSafe(q[c])
-    joined = x.join(F.broadcast(q) if few else q, same, "inner")
-    for c in on:
-        joined = joined.drop(q[c])
-    return joined
+        return spark.createDataFrame(source_quotas(few, weights, share, most).astype({"source": object}).to_dict("records"), QUOTAS), None
+    return quotas_of_many(stats, weights, share, most), sized.count()
 
 
 def blocks_taken(sizes: np.ndarray, block: int, seats: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,24 +183,38 @@ def words_taken(sizes: np.ndarray, often: np.ndarray, edges: np.ndarray) -> np.n
     return before(ends) - before(ends - sizes)
 
 
-def _shards(docs: DataFrame, weights: tuple, share: float, most: float, seed: int, *more: Column) -> DataFrame:
-    """Each row with its source's figures, its shard and the shard's blocks (seats), and a seeded place in the shard."""
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """Each row's words and its seeded place, by id and text: rows alike in both are interchangeable."""
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", "source", size.alias("size"), *more))
-    q, few = quotas(sized, weights, share, most)
-    place = F.xxhash64(F.lit(seed), "doc_id")
-    placed = _spread(sized, q, few, ["source"]).withColumn("shard", F.pmod(place, F.col("shards"))).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"), *more)
+
+
+def _in_shards(rows: DataFrame, q: DataFrame, n_docs: int | None) -> DataFrame:
+    return with_quotas(rows, q, n_docs).withColumn("shard", F.pmod("place", "shards")).withColumn("group", _group())
+
+
+def _lines(docs: DataFrame, weights: tuple, share: float, most: float, seed: int, *more: Column) -> DataFrame:
+    """All rows, dealt and sorted by shard (group) in seeded order; before a shard's rows stands one without an id (kind 0) that has its blocks (seats).
+
+    Only sizes are gathered to find the quotas; whole rows, if ``more`` has them, are moved once.
+    """
+    narrow = cut(_sized(docs, seed))
+    q, n_docs = quotas(narrow, weights, share, most)
     # Shard sizes are sums made before the shuffle; a source's shards are few next to its documents.
-    sums = placed.groupBy("source", "source_size", "seats", "block", "shard").agg(F.sum("size").alias("shard_size"))
+    placed = _in_shards(narrow, q, n_docs)
+    sums = placed.groupBy("source", "seats", "block", "shard", "group").agg(F.sum("size").alias("shard_size"))
 
     def deal(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("shard")
         n = np.maximum(1, np.round(p.shard_size / p.block)).to_numpy()
         got = sainte_lague(p.shard_size.to_numpy(), int(p.seats.iloc[0]), np.floor(most * n))
-        return pd.DataFrame({"source": p.source, "shard": p.shard, "shard_seats": got})
+        return pd.DataFrame({"group": p.group, "block": p.block, "shard_seats": got})
 
-    dealt = sums.groupBy("source").applyInPandas(deal, "source string, shard long, shard_seats long")
-    return _spread(placed, dealt, False, ["source", "shard"])
+    dealt = sums.groupBy("source").applyInPandas(deal, "group string, block long, shard_seats long")
+    rows = _in_shards(_sized(docs, seed, *more), q, n_docs) if more else placed
+    rows = rows.drop("seats", "block", "shards", "shard").withColumn("kind", F.lit(1))
+    both = rows.unionByName(dealt.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return both.withColumn("order", F.xxhash64(F.lit(seed + 1), "place")).repartition("group").sortWithinPartitions("group", "kind", "order", "doc_id", "size")
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
@@ -159,19 +223,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHA
     Documents of a source stand in seeded order on a line of words, in shards; the line is cut to equal blocks, each
     source gets blocks by its target and each shard by its words, by highest quotients, and a shard takes all its
     blocks as often as they go and a seeded choice once more, so no document gives more than ``most`` times its words.
-    Null and empty texts have size 0 and give nothing; null sources are one source; rows that repeat an id stand side
-    by side in any order (equal rows are interchangeable); other columns are not read; an empty table gives an empty one.
+    Null and empty texts have size 0 and give nothing; null sources are one source; rows that repeat an id count as rows
+    (those of equal text, too, are interchangeable); other columns are not read; an empty table gives an empty one.
     """
-
     schema = "doc_id long, source string, size long, source_size long, target double, taken long"
-    dealt = _shards(docs, weights, share, most, seed).select("doc_id", "source", "size", "source_size", "target", "block", "shard_seats", "place", _group().alias("group"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "group"):
-            taken = _taken(g)
-            yield from pa.table([*(g.column(c) for c in ("doc_id", "source", "size", "source_size", "target")), pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"]).to_batches()
+            g, sizes, _, (often, edges) = _line(g)
+            columns = [g.column(c) for c in ("doc_id", "source", "size", "source_size", "target")]
+            yield from pa.table([*columns, pa.array(words_taken(sizes, often, edges))], names=[x.split()[0] for x in schema.split(", ")]).to_batches()
 
-    return dealt.repartition("group").sortWithinPartitions("group", "place", "doc_id", "size").mapInArrow(run, schema)
+    return _lines(docs, weights, share, most, seed).mapInArrow(run, schema)
 
 
 def _group() -> F.Column:
@@ -179,31 +242,29 @@ def _group() -> F.Column:
     return F.md5(F.concat_ws("\0", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "shard").cast("binary"))
 
 
-def _taken(g: pa.Table) -> np.ndarray:
-    sizes, _, (often, edges) = _line(g)
-    return words_taken(sizes, often, edges)
-
-
-def _line(g: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    sizes = g.column("size").to_numpy()
+def _line(g: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """A shard's rows, their sizes and starts, and its blocks."""
     seed = int(g.column("group")[0].as_py()[:15], 16)
-    return sizes, np.cumsum(sizes) - sizes, blocks_taken(sizes, g.column("block")[0].as_py(), g.column("shard_seats")[0].as_py(), seed)
+    block, seats = g.column("block")[0].as_py(), g.column("shard_seats")[0].as_py()
+    g = g.slice(1)
+    sizes = g.column("size").to_numpy()
+    return g, sizes, np.cumsum(sizes) - sizes, blocks_taken(sizes, block, seats, seed)
 
 
 def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: each row as often as a pass over its source takes any of its words, text and n_chars cut to the words taken; other columns pass.
 
     A pass that takes a whole text takes it as it is; else the runs of taken words, with the space between them as in the
-    text, are joined by a blank. Needs doc_id, text and source; null and empty texts are not in the mix.
+    text, are joined by a blank. Needs doc_id, text and source; null and empty texts are not in the mix. n_chars is set where
+    it holds whole numbers or strings; rows that repeat an id count as rows; an empty table gives an empty one.
     """
     names = docs.columns
-    rows = _shards(small_batches(docs), weights, share, most, seed, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
-    rows = rows.withColumn("group", _group()).repartition("group").sortWithinPartitions("group", "place", "doc_id", "size")
+    rows = _lines(small_batches(docs), weights, share, most, seed, F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "group"):
-            sizes, starts, (often, edges) = _line(g)
+            g, sizes, starts, (often, edges) = _line(g)
             data = g.select([f"c{i}" for i in range(len(names))]).rename_columns(names)
             at_text = names.index("text")
             for a, b in textvec.chunks([len(t or "") for t in data.column(at_text).to_pylist()], 8 << 20):
@@ -228,8 +289,8 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
                 if pick:
                     out = data.take(pa.array(pick))
                     out = out.set_column(at_text, "text", pa.array(texts, pa.string()))
-                    if "n_chars" in names:
-                        out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], data.schema.field("n_chars").type))
+                    if "n_chars" in names and (pa.types.is_integer(kind := data.schema.field("n_chars").type) or pa.types.is_string(kind)):
+                        out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], pa.int64()).cast(kind))
                     yield from out.combine_chunks().to_batches()
 
     return rows.select("row.*", "size", "block", "shard_seats", "group").mapInArrow(run, schema)

@@ -86,6 +86,31 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mixed_rows(docs(spark, [])).count() == 0
 
 
+def test_quotas_of_many_sources_are_those_of_few(spark):
+    rng = random.Random(5)
+    rows = [(f"s{i}", rng.choice([0, 3, 700, 700, 90_000]), rng.randrange(1, 9)) for i in range(200)] + [(None, 512, 3), ("", 1000, 1), ("é", 600, 2)]
+    stats = spark.createDataFrame(rows, "source string, source_size long, n_docs long").repartition(5)
+    want = mixing.source_quotas(stats.toPandas()).astype({"source": object})
+    got = {r["source"]: r for r in mixing.quotas_of_many(stats).collect()}
+    assert len(got) == len(want)
+    for r in want.itertuples():
+        name = None if isinstance(r.source, float) else r.source
+        assert (got[name]["seats"], got[name]["block"], got[name]["shards"]) == (r.seats, r.block, r.shards) and got[name]["target"] == pytest.approx(r.target)
+
+
+def test_mix_with_many_sources(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (i % 40)), f"s{i % 30}" if i % 7 else None) for i in range(600)]
+    few = {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs(spark, rows)).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    assert {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs(spark, rows)).collect()} == few
+
+
+def test_mixed_rows_with_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "s", "x", "y"), (1, "a b c d", "s", "x", "z"), (None, "e f", None, None, "z"), (2, None, "s", None, "q")], "doc_id long, text string, source string, n_chars string, shard string")
+    got = mixing.mixed_rows(df).collect()
+    assert got and all(r["n_chars"] == str(len(r["text"])) for r in got) and {r["doc_id"] for r in got} <= {1, None}
+
+
 # ---- 2 line dedup
 
 def brute_lines(rows, min_chars=40, min_docs=5):
