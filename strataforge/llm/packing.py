@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
@@ -16,7 +16,7 @@ from strataforge.llm.common import small_batches, table
 
 SEQUENCE, END_ID = 4096, 2
 #: A sequence holds at most so many pieces, and so many tokens that bear loss.
-MAX_SEGMENTS, MAX_LOSS = 1024, 4096
+MAX_SEGMENTS, MAX_LOSS = 32, 2560
 #: So many characters or documents are packed together; what they leave over is cut into powers of two, so nothing is lost at the edges.
 GROUP_CHARS, GROUP_DOCS = 1 << 22, 2048
 #: Words whose ids a worker remembers.
@@ -149,8 +149,8 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
     The open sequence takes the item with the greatest dot product of its needs (tokens, loss-bearing
     tokens, one segment, each a share of its limit) with what is left of the limits, among those that fit.
     When none fits, the largest is cut to fill the sequence. Where the segment or loss limit closes a
-    sequence early, or nothing is left, it is cut to powers of two, which need no padding. An item's
-    loss-bearing tokens count as spread evenly over it.
+    sequence early, it keeps a power of two, which needs no padding, and the rest goes back; the last one is
+    cut to powers of two. An item's loss-bearing tokens count as spread evenly over it.
     """
     tokens, loss = tokens.astype(np.int64), loss.astype(np.int64)
     start, left = np.zeros(len(tokens), np.int64), tokens.copy()
@@ -193,7 +193,20 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
         if used == length:
             out.append(now)
             continue
-        for size in _powers(used):
+        sizes = _powers(used)
+        if len(alive):
+            # What is beyond the largest power of two goes back: other items may fill a sequence with it.
+            back = used - sizes[0]
+            while back:
+                i, s, n = now.pop()
+                more = min(n, back)
+                start[i], left[i], back = s + n - more, left[i] + more, back - more
+                if more < n:
+                    now.append((i, s, n - more))
+            alive = np.flatnonzero(left > 0)
+            alive = alive[np.argsort(-left[alive], kind="stable")]
+            sizes = sizes[:1]
+        for size in sizes:
             part: list[tuple[int, int, int]] = []
             while size:
                 i, s, n = now[0]
@@ -207,16 +220,18 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
     return out
 
 
-def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
+def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", loss_share: Column | None = None) -> DataFrame:
     """Pieces of all rows in sequences of at most ``length`` tokens, none of which needs padding.
 
-    Every row gets its text's ids and one end id. loss_col: how many of a row's tokens bear loss (default: all).
+    Every row gets its text's ids and one end id. loss_share: the share of a row's tokens that bear loss, as an expression of
+    its columns (default: answer_share() of the text; null counts as 0), taken as spread evenly over the row.
     Null and empty texts are the end id alone; repeated rows are packed each; null ids stay null; other columns are
     not read. Each task packs what it reads, in groups of bounded size, so no row is shuffled and no key gathers;
     a sequence's id is its task's number and its place there, the same when a task runs again.
     """
     path = path or word_vocabulary()
-    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")).alias("loss")]
+    share = answer_share(F.col(text_col)) if loss_share is None else loss_share
+    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share.cast("double"), F.lit(0.0)))).alias("share")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -225,11 +240,11 @@ def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, s
         end = np.array([END_ID], np.uint32)
         task, done = TaskContext.get().partitionId(), 0
 
-        def packed(docs: list, texts: list, losses: list) -> pa.RecordBatch:
+        def packed(docs: list, texts: list, shares: list) -> pa.RecordBatch:
             nonlocal done
             ids = [np.concatenate([x, end]).astype("<u4") for x in encode([t or "" for t in texts])]
             n = np.array([len(x) for x in ids], np.int64)
-            loss = np.array([t if x is None else min(max(x, 0), t) for x, t in zip(losses, n.tolist(), strict=True)], np.int64)
+            loss = np.floor(np.array(shares) * n).astype(np.int64)
             rows: list[tuple] = []
             for piece in pack_group(n, loss, length, segments, max_loss):
                 at, seq = 0, (task << 36) + done
@@ -255,6 +270,12 @@ def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, s
     return small_batches(items).select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
 
 
+def answer_share(text: Column) -> Column:
+    """The share of a text's characters in its even lines: a text is read as prompts and answers in turn, a line each, and answers bear loss."""
+    answers = F.filter(F.split(text, "\n", -1), lambda x, i: i % 2 == 1)
+    return F.length(F.array_join(answers, "")) / F.greatest(F.lit(1), F.length(text))
+
+
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 

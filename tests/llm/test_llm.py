@@ -667,6 +667,30 @@ def test_packs_hold_all_and_keep_limits(limits):
             assert at == tokens[i]
 
 
+def test_more_than_one_limit_decides(spark):
+    """Documents of answers nearly alone, and of prompts: packed by tokens alone, sequences would hold too much loss."""
+    rows = [(i, "short prompt\n" + "an answer of words " * 150) for i in range(60)] + [(100 + i, "a long prompt of words " * 120 + "\nyes") for i in range(60)]
+    df = docs(spark, rows).repartition(1)
+    share = {r["doc_id"]: r["s"] for r in df.select("doc_id", packing.answer_share(F.col("text")).alias("s")).collect()}
+    assert share[0] > 0.95 and share[100] < 0.05
+
+    def sequences(got):
+        used, loss = Counter(), Counter()
+        for r in got:
+            used[r["sequence_id"]] += r["length"]
+            loss[r["sequence_id"]] += share[r["doc_id"]] * r["length"]
+        return used, loss
+
+    used, loss = sequences(packing.pack(df).collect())
+    full = [k for k, n in used.items() if n == packing.SEQUENCE]
+    assert max(loss.values()) <= packing.MAX_LOSS + 40 and len(full) >= 0.8 * sum(used.values()) / packing.SEQUENCE
+    _, free = sequences(packing.pack(df, loss_share=F.lit(0.0)).collect())
+    assert max(free.values()) > packing.MAX_LOSS + 400
+    # With few pieces allowed, that limit decides.
+    pieces = Counter(r["sequence_id"] for r in packing.pack(df, segments=2).collect())
+    assert max(pieces.values()) == 2
+
+
 def test_pack_of_a_table(spark):
     rows = ODD + [(20 + i, t) for i, t in enumerate(TOKENS)]
     got = packing.pack(docs(spark, rows)).collect()
