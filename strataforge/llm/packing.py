@@ -148,7 +148,7 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
 
     The open sequence takes the item with the greatest dot product of its needs (tokens, loss-bearing
     tokens, one segment, each a share of its limit) with what is left of the limits, among those that fit.
-    When none fits, the largest is cut to fill the sequence. Where the segment or loss limit closes a
+    When none fits, the one of which most fits is cut to fill the sequence. Where the segment or loss limit closes a
     sequence early, it keeps a power of two, which needs no padding, and the rest goes back; the last one is
     cut to powers of two. An item's loss-bearing tokens count as spread evenly over it.
     """
@@ -173,9 +173,11 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
                 at = int(np.argmax(np.where(fits, score, -1.0)))
                 take = int(need_t[at])
             else:
-                at = 0  # the largest
-                s = share[alive[0]]
-                take = int(min(room[0], np.floor(room[1] / s) if s > 0 else room[0], need_t[0]))
+                # Cut the item that fills most of what is left, the largest among equals.
+                s = share[alive]
+                upto = np.minimum(np.minimum(need_t, room[0]), np.where(s > 0, np.floor(room[1] / np.maximum(s, 1e-12)), room[0]))
+                at = int(np.argmax(upto))
+                take = int(upto[at])
                 if take < 1:
                     break
             i = int(alive[at])
@@ -185,7 +187,7 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, length: int = SEQUENCE, seg
             room -= (take, np.ceil(share[i] * take), 1)
             if left[i] == 0:
                 alive = np.delete(alive, at)
-            elif at == 0 and len(alive) > 1 and left[i] < left[alive[1]]:
+            elif at + 1 < len(alive) and left[i] < left[alive[at + 1]]:
                 alive = alive[np.argsort(-left[alive], kind="stable")]
         if not now:
             raise ValueError("an item bears more loss than a sequence may hold")
