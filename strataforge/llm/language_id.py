@@ -11,21 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataforge.llm import textvec
 from strataforge.llm.common import small_batches, table
 
 UNKNOWN = "und"
 #: The model is fitted on so many labelled rows of each language in expectation, drawn by a hash of the id.
 FIT_ROWS = 2000
-#: Words and n-grams of each order that a language's model holds at most, the most frequent ones.
-MOST_WORDS, MOST_GRAMS, MOST_ITEMS = 20_000, 8_000, 400_000
-#: Languages learned at most, those with the most rows: a worker's memory of words has a number for each of them (0.6 GB at 512).
-MOST_LANGS = 512
+#: Words and n-grams of each order that a language's model holds at most, the most frequent ones; a model grows with its
+#: languages alone.
+MOST_WORDS, MOST_GRAMS = 20_000, 8_000
 LONGEST = 5
 #: Counts below are not learned.
 LEAST = 2
 WORD = re.compile(r"[^\W\d_]+")
-#: Word scores that a worker remembers.
-CACHE = 150_000
+#: Texts with other characters than these are split by WORD; the rest by their bytes, where letters are a-z and all above ASCII.
+OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+#: Numbers that a worker remembers for unseen words, bytes of text split at a time, and numbers added up at a time.
+CACHE, AT_ONCE, SUMS = 1 << 20, 1 << 19, 1 << 22
 
 
 def words(text: str) -> list[str]:
@@ -38,70 +40,164 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+TIMES = np.random.default_rng(55).integers(1, 1 << 63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def gram_hash(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n characters from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for t in range(n):
+        h = textvec.mix(h ^ chars[at + t] * TIMES[t])
+    return h
+
+
 class Model:
-    """Per-language log frequencies: a dictionary of items and a matrix (item, language) for words and for each order of n-grams."""
+    """Per-language log frequencies of words and of n-grams of each order, kept sparse.
+
+    An item's log frequency in a language is that of an item never seen there (``floors``), and log(2 n + 1) more for n
+    occurrences; only the latter are kept for each item.
+    """
 
     def __init__(self, langs: list[str], tables: list[dict[str, dict[str, int]]]):
         """tables: of words, then of n-grams from the longest to single characters; each language's counts by item."""
         self.langs = langs
-        self.rows, self.scores = zip(*(self._scores(t) for t in tables), strict=True)
-        self._forget()
-
-    def _scores(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-        items = sorted({x for c in counts.values() for x in c})
-        row = {x: i for i, x in enumerate(items)}
-        m = np.full((len(items), max(1, len(self.langs))), 0.5)
-        for j, lang in enumerate(self.langs):
-            for x, n in counts.get(lang, {}).items():
-                m[row[x], j] += n
-        return row, np.log(m / m.sum(axis=0, keepdims=True)) if items else m
-
-    def _forget(self) -> None:
-        """Unseen words take rows after the known ones, until there are too many."""
-        self.row = dict(self.rows[0])
-        self.all = np.concatenate([self.scores[0], np.zeros((CACHE, self.scores[0].shape[1]))])
+        self.rows, self.items, self.floors = zip(*(self._items(t) for t in tables), strict=True)
+        self.start = None
+
+    def _items(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        names = sorted({x for c in counts.values() for x in c})
+        row = {x: i for i, x in enumerate(names)}
+        found = [(row[x], j, n) for j, lang in enumerate(self.langs) for x, n in counts.get(lang, {}).items()]
+        r, lang, n = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        total = 0.5 * len(names) + np.bincount(lang, weights=n, minlength=len(self.langs))
+        order = np.argsort(r, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(names)))))
+        return row, (begin, lang[order], np.log(2.0 * n[order] + 1)), np.log(0.5 / np.maximum(total, 0.5))
 
     def __getstate__(self) -> tuple:
-        return self.langs, self.rows, self.scores
+        return self.langs, self.rows, self.items, self.floors
 
     def __setstate__(self, state: tuple) -> None:
-        self.langs, self.rows, self.scores = state
-        self._forget()
-
-    def _backed_off(self, w: str) -> np.ndarray:
-        """The mean of a word's known n-grams of the greatest order that has any; else nothing for any language."""
-        for n in range(min(LONGEST, len(w) + 2), 0, -1):
-            known, scores = self.rows[LONGEST - n + 1], self.scores[LONGEST - n + 1]
-            found = [known[g] for g in grams(w, n) if g in known]
-            if found:
-                return scores[found].mean(axis=0)
-        return np.zeros(self.all.shape[1])
-
-    def word(self, w: str) -> np.ndarray:
-        """A known word's log frequencies; else those it is given by its n-grams."""
-        return self.scores[0][self.rows[0][w]] if w in self.rows[0] else self._backed_off(w)
+        self.langs, self.rows, self.items, self.floors = state
+        self.start = None
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The best language and its share: the softmax of mean scores over words."""
-        found = words(text or "")
-        if not self.langs or not any(c.isalpha() for w in found for c in w):
-            return UNKNOWN, 0.0
-        counts = Counter(found)
-        new = [w for w in counts if w not in self.row]
-        if len(self.row) + len(new) > len(self.all):
+    def _forget(self) -> None:
+        """Only the known words are left: their hashes in order, where their numbers begin, how many they are, and their table."""
+        if self.start is None:
+            names = list(self.rows[0])
+            data, begins = textvec.joined([x.encode() for x in names])
+            hashes = textvec.span_hash(data, begins[:-1], begins[1:] - 1)
+            order = np.argsort(hashes)
+            begin, lang, more = self.items[0]
+            self.start = hashes[order], begin[:-1][order], np.diff(begin)[order], np.zeros(len(names), np.int64), lang, more
+            self.grams: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for k in range(1, len(self.rows)):
+                n = LONGEST - k + 1
+                chars = np.frombuffer("".join(self.rows[k]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+                h = gram_hash(chars, np.arange(0, len(chars), n), n)
+                order = np.argsort(h)
+                self.grams.append((h[order], order))
+        self.hashes, self.begin, self.count, self.table, self.lang, self.more = self.start
+
+    def _backed_off(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word its table, how many numbers it has, and all their languages and values: the mean of its known n-grams of the greatest order that has any, else of no table."""
+        langs = len(self.langs)
+        chars = np.frombuffer(f" {' '.join(found)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.array([len(w) for w in found], np.int64) + 2
+        first = np.cumsum(size - 1) - (size - 1)  # each word's first blank is the last one of the word before
+        table, total, known = np.full(len(found), len(self.rows)), np.zeros((len(found), langs)), np.zeros(len(found), np.int64)
+        for n in range(LONGEST, 0, -1):
+            k = LONGEST - n + 1
+            hashes, order = self.grams[k]
+            todo = np.flatnonzero((table == len(self.rows)) & (size >= n))
+            if not len(todo) or not len(hashes):
+                continue
+            windows = size[todo] - n + 1
+            upto = np.cumsum(windows)
+            at = np.repeat(first[todo] - upto + windows, windows) + np.arange(upto[-1])
+            of = np.repeat(todo, windows)
+            h = gram_hash(chars, at, n)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[place] == h
+            row, of = order[place[hit]], of[hit]
+            begin, lang, more = self.items[k]
+            count = begin[row + 1] - begin[row]
+            ends = np.cumsum(count)
+            entry = np.repeat(begin[row] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+            total += np.bincount(np.repeat(of, count) * langs + lang[entry], weights=more[entry], minlength=total.size).reshape(total.shape)
+            known += np.bincount(of, minlength=len(found))
+            table[of] = k
+        total /= np.maximum(known, 1)[:, None]
+        word, lang = np.nonzero(total)
+        return table, np.bincount(word, minlength=len(found)), lang, total[word, lang]
+
+    def _learn(self, hashes: np.ndarray, found: list[str]) -> None:
+        """Remembers words not known."""
+        each = max(1, SUMS // max(1, len(self.langs)))
+        got = [self._backed_off(found[a:b]) for a, b in textvec.chunks([each // 4096 + len(w) for w in found], each)]
+        table, count, lang, more = (np.concatenate(c) for c in zip(*got, strict=True))
+        begin = len(self.lang) + np.cumsum(count) - count
+        self.lang, self.more = np.concatenate([self.lang, lang]), np.concatenate([self.more, more])
+        at = np.searchsorted(self.hashes, hashes)
+        new = hashes, begin, count, table
+        self.hashes, self.begin, self.count, self.table = (np.insert(old, at, x) for old, x in zip((self.hashes, self.begin, self.count, self.table), new, strict=True))
+
+    def _means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words, and the mean of their log frequencies in each language, of each text."""
+        data, begins = textvec.joined(texts)
+        data = data.copy()
+        data[(data >= 65) & (data <= 90) | (data >= 128) & (data < 159) & (data != 151) & (np.concatenate(([0], data[:-1])) == 0xC3)] += 32
+        starts, ends = textvec.runs((data >= 97) & (data <= 122) | (data >= 128))
+        hashes, where, inverse = np.unique(textvec.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        if self.start is None or len(self.lang) > len(self.start[4]) + CACHE or len(self.hashes) > len(self.start[0]) + CACHE:
             self._forget()
-            new = [w for w in counts if w not in self.row]
-        if len(self.row) + len(new) > len(self.all):  # more unseen words in one text than are ever remembered
-            m = np.stack([self.word(w) for w in counts])
-        else:
-            for w in new:
-                self.all[len(self.row)] = self._backed_off(w)
-                self.row[w] = len(self.row)
-            m = self.all[np.fromiter(map(self.row.__getitem__, counts), np.int64, len(counts))]
-        n = np.fromiter(counts.values(), float, len(counts))
-        mean = n @ m / n.sum()
-        best = int(np.argmax(mean))
-        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != hashes[at < len(self.hashes)]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[starts[j] : ends[j]].decode() for j in where[new].tolist()])
+        slot = np.searchsorted(self.hashes, hashes)[inverse]
+        text = np.searchsorted(begins, starts, "right") - 1
+        tables, langs = len(self.rows) + 1, len(self.langs)
+        by_table = np.bincount(text * tables + self.table[slot], minlength=len(texts) * tables).reshape(-1, tables)
+        total = np.zeros((len(texts), langs))
+        for k, floor in enumerate(self.floors):
+            total += by_table[:, k, None] * floor
+        count = self.count[slot]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        edges = np.searchsorted(upto, np.arange(0, upto[-1], SUMS)).tolist() + [len(slot)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            place = np.repeat(self.begin[slot[a:b]] - upto[a:b], count[a:b]) + np.arange(upto[a], upto[b])
+            into = np.repeat(text[a:b], count[a:b]) * langs + self.lang[place]
+            total += np.bincount(into, weights=self.more[place], minlength=total.size).reshape(total.shape)
+        n = by_table.sum(axis=1)
+        return n, total / np.maximum(n, 1)[:, None]
+
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The best language and its share for each text: the softmax of mean log frequencies over words."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        ready, at = [], []
+        for i, t in enumerate(texts):
+            if t and OTHER.search(t):
+                found = words(t)
+                t = " ".join(found) if any(c.isalpha() for w in found for c in w) else ""
+            if t:
+                ready.append(t.encode("utf-8", "surrogatepass"))
+                at.append(i)
+        for a, b in textvec.chunks([len(t) for t in ready], AT_ONCE):
+            n, mean = self._means(ready[a:b])
+            best = np.argmax(mean, axis=1)
+            share = 1 / np.exp(mean - mean[np.arange(len(best)), best][:, None]).sum(axis=1)
+            for i, some, j, x in zip(at[a:b], n.tolist(), best.tolist(), share.tolist(), strict=True):
+                if some:
+                    out[i] = self.langs[j], x
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predictions([text])[0]
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -109,17 +205,20 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, most_langs: int = MOST_LANGS) -> Model:
+def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, most_langs: int | None = None) -> Model:
     """Learns from text and lang of rows that are not held out, from a sample of bounded expected size for each language.
 
-    Only the ``most_langs`` languages with the most rows are learned; rows of others teach nothing, and others are never predicted.
+    All languages are learned, or on request the ``most_langs`` with the most rows. A language takes ``most_words`` and
+    LONGEST times ``most_grams`` items of the driver's and each worker's memory at most.
     """
     known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    n = {r["lang"]: r["count"] for r in (counted if most_langs is None else counted.limit(most_langs)).collect()}
     if not n:
         return Model([], [{} for _ in range(LONGEST + 1)])
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, rows / c))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, rows / c)) for lang, c in n.items()], "lang string, _share double")
+    drawn = known.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)).alias("_at"))
+    drawn = drawn.join(F.broadcast(shares), "lang").where("_at < _share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[Counter]] = {}
@@ -146,8 +245,8 @@ def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS,
             yield out()
 
     counted = drawn.mapInArrow(count, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    # What reaches the driver is bounded: so many items in all, and so many of each language and table.
-    most = F.when(F.col("k") == 0, min(most_words, MOST_ITEMS // len(n) // 2)).otherwise(min(most_grams, MOST_ITEMS // len(n) // 2 // LONGEST))
+    # What reaches the driver is bounded: so many items of each language and table.
+    most = F.when(F.col("k") == 0, most_words).otherwise(most_grams)
     place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "item"))
     best = counted.withColumn("place", place).where((F.col("place") <= max(most_words, most_grams)) & (F.col("place") <= most)).drop("place").toPandas()
     tables: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
@@ -172,7 +271,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(at).to_pylist()]
+            got = m.predictions(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", held_out boolean, lang_pred string, score double"

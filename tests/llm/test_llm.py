@@ -319,6 +319,74 @@ def test_language_backoff_and_unknown(spark):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_language(train, texts):
+    """Dense counts and plain loops: the model of all training rows, and each text's language and share."""
+    langs = sorted({lang for _, lang in train})
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[0][lang][w] += 1
+            for n in range(1, 6):
+                p = f" {w} "
+                for i in range(len(p) - n + 1):
+                    counts[6 - n][lang][p[i : i + n]] += 1
+    items = [{x for lang in langs for x, c in k[lang].items() if c >= 2} for k in counts]
+    get = lambda k, lang, x: c if (c := counts[k][lang][x]) >= 2 else 0
+    total = [{lang: sum(get(k, lang, x) + 0.5 for x in items[k]) for lang in langs} for k in range(6)]
+    logp = lambda k, lang, x: math.log((get(k, lang, x) + 0.5) / total[k][lang])
+
+    def word(w, lang):
+        if w in items[0]:
+            return logp(0, lang, w)
+        p = f" {w} "
+        for n in range(5, 0, -1):
+            found = [g for i in range(len(p) - n + 1) if (g := p[i : i + n]) in items[6 - n]]
+            if found:
+                return sum(logp(6 - n, lang, g) for g in found) / len(found)
+        return 0.0
+
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not any(c.isalpha() for x in w for c in x):
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(word(x, lang) for x in w) / len(w) for lang in langs]
+        out.append((langs[int(np.argmax(mean))], 1 / sum(math.exp(m - max(mean)) for m in mean)))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(21)
+    stems = {"de": ["schön", "straße", "und", "Über", "katze"], "fr": ["été", "où", "le", "garçon", "œuvre"], "el": ["λόγος", "και", "ΣΟΦΟΣ"], "tr": ["İyi", "ılık", "ve"]}
+    rows, i = [], 0
+    for lang, own in stems.items():
+        for _ in range(60):
+            rows.append((i, " ".join(rng.choice(own) + rng.choice(["", "en", "s", "x1", "_y", "²"]) for _ in range(rng.randrange(1, 12))), "s", lang))
+            i += 1
+    more = ["", None, "12 _", "² ½", "nie gesehen", "Ωμέγα", "中文 字", "été-schön;und", "ÀÉÞ ß×÷ÿ", "ª º µ", "q" * 3000, "İSTANBUL ve", " ".join(["und", "le"] * 2000)]
+    texts = [(1000 + k, t, "s", None) for k, t in enumerate(more)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs(spark, rows + texts)).collect()}
+    train = [(t, lang) for j, t, _, lang in rows if zlib.crc32(str(j).encode()) % 4 != 2]
+    for (j, t, *_), (lang, score) in zip(rows + texts, brute_language(train, [r[1] for r in rows + texts]), strict=True):
+        assert got[j][0] == lang and got[j][1] == pytest.approx(score, abs=1e-9), (j, t)
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = language_id.op5_language_id(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert right >= 0.97 * n > 100
+
+
+def test_no_language_is_left_out(spark):
+    code = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    rows = [(4 * k + j, f"{code(k)}q {code(k)}q", "s", f"l{k:03}") for k in range(600) for j in range(4)]
+    model = language_id.fit(docs(spark, rows))
+    assert len(model.langs) >= 595 and model.predict(f"{code(577)}q")[0] == "l577"
+
+
 def test_more_languages_than_the_default(spark):
     code = lambda k: "".join(chr(97 + int(d)) for d in str(k))
     rows = [(4 * k + j, f"{code(k)}q {code(k)}q", "s", f"l{k:03}") for k in range(515) for j in range(4)]
