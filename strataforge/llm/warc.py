@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import scratch, small_batches, table
+from strataforge.llm.common import cut, join_hot, maybe_in, scratch, small_batches, table
 
 #: Fixed values of the format: magic of the skippable frame that holds the dictionary, of a frame, of a dictionary.
 DICT_FRAME, FRAME, DICT = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -27,8 +27,9 @@ RECORD_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def fit_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
-    """A Zstandard dictionary of a bounded sample of payloads; empty where there are too few to fit one."""
-    rows = pages.where(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_CHARS).alias("p")).limit(SAMPLE_PAGES).collect()
+    """A Zstandard dictionary of a bounded sample of payloads, by a hash of the page's id; empty where there are too few to fit one."""
+    rows = pages.where(F.length(payload) > 0).select("page_id", F.substring(payload, 1, SAMPLE_CHARS).alias("p"))
+    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", "p").limit(SAMPLE_PAGES).collect()
     samples = [r.p.encode() for r in rows]
     total = sum(map(len, samples))
     if len(samples) < 8 or total < 8192:
@@ -149,20 +150,28 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     """Each row with its payload's digest and, where it repeats an equal payload of at least revisit_from bytes, the page it revisits.
 
     The page with the smallest id is the response (null ids come after all others); rows that repeat that id are responses too.
+    Other columns are not read; an empty table gives an empty one. Only rows whose payload may be repeated are moved, and
+    of those the ones with very common payloads stay where they are, too.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    firsts = pages.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = pages.join(firsts, "digest", "left")
+    firsts = pages.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(firsts)
+    repeated, total = firsts.agg(F.count("*"), F.sum("n")).first()
+    some = maybe_in(pages, "digest", firsts.select("digest"), repeated)
+    moved = join_hot(some.where("_maybe").drop("_maybe"), firsts, "digest", "n", total or 0, "left")
+    joined = moved.unionByName(some.where("NOT _maybe").drop("_maybe").withColumn("first", F.lit(None).cast("long")))
     return joined.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = None) -> DataFrame:
     """Writes plan_records() rows to .warc.zst files in a folder that all executors reach; returns the archives written.
 
-    A task that runs again writes files of its own, and only those of the attempt that Spark kept are in the list.
+    A task that runs again writes files of its own, and only those of the attempt that Spark kept are in the list. Null ids and
+    urls are written as such, rows that repeat an id or a payload are records of their own, other columns are not read, and an
+    empty table writes nothing.
     """
-    dictionary = fit_dictionary(pages.select(F.col("payload").cast("string").alias("html"))) if dictionary is None else dictionary
+    dictionary = fit_dictionary(pages.select("page_id", F.col("payload").cast("string").alias("html"))) if dictionary is None else dictionary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,7 +214,7 @@ RECORDS = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("url",
 
 
 def read_archives(archives: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
-    """The records of listed archives (archive, records), read block by block; a wrong record count is an error."""
+    """The records of listed archives (archive, records), read block by block; a wrong record count is an error. No archive gives no record; null ids and empty payloads come back as they were; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _open(folder)

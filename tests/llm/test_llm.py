@@ -502,6 +502,17 @@ def test_bad_archives_are_refused():
             warc.parse(bad)
 
 
+def test_archives_of_repeated_ids_and_clashing_columns(spark, tmp_path, monkeypatch):
+    from strataforge.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(5, "u", "p" * 200, 1), (5, "u", "p" * 200, 1), (3, "v", "q" * 150, 1), (None, "w", "q" * 150, 1), (9, None, None, 1), (8, "x", "p" * 200, 1), (7, "x", "short", 1), (6, "x", "short", 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest int").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.op7_warc(spark, str(tmp_path)).collect()), key=str)
+    want = [(5, "response", None, 200)] * 2 + [(3, "response", None, 150), (None, "revisit", 3, 150), (9, "response", None, 0), (8, "revisit", 5, 200), (7, "response", None, 5), (6, "response", None, 5)]
+    assert got == sorted(want, key=str)
+
+
 # ---- 8 PII
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
