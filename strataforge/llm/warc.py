@@ -28,8 +28,10 @@ RECORD_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 def fit_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
     """A Zstandard dictionary of a bounded sample of payloads, by a hash of the page's id; empty where there are too few to fit one."""
-    rows = pages.where(F.length(payload) > 0).select("page_id", F.substring(payload, 1, SAMPLE_CHARS).alias("p"))
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", "p").limit(SAMPLE_PAGES).collect()
+    some = pages.where(F.length(payload) > 0).select(F.xxhash64("page_id").alias("h"), F.substring(payload, 1, SAMPLE_CHARS).alias("p"))
+    # The hashes first, which are short, then one payload for each of the smallest ones.
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    rows = some.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect() if least else []
     samples = [r.p.encode() for r in rows]
     total = sum(map(len, samples))
     if len(samples) < 8 or total < 8192:
