@@ -60,3 +60,21 @@ def test_pipeline_without_languages(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, str(tmp_path)).collect()) == [*range(6), 12]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_with_odd_rows_and_columns(spark, tmp_path):
+    """Null ids, repeated rows, null columns and columns whose names the operators use, too; empty tables."""
+    import corpus_pipeline
+
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    docs = [(None, body(0), "en", None, None, "q", 1), (None, body(0), "en", None, None, "q", 1), (None, body(1), None, "a", 0, None, 2), (5, body(2), "en", "a", 0, "z", 3), (5, body(2), "en", "a", 0, "z", 3), (5, None, None, None, None, None, None), (6, "", "en", "b", 0, "y", 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, node string, size int")
+    kept = {"language ID": 5, "line dedup": 5, "n-gram Jaccard join": 3}
+    now = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).persist()
+        assert now.columns == df.columns, name
+        assert now.count() == kept.get(name, now.count()), name
+        assert stage(spark, df.where("false"), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.pack(spark, now, str(tmp_path)).agg({"length": "sum"}).first()[0] > 0
+    assert corpus_pipeline.pack(spark, df.where("false"), str(tmp_path)).count() == 0
