@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import cut, groups, join_hot, maybe_in, small_batches, table
+from strataforge.llm.common import cut, groups, join_hot, maybe_in, small_batches, table, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
@@ -108,7 +108,7 @@ def signed(docs: DataFrame, runs: int, words: int = WORDS) -> DataFrame:
                         node.append(None), roots.append(None), sketch.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "node", "n", "roots", "sketch"])
 
-    return small_batches(docs).select(_id(), "text").mapInArrow(run, "id long, node binary, n int, roots array<long>, sketch binary")
+    return small_batches(docs).select(_id(), "text").mapInArrow(tidy(run), "id long, node binary, n int, roots array<long>, sketch binary")
 
 
 def _id() -> Column:
@@ -173,7 +173,7 @@ def chiefs(big: DataFrame, nodes: DataFrame, equal: int, limit: int, turn: int)
                     yield from pa.table([found.column("path"), found.column("node"), name, pa.array(same[at].astype(np.int32))], names=["path", "node", "chief", "same"]).combine_chunks().to_batches()
 
     cells = rows.unionByName(meet).withColumn("cell", F.xxhash64("path", "part"))
-    return cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "path long, node binary, chief binary, same int")
+    return cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(tidy(run), "path long, node binary, chief binary, same int")
 
 
 def thinned(big: DataFrame, nodes: DataFrame, equal: int, limit: int, turn: int, total: int) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +292,7 @@ def candidate_edges(cells: DataFrame, nodes: DataFrame, equal: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     full = cells.join(nodes.select("node", "sketch"), "node").select("cell", "node", "sketch")
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
@@ -393,7 +393,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
                     part = batch.slice(a, b - a).take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([part.column("root"), part.column("node"), part.column("w"), part.column("parts"), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["root", "node", "w", "parts", "tokens"])
 
-    s = rows.select("text", "root", "node", "w", "parts").mapInArrow(sets, "root binary, node binary, w long, parts int, tokens binary")
+    s = rows.select("text", "root", "node", "w", "parts").mapInArrow(tidy(sets), "root binary, node binary, w long, parts int, tokens binary")
     s = s.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("cell", F.md5(F.concat(F.hex("root"), F.lit("-"), "own").cast("binary")))
     linker = Linker(threshold)
 
@@ -419,7 +419,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
         if held:
             yield _batch(held, FOUND_KINDS + BLOCK_KINDS, f"{FOUND}, {BLOCK}")
 
-    first = cut(s.repartition("cell").sortWithinPartitions("cell").mapInArrow(gather, f"{FOUND}, {BLOCK}"))
+    first = cut(s.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(gather), f"{FOUND}, {BLOCK}"))
     done, blocks = first.where("node IS NOT NULL").select(*(x.split()[0] for x in FOUND.split(", "))), first.where("root IS NOT NULL").select(*(x.split()[0] for x in BLOCK.split(", ")))
     if blocks.isEmpty():
         return done
@@ -434,7 +434,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, words: int)
             if len(own) == 1 + (own[0]["low"] != own[0]["high"]):
                 yield _batch(linker.rows([b["nodes"] for b in own], [b["w"] for b in own], tokens, True), FOUND_KINDS, FOUND)
 
-    return done.unionByName(cut(pairs.repartition("cell").sortWithinPartitions("cell", "own").mapInArrow(compare, FOUND)))
+    return done.unionByName(cut(pairs.repartition("cell").sortWithinPartitions("cell", "own").mapInArrow(tidy(compare), FOUND)))
 
 
 def _spread(near: np.ndarray) -> np.ndarray:
@@ -507,7 +507,7 @@ def with_node(docs: DataFrame, words: int) -> DataFrame:
                 nodes = pa.array([digest(x) if len(x) else None for x in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, nodes], names=names)
 
-    return small_batches(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _node binary")
+    return small_batches(docs).mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _node binary")
 
 
 def first_of_each_class(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import small_batches, table
+from strataforge.llm.common import small_batches, table, tidy
 
 WIDTH, ROWS = 64, 1024
 #: Hundredths of a second that a written frame shows.
@@ -269,7 +269,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
             if held:
                 yield _batch(held, MEDIA)
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEDIA)
+    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), MEDIA)
 
 
 ARROW = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}
@@ -297,7 +297,7 @@ def decode_frames(media: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, FRAMES)
 
-    return media.select("doc_id", "media").mapInArrow(run, FRAMES)
+    return media.select("doc_id", "media").mapInArrow(tidy(run), FRAMES)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, shown_ms long"
@@ -329,7 +329,7 @@ def digests(media: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, DIGESTS)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), DIGESTS)
 
 
 def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

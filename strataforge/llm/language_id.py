@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import small_batches, table
+from strataforge.llm.common import small_batches, table, tidy
 
 UNKNOWN = "und"
 #: The model is fitted on so many labelled rows of each language in expectation, drawn by a hash of the id.
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, *, rows: int = FIT_ROWS, most_words: int = MOST_WORDS,
         if any(t for tables in held.values() for t in tables):
             yield out()
 
-    counted = drawn.mapInArrow(count, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    counted = drawn.mapInArrow(tidy(count), "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     # What reaches the driver is bounded: so many items of each language and table.
     most = F.when(F.col("k") == 0, most_words).otherwise(most_grams)
     place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "item"))
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", held_out boolean, lang_pred string, score double"
-    return docs.withColumn("held_out", held_out() if "doc_id" in docs.columns else F.lit(False)).mapInArrow(run, schema)
+    return docs.withColumn("held_out", held_out() if "doc_id" in docs.columns else F.lit(False)).mapInArrow(tidy(run), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

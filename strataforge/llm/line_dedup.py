@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import join_hot, remove, scratch, small_batches, table, written
+from strataforge.llm.common import join_hot, remove, scratch, small_batches, table, tidy, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ def doc_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "hash"])
 
-    return small_batches(docs).select(_id(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, hash binary")
+    return small_batches(docs).select(_id(), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "id long, hash binary")
 
 
 def _id() -> F.Column:
@@ -201,7 +201,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
             more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at_drop] + more, names=[*names, "n_lines", "n_dropped", "kept_text"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

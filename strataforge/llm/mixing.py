@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import NOT_SPACE, cut, groups, join_hot, small_batches, table
+from strataforge.llm.common import NOT_SPACE, cut, groups, join_hot, small_batches, table, tidy
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = 17
@@ -234,7 +234,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHA
             columns = [g.column(c) for c in ("doc_id", "source", "size", "source_size", "target")]
             yield from pa.table([*columns, pa.array(words_taken(sizes, often, edges))], names=[x.split()[0] for x in schema.split(", ")]).to_batches()
 
-    return _lines(docs, weights, share, most, seed).mapInArrow(run, schema)
+    return _lines(docs, weights, share, most, seed).mapInArrow(tidy(run), schema)
 
 
 def _group() -> F.Column:
@@ -293,7 +293,7 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
                         out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], pa.int64()).cast(kind))
                     yield from out.combine_chunks().to_batches()
 
-    return rows.select("row.*", "size", "block", "shard_seats", "group").mapInArrow(run, schema)
+    return rows.select("row.*", "size", "block", "shard_seats", "group").mapInArrow(tidy(run), schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

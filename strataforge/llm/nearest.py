@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import cut, table
+from strataforge.llm.common import cut, table, tidy
 
 #: Rows that the lists' centres are fitted on at most, in expectation, by a hash of the id. There are no more lists than these.
 SAMPLE = 16_384
@@ -205,7 +205,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = NEIGHBOURS, lists: i
             near = np.concatenate([np.argmax(x[a : a + 1024] @ model.value[0].T, axis=1) for a in range(0, len(x), 1024)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["vec_id", "v", "list"])
 
-    placed = cut(v.mapInArrow(place, "vec_id long, v array<double>, list int"))
+    placed = cut(v.mapInArrow(tidy(place), "vec_id long, v array<double>, list int"))
     # One number for each list: no more than the sample's rows.
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():
@@ -227,7 +227,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = NEIGHBOURS, lists: i
                 probed = pa.array([o[: max(probes, int(n))].astype(np.int32) for o, n in zip(order, enough, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), probed, pa.array(bounds), pa.array(known, KNOWN)], names=["vec_id", "v", "lists", "bound", "known"])
 
-    asked = cut(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "vec_id long, v array<double>, lists array<int>, bound double, known array<struct<vec_id: long, score: double>>"))
+    asked = cut(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(tidy(ask), "vec_id long, v array<double>, lists array<int>, bound double, known array<struct<vec_id: long, score: double>>"))
     known = asked.select(F.col("vec_id").alias("query_id"), F.explode("known").alias("x")).select("query_id", "x.*")
     asked = asked.select("vec_id", "v", "bound", F.explode("lists").alias("list"))
     dealt = {r["list"]: (int(held[r["list"]]) // PART + 1, r["count"] // ASKED + 1) for r in asked.groupBy("list").count().collect()}
@@ -267,7 +267,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = NEIGHBOURS, lists: i
                         scan.add(x[i : min(b, i + CHUNK)], ids[i : min(b, i + CHUNK)])
         yield from out()
 
-    near = both.repartition("cell").sortWithinPartitions("cell", "row").mapInArrow(found, "query_id long, vec_id long, score double")
+    near = both.repartition("cell").sortWithinPartitions("cell", "row").mapInArrow(tidy(found), "query_id long, vec_id long, score double")
     near = near.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

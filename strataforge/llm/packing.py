@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import small_batches, table
+from strataforge.llm.common import small_batches, table, tidy
 
 SEQUENCE, END_ID = 4096, 2
 #: A sequence holds at most so many pieces, and so many tokens that bear loss.
@@ -269,7 +269,7 @@ def pack(items: DataFrame, *, path: str | None = None, length: int = SEQUENCE, s
         if held[0]:
             yield packed(*held)
 
-    return small_batches(items).select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
+    return small_batches(items).select(*cols).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in NAMES))
 
 
 def answer_share(text: Column) -> Column:

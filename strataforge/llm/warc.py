@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm.common import cut, join_hot, maybe_in, scratch, small_batches, table
+from strataforge.llm.common import cut, join_hot, maybe_in, scratch, small_batches, table, tidy
 
 #: Fixed values of the format: magic of the skippable frame that holds the dictionary, of a frame, of a dictionary.
 DICT_FRAME, FRAME, DICT = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "records", "bytes"])
 
     listed = scratch(pages.sparkSession, "warc-list")
-    small_batches(pages).select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(run, "archive string, records long, bytes long").write.parquet(listed)
+    small_batches(pages).select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(tidy(run), "archive string, records long, bytes long").write.parquet(listed)
     return pages.sparkSession.read.parquet(listed)
 
 
@@ -240,7 +240,7 @@ def read_archives(archives: DataFrame, folder: str, *, payloads: bool = True) ->
 
     n = max(1, archives.count())
     spread = archives.select("archive", "records").repartition(min(n, 10_000), "archive")
-    return spread.mapInArrow(run, "archive string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return spread.mapInArrow(tidy(run), "archive string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
