@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,7 +268,7 @@ def mixed_rows(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHAR
             g, sizes, starts, (often, edges) = _line(g)
             data = g.select([f"c{i}" for i in range(len(names))]).rename_columns(names)
             at_text = names.index("text")
-            for a, b in textvec.chunks([len(t or "") for t in data.column(at_text).to_pylist()], 8 << 20):
+            for a, b in textvec.chunks(pc.fill_null(pc.binary_length(data.column(at_text)), 0).to_pylist(), 4 << 20):
                 pick, texts = [], []
                 for i in range(a, b):
                     if not sizes[i]:
