@@ -12,18 +12,22 @@ def half_up(x: Column, digits: int = 3) -> Column:
     return F.floor(x.cast("double") * k + 0.5).cast("double") / k
 
 
+#: How numbers are written: decimal, with an exponent, or without an end.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?Infinity$"
+
+
 def is_number(text: Column) -> Column:
     """Whether a cell reads as a number: decimal, exponent or hexadecimal; blank cells don't."""
     t = F.trim(text)
-    return (t != "") & (t.try_cast("double").isNotNull() & ~F.isnan(t.try_cast("double")) | t.rlike("^0[xX][0-9a-fA-F]+$"))
+    return t.rlike(NUMBER) | t.rlike("^0[xX][0-9a-fA-F]+$")
 
 
 def number(text: Column) -> Column:
     """A cell's value; blank is 0, hexadecimal is understood, null where it isn't a number."""
     t = F.trim(text)
     hexa = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).cast("double")
-    value = F.when(t.rlike("^0[xX]"), hexa).otherwise(t.try_cast("double"))
-    return F.when(t == "", F.lit(0.0)).otherwise(F.when(~F.isnan(value), value))
+    value = F.when(t.rlike("^0[xX]"), hexa).when(t.rlike(NUMBER), t.try_cast("double"))
+    return F.when(t == "", F.lit(0.0)).otherwise(value)
 
 
 def clamp01(x: Column) -> Column:

@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.decay import age_decay
-from strataforge.functions.text import fnv1a, identifier_tokens, query_tokens
+from strataforge.functions.text import basename, identifier_tokens, query_tokens
 from strataforge.functions.vectors import cosine
+from strataforge.lineage import cut
 
 K1, B = 1.5, 0.75
+TOKEN = re.compile("[a-z0-9_$]+")
 #: Weights of channels in rank fusion, and the constant added to ranks.
 WEIGHTS, RANK = {"identity": 2.0, "lexical": 1.0, "similarity": 0.8, "structural": 0.4}, 60
 
 
 def bm25(docs: DataFrame, terms: list[str], tokens: Column | None = None) -> DataFrame:
-    """id, score of the documents (id, text) that hold a term.
+    """id, score of the documents (id, text) that hold a term; none without terms.
 
     Only the query's terms are counted, in each row's own token array: nothing is exploded, and one row of totals (documents,
-    mean length, documents of each term) is all that is shuffled.
+    mean length, documents of each term) is all that is shuffled. Texts are read once: the counts, a few numbers a row, are
+    written before the totals are known.
     """
     terms = list(dict.fromkeys(terms))
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where("false")
     t = docs.select("id", (tokens if tokens is not None else identifier_tokens(F.col("text"))).alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
     t = t.select("id", F.size("t").alias("len"), *(count(w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    t = cut(t)
     totals = t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     x = t.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
@@ -43,6 +53,18 @@ def ranked(df: DataFrame, *order: Column, limit: int = 50) -> DataFrame:
     return top.withColumn("rank0", F.row_number().over(Window.orderBy(*order, "id")) - 1)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """id, rank0 of all rows by order and then id: sorted by ranges, then numbered from each range's start, so no task sees all rows."""
+    at = cut(df.orderBy(*order, "id").select("id")).withColumn("_at", F.monotonically_increasing_id())
+    held = {r["p"]: r["count"] for r in at.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
+    starts, before = [], 0
+    for p in range(max(held, default=0) + 1):
+        starts.append(before)
+        before += held.get(p, 0)
+    start = F.element_at(F.lit(starts).cast("array<long>"), F.shiftright("_at", 33).cast("int") + 1)
+    return at.select("id", (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank0"))
+
+
 def identity_tiers(symbols: DataFrame, query: str) -> DataFrame:
     """Symbols (id, name, ...) with a tier: 0 equal, 1 equal but for case, 2 begins so, 3 contains it; others are left out."""
     low, q = F.lower("name"), query.lower()
@@ -82,6 +104,7 @@ def rerank(fused: DataFrame, signals: DataFrame, *, cap: float = 0.35, half_life
     signals: id, symbol_age, file_age (seconds, null: no access), overlap (query tokens shared), intent, kind_match, runtime
     (needs runtime and few pulls).
     """
+    fused = cut(fused)
     best = fused.agg(F.max("score").alias("top"))
     x = fused.join(signals, "id", "left").crossJoin(F.broadcast(best))
     decayed = lambda c: F.coalesce(age_decay(F.col(c), half_life, most), F.lit(0.0))
@@ -122,6 +145,43 @@ def inverted_index(cards: DataFrame) -> DataFrame:
     return t.groupBy("token").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
+def postings(cards: DataFrame) -> DataFrame:
+    """token, name of cards (name, text): a row for each token of a card, sorted by token and name; lists are what a reader makes of it."""
+    t = cards.select(F.explode(query_tokens(F.concat_ws(" ", "name", "text"))).alias("token"), "name").distinct()
+    return t.sort("token", "name")
+
+
+def postings_lookup(index: DataFrame, names: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """name, score, matched (sorted query tokens) of names (name): 2 for each posting of a query token, 1 for one only inside the name."""
+    tokens = sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if len(t) >= 2})
+    if not tokens:
+        return names.select("name", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched")).where("false")
+    exact = index.where(F.col("token").isin(tokens)).select("name", "token", F.lit(2.0).alias("s"))
+    inside = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.lower("name").contains(t))
+    part = names.select("name", F.explode(inside).alias("token")).join(exact.select("name", "token"), ["name", "token"], "left_anti").withColumn("s", F.lit(1.0))
+    hits = exact.unionByName(part).groupBy("name").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("token")).alias("matched"))
+    return hits.orderBy(F.desc("score"), "name").limit(limit)
+
+
+def search_symbols(symbols: DataFrame, query: str, limit: int = 50, least: float = 0.3) -> DataFrame:
+    """id, score of symbols (id, name, path, kind, importance): identity, lexical and similarity channels, then importance over all that these found, fused.
+
+    The lexical channel is BM25 over the tokens of name, file name and kind; similarity is the cosine of hashed token vectors.
+    Importance orders what the other channels found and adds nothing of its own.
+    """
+    text = F.concat_ws(" ", "name", basename(F.col("path")), "kind")
+    plain = symbols.select("id", text.alias("text"))
+    terms = [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if len(t) >= 2]
+    identity = numbered(identity_tiers(symbols, query), F.col("tier"), F.desc("importance"))
+    lexical = numbered(bm25(plain, terms).select("id", F.round("score", 9).alias("score")), F.desc("score"))
+    asked = hash_embedding(symbols.sparkSession.createDataFrame([(0, query)], "id long, text string")).select("idx", F.col("value").alias("q"))
+    close = hash_embedding(plain).join(F.broadcast(asked), "idx").groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score")).where(F.col("score") >= least)
+    similar_ = numbered(close, F.desc("score"))
+    pool = identity.select("id").union(lexical.select("id")).union(similar_.select("id")).distinct()
+    structural = numbered(symbols.join(pool, "id", "left_semi"), F.desc("importance"))
+    return fuse({"identity": identity, "lexical": lexical, "similarity": similar_, "structural": structural}).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def skill_search(cards: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """name, score of cards (name, description): 2 for each query token among a card's tokens, 1 for one only inside its name."""
     tokens = sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if len(t) >= 2})
@@ -153,10 +213,38 @@ def skill_pack(cards: DataFrame, task: str, limit: int = 5, pool: int = 25) -> D
 
 
 def hash_embedding(docs: DataFrame, dims: int = 384) -> DataFrame:
-    """id, idx, value of documents (id, text): each token adds 1 / sqrt(tokens) at its hash's place; the vector is then of length 1. Sparse rows."""
-    t = docs.select("id", F.filter(F.split(F.lower("text"), "[^a-z0-9_$]+"), lambda x: x != "").alias("t")).where(F.size("t") > 0)
-    each = t.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    counts = each.groupBy("id", "n", (fnv1a(F.col("token")) % dims).cast("int").alias("idx")).agg(F.count("*").alias("c"))
-    value = F.col("c") / F.sqrt("n")
-    norm = F.sqrt(F.sum(value * value).over(Window.partitionBy("id")))
-    return counts.select("id", "idx", (value / norm).alias("value"))
+    """id, idx, value of documents (id, text): each token adds 1 / sqrt(tokens) at its hash's place; the vector is then of length 1. Sparse rows.
+
+    A document's vector is made within its row, each distinct token hashed once, so nothing is shuffled.
+    """
+    kind = docs.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+
+        def hashed(token: str) -> int:
+            h = 2166136261
+            for c in token.encode():
+                h = (h ^ c) * 16777619 & 0xFFFFFFFF
+            return h % dims
+
+        for batch in batches:
+            ids, at, values = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                counts: Counter[int] = Counter()
+                for token, n in Counter(TOKEN.findall(text.lower() if text else "")).items():
+                    if token not in place:
+                        if len(place) >= 200_000:
+                            place.clear()
+                        place[token] = hashed(token)
+                    counts[place[token]] += n
+                if counts:
+                    total = math.sqrt(sum(counts.values()))
+                    parts = {k: c / total for k, c in counts.items()}
+                    norm = math.sqrt(math.fsum(v * v for v in parts.values()))
+                    ids += [i] * len(parts)
+                    at += parts
+                    values += [v / norm for v in parts.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(at, pa.int32()), pa.array(values, pa.float64())], names=["id", "idx", "value"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind.simpleString()}, idx int, value double")

@@ -61,19 +61,24 @@ def infer_types(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """name, type, nulls, distinct, min, max, mean of each column; the last three of numbers only, the mean to three digits.
 
-    All columns are profiled in one pass for what needs no distinct count; distinct counts come from one long shape
-    (column, 64-bit hash of the value), so cells are shuffled once, after a partial distinct, in 8 bytes whatever their width.
+    Types of string columns are read from their cells, as infer_types() does; blank strings are nulls, and no value. All columns
+    are profiled in one pass for what needs no distinct count; distinct counts come from one long shape (column, 64-bit hash of
+    the value), so cells are shuffled once, after a partial distinct, in 8 bytes whatever their width.
     """
-    kinds = {f.name: _kind(f.dataType) for f in df.schema}
-    parts = []
-    for c, kind in kinds.items():
-        x = F.col(c).cast("double") if kind == "number" else None
-        null = F.col(c).isNull() | (F.col(c) == "") if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).isNull()
-        none = F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(c).alias("name"), F.lit(kind).alias("type"), F.count_if(null).alias("nulls"), (F.min(x) if x is not None else none).alias("min"), (F.max(x) if x is not None else none).alias("max"), (half_up(F.avg(x)) if x is not None else none).alias("mean")))
+    none = F.lit(None).cast("double")
+    parts, cells = [], []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        text = isinstance(f.dataType, T.StringType)
+        null = c.isNull() | (c == "") if text else c.isNull()
+        kind = _inferred(c) if text else F.lit(_kind(f.dataType))
+        x = F.when(F.trim(c) != "", number(c)) if text else c.cast("double") if _kind(f.dataType) == "number" else none
+        of = lambda v, kind=kind: F.when(kind == "number", v)
+        parts.append(F.struct(F.lit(f.name).alias("name"), kind.alias("type"), F.count_if(null).alias("nulls"), of(F.min(x)).alias("min"), of(F.max(x)).alias("max"), of(half_up(F.avg(x))).alias("mean")))
+        cells.append(F.struct(F.lit(f.name).alias("name"), F.xxhash64(c.cast("string")).alias("h"), null.alias("missing")))
     first = df.agg(*(p.alias(f"_{i}") for i, p in enumerate(parts))).select(F.explode(F.array(*(f"_{i}" for i in range(len(parts))))).alias("x")).select("x.*")
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.xxhash64(F.col(c).cast("string")).alias("h"), F.col(c).isNull().alias("missing")) for c in df.columns))).alias("x")).select("x.*").where("NOT missing")
-    distinct = cells.groupBy("name", "h").count().groupBy("name").agg(F.count("*").alias("distinct"))
+    shown = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("NOT missing")
+    distinct = shown.groupBy("name", "h").count().groupBy("name").agg(F.count("*").alias("distinct"))
     return first.join(distinct, "name", "left").select("name", "type", "nulls", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"), "min", "max", "mean")
 
 
@@ -118,6 +123,8 @@ def correlations(df: DataFrame, least: float = 0.5) -> DataFrame:
     """a, b, r of the pairs of numeric columns whose correlation is strong, all in one pass."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     pairs = list(combinations(names, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     one = df.agg(*(pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
     x = one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
     return x.where(F.abs("r") >= least)

@@ -28,7 +28,7 @@ def _in(c: str, values: list[str]) -> str:
 
 
 _M = lambda p: "regexp_matches(p, '" + p + "')"
-KIND = f"""CASE WHEN {_M(D.SECRET_NAME)} OR ({_M(D.SECRET_HINT)} AND {_in('ext', ['.json', '.txt', ''])}) THEN 'secret_risk' WHEN {_M(D.GENERATED)} THEN 'generated' WHEN {_M(D.ABI)} THEN 'abi_runtime'
+KIND = f"""CASE WHEN {_M(D.SECRET_NAME)} OR ({_M(D.SECRET_HINT)} AND {_in('ext', ['.json', '.txt', ''])}) THEN 'secret_risk' WHEN {_M(D.GENERATED)} OR {_M(D.LOCK)} THEN 'generated' WHEN {_M(D.ABI)} THEN 'abi_runtime'
 WHEN {_M(D.SCHEMA_NAME)} OR {_in('ext', D.SCHEMA)} THEN 'schema' WHEN {_M(D.TEST)} THEN 'test' WHEN {_M(D.ROUTE)} AND {_in('ext', D.SOURCE)} THEN 'route' WHEN {_M(D.CONFIG_NAME)} OR {_in('ext', D.CONFIG + D.SCRIPT)} THEN 'config'
 WHEN {_in('ext', D.DOCS)} THEN 'docs' WHEN {_in('ext', D.ASSET)} THEN 'asset' WHEN {_in('ext', D.BINARY)} THEN 'binary' WHEN {_in('ext', D.SOURCE)} THEN 'source' ELSE 'unknown' END"""
 K = f"SELECT *, {KIND} AS kind FROM (SELECT *, lower(path) AS p, lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) AS ext FROM ({FILES}))"
@@ -59,7 +59,36 @@ def path_predicates(spark, d):
 
 @register("ledger", LEDGER)
 def ledger(spark, d):
-    return D.resolution(files(spark, d))
+    return D.resolution(files(spark, d)).select("file_id", "kind", "state", "confidence")
+
+
+#: Reasons written out for the cases that occur, in SQL of its own.
+NEEDS = "CASE ext WHEN '.py' THEN 'python resolver (pyproject.toml / import roots)' ELSE 'native grammar/resolver for ' || ext END"
+REASONS = f"""SELECT file_id, CASE state WHEN 'unsafe_excluded' THEN 'secret/credential-risk file — content withheld and logged' WHEN 'generated_excluded' THEN 'generated/minified artifact (' || skip_reason || ') — excluded with proof, not parsed'
+ WHEN 'resolver_missing' THEN CASE WHEN sk THEN 'source-like but unparsed: needs ' || {NEEDS} ELSE unresolved || ' import(s) and no resolver for this language: needs ' || {NEEDS} END
+ WHEN 'requires_runtime' THEN dynamic || ' dynamic/runtime reference(s)' || CASE WHEN unresolved > 0 THEN ' + ' || unresolved || ' unresolved import(s)' ELSE '' END || ' — needs runtime/LSP/ABI to fully resolve'
+ WHEN 'resolved_partial' THEN 'parsed with caveats: ' || concat_ws(', ', CASE WHEN parser_mode = 'fallback' THEN 'fallback parser' END, CASE WHEN unresolved > 0 THEN unresolved || ' unresolved local import(s)' END, CASE WHEN parse_quality < 0.85 THEN 'quality ' || printf('%.2f', parse_quality) END)
+ WHEN 'resolved_full' THEN 'parsed, symbols + imports resolved'
+ ELSE CASE WHEN contains(skip, 'too_large') THEN 'oversized blob — classified by size/type, not parsed (would be noise)' WHEN k2 IN ('asset', 'binary') THEN k2 || ' file — classified, not source' WHEN k2 = 'docs' THEN 'documentation — recorded as metadata' WHEN k2 IN ('config', 'schema', 'abi_runtime') THEN k2 || ' file — recorded; structured resolver can deepen this' ELSE 'non-source file — classified' END END AS reason,
+ CASE state WHEN 'unsafe_excluded' THEN 'security_classifier' WHEN 'generated_excluded' THEN 'generated_classifier' WHEN 'resolver_missing' THEN 'none' WHEN 'requires_runtime' THEN parser_mode WHEN 'resolved_partial' THEN parser_mode WHEN 'resolved_full' THEN parser_mode
+ ELSE CASE WHEN contains(skip, 'too_large') THEN 'size_classifier' WHEN k2 IN ('asset', 'binary') THEN 'asset_classifier' WHEN k2 = 'docs' THEN 'doc_classifier' ELSE 'metadata_classifier' END END AS resolver_used
+FROM (SELECT k.*, k.kind AS k2, l.state, parser_mode = 'skipped' AS sk, lower(coalesce(skip_reason, '')) AS skip FROM ({K}) k JOIN ({LEDGER}) l USING (file_id))"""
+
+
+@register("ledger_reasons", REASONS)
+def ledger_reasons(spark, d):
+    return D.resolution(files(spark, d)).select("file_id", "reason", "resolver_used")
+
+
+@register("gap_counts", f"SELECT regexp_extract(reason, 'needs (.*)$', 1) AS needed, count(*)::BIGINT AS n FROM ({REASONS}) WHERE contains(reason, 'needs ') GROUP BY 1")
+def gap_counts(spark, d):
+    return D.gap_counts(D.resolution(files(spark, d)))
+
+
+@register("requirement_map", "SELECT * FROM (VALUES ('.py', 'python resolver (pyproject.toml / import roots)', 'a native py grammar'), ('.kt', 'jvm resolver (Gradle/Maven / packages)', 'a native kotlin grammar'), ('.hpp', 'c/c++ resolver (include paths / build system)', 'a native c++ grammar'), ('.xyz', 'native grammar/resolver for .xyz', 'a native xyz grammar'), ('', 'native grammar/resolver for this file type', 'a native language grammar')) t(ext, resolver, grammar)")
+def requirement_map(spark, d):
+    x = spark.createDataFrame([(e,) for e in (".py", ".kt", ".hpp", ".xyz", "")], "ext string")
+    return x.select("ext", D.resolver_needed(F.col("ext")).alias("resolver"), D.grammar_needed(F.col("ext")).alias("grammar"))
 
 
 @register("coverage", f"SELECT count(*)::BIGINT AS total, count_if({S})::BIGINT AS source_files, count_if({S} AND state IN ('resolved_full', 'resolved_partial'))::BIGINT AS source_resolved, count_if({S} AND state = 'resolver_missing')::BIGINT AS unresolved_source, count_if(state = 'requires_runtime')::BIGINT AS runtime_required, count_if(NOT {S} AND state <> 'unsafe_excluded')::BIGINT AS artifacts, count_if({_in('state', D.BLOCKING)})::BIGINT AS blocking_gaps, count_if(kind = 'unknown' AND state NOT IN ('resolved_metadata', 'unsafe_excluded', 'generated_excluded'))::BIGINT AS unknown, source_resolved / source_files AS source_coverage FROM ({LEDGER})")

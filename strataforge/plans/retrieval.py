@@ -114,6 +114,47 @@ def inverted_index(spark, d):
     return R.inverted_index(_cards(spark, d).withColumnRenamed("description", "text"))
 
 
+@register("skill_postings", f"SELECT DISTINCT token, name FROM (SELECT name, unnest({OWN}) AS token FROM ({CARDS}))")
+def skill_postings(spark, d):
+    return R.postings(_cards(spark, d).withColumnRenamed("description", "text"))
+
+
+_WANTED = ("economy", "idg", "red")
+@register("postings_lookup", "SELECT name, score, matched FROM (SELECT name, " + " + ".join(f"CASE WHEN list_contains(own, '{t}') THEN 2.0::DOUBLE WHEN contains(lower(name), '{t}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for t in _WANTED) + " AS score, concat_ws(',', " + ", ".join(f"CASE WHEN list_contains(own, '{t}') OR contains(lower(name), '{t}') THEN '{t}' END" for t in _WANTED) + f") AS matched FROM (SELECT *, {OWN} AS own FROM ({CARDS}))) ORDER BY score DESC, name LIMIT 5")
+def postings_lookup(spark, d):
+    cards = _cards(spark, d)
+    return R.postings_lookup(R.postings(cards.withColumnRenamed("description", "text")), cards.select("name"), "red idg ECONOMY").withColumn("matched", F.array_join("matched", ","))
+
+
+FNV = "((list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: ((xor(a, c) * 16777619::BIGINT) & 4294967295)) % 384)::INTEGER)"
+
+
+def _vectors_sql(source: str) -> str:
+    """id, idx, value of hashed token vectors of a source (id, text)."""
+    return f"SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM (SELECT id, idx, count(*) / sqrt(n) AS v FROM (SELECT id, len(t) AS n, unnest(t) AS token FROM (SELECT id, list_filter(string_split_regex(lower(text), '[^a-z0-9_$]+'), lambda x: x <> '') AS t FROM ({source}))) JOIN (SELECT token, {FNV} AS idx FROM (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_$]+'), lambda x: x <> '')) AS token FROM ({source}))) USING (token) GROUP BY id, n, idx)"
+
+
+SYMBOL_TERMS = ["red", "widget"]
+SYMBOLS = "SELECT p_partkey AS id, p_name AS name, 'src/' || p_type || '/' || p_brand AS path, p_type AS kind, p_retailprice::DOUBLE AS importance FROM part"
+SYMBOL_TEXT = "SELECT id, concat_ws(' ', name, regexp_extract(path, '[^/]*$'), kind) AS text FROM sym"
+SEARCH = f"""WITH sym AS ({SYMBOLS}), ident AS (SELECT id, row_number() OVER (ORDER BY tier, importance DESC, id) - 1 AS r FROM (SELECT id, importance, CASE WHEN name = 'red widget' THEN 0 WHEN lower(name) = 'red widget' THEN 1 WHEN starts_with(lower(name), 'red widget') THEN 2 WHEN contains(lower(name), 'red widget') THEN 3 END AS tier FROM sym) WHERE tier IS NOT NULL),
+txt AS ({SYMBOL_TEXT}), tok AS (SELECT id, {_tokens_sql('text')} AS x FROM txt), tf AS (SELECT id, len(x) AS len, {', '.join(f"len(list_filter(x, lambda w: w = '{w}')) AS tf{i}" for i, w in enumerate(SYMBOL_TERMS))} FROM tok),
+tot AS (SELECT count(*) AS n, avg(len) AS avgdl, {', '.join(f'count_if(tf{i} > 0) AS df{i}' for i in range(2))} FROM tf),
+lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT id, round({' + '.join(f'ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.5::DOUBLE / (tf{i} + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))' for i in range(2))}, 9) AS score FROM tf, tot WHERE tf0 > 0 OR tf1 > 0)),
+vec AS ({_vectors_sql('SELECT * FROM txt')}), q AS ({_vectors_sql("SELECT 0 AS id, 'red widget' AS text")}),
+sim AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT vec.id, round(sum(vec.value * q.value), 9) AS score FROM vec JOIN q ON vec.idx = q.idx GROUP BY 1) WHERE score >= 0.3),
+pool AS (SELECT id FROM ident UNION SELECT id FROM lex UNION SELECT id FROM sim), str AS (SELECT id, row_number() OVER (ORDER BY importance DESC, id) - 1 AS r FROM sym WHERE id IN (SELECT id FROM pool))
+SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 2.0::DOUBLE / (60 + r) AS s FROM ident UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) FROM lex UNION ALL SELECT id, 0.8::DOUBLE / (60 + r) FROM sim UNION ALL SELECT id, 0.4::DOUBLE / (60 + r) FROM str) GROUP BY 1 ORDER BY sum(s) DESC, id LIMIT 50"""
+
+
+@register("search_symbols", SEARCH)
+def search_symbols(spark, d):
+    """Parts as symbols: their types are kinds, their brands files, their prices importance."""
+    p = read(spark, d, "part")
+    symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("/", F.lit("src"), "p_type", "p_brand").alias("path"), F.col("p_type").alias("kind"), F.col("p_retailprice").cast("double").alias("importance"))
+    return R.search_symbols(symbols, "red widget").select("id", F.round("score", 9).alias("score"))
+
+
 @register("skill_search", f"SELECT name, {' + '.join(f'''CASE WHEN list_contains(own, '{t}') THEN 2.0::DOUBLE WHEN contains(lower(name), '{t}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END''' for t in ('economy', 'idg', 'red'))} AS score, description FROM (SELECT *, {OWN} AS own FROM ({CARDS})) ORDER BY score DESC, name LIMIT 5")
 def skill_search(spark, d):
     return R.skill_search(_cards(spark, d), "red idg ECONOMY")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions.text import contained, extension
-from strataforge.operators.decisions import GENERATED, SOURCE
+from strataforge.operators.decisions import GENERATED, LOCK, SOURCE
 
 IGNORED = ["node_modules", "dist", "build", ".git", ".next", "coverage", "vendor", "__pycache__", "target", "out"]
 TEXTS = [".json", ".md", ".mdx", ".yaml", ".yml"]
@@ -49,7 +49,7 @@ def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, i
         .when(ignored(F.col("path"), patterns or []), "ignored")
         .when(F.col("size") == 0, "empty")
         .when(~known, "unsupported_ext")
-        .when(F.lower("path").rlike(GENERATED), "generated")
+        .when(F.lower("path").rlike(GENERATED) | F.lower("path").rlike(LOCK), "generated")
         .when((F.col("size") > TESTED) & minified(F.col("content")), "minified")
         .when(F.col("size") > LARGEST, "too_large")
         .otherwise("authored")
