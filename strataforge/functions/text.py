@@ -95,3 +95,8 @@ def contained(entry: Column) -> Column:
     """Whether an archive entry's path stays inside the folder it is unpacked to."""
     bad = entry.rlike(r"^[/\\]|^[A-Za-z]:|\\|(^|/)\.\.(/|$)")
     return ~bad & (entry != "")
+
+
+def iso_time(ts: Column) -> Column:
+    """A time in UTC as text, to milliseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

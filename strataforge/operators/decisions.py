@@ -187,3 +187,8 @@ def permitted(calls: DataFrame, grants: DataFrame) -> DataFrame:
     """The calls (role, tool, ...) that a grant (role, tool) allows; the tool ``*`` allows all."""
     wild = grants.where("tool = '*'").select("role").distinct()
     return calls.join(grants.select("role", "tool").distinct(), ["role", "tool"], "left_semi").unionByName(calls.join(grants.select("role", "tool").distinct(), ["role", "tool"], "left_anti").join(wild, "role", "left_semi"))
+
+
+def protected(staged: Column, intent: Column) -> Column:
+    """Whether a file must not be touched: it is staged, or someone means to work on it."""
+    return staged | (intent > 0.2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.lineage import cut
+from strataforge.operators.decisions import dynamic_folder, entry_point, test_or_config
 
 DAMPING = 0.85
 
@@ -142,3 +143,20 @@ def common_root(paths: DataFrame) -> DataFrame:
     x = paths.agg(F.split(F.min("path"), "/").alias("a"), F.split(F.max("path"), "/").alias("b"))
     same = F.aggregate(F.zip_with("a", "b", lambda p, q: F.struct(p.alias("p"), q.alias("q"))), F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("r")), lambda acc, z: F.struct((acc.on & z.p.eqNullSafe(z.q)).alias("on"), F.when(acc.on & z.p.eqNullSafe(z.q), F.array_append(acc.r, z.p)).otherwise(acc.r).alias("r")), lambda acc: F.array_join(acc.r, "/"))
     return x.select(same.alias("root"))
+
+
+def file_graph(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """src, dst: different files that edges between their symbols (id, file) connect, once."""
+    a, b = symbols.select(F.col("id").alias("src"), F.col("file").alias("a")), symbols.select(F.col("id").alias("dst"), F.col("file").alias("b"))
+    return edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def long_files(files: DataFrame, most: int = 500) -> DataFrame:
+    """Files (..., text) with more lines than that, and how many, in place of the text."""
+    return files.withColumn("lines", F.size(F.split("text", "\n", -1)).cast("long")).where(F.col("lines") > most).drop("text")
+
+
+def dead_files(files: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Files (key, path) that nothing names, but for entry points, tests, settings and folders loaded by name."""
+    p = F.col("path")
+    return files.where(~entry_point(p) & ~test_or_config(p) & ~dynamic_folder(p)).join(named.select(key), key, "left_anti")

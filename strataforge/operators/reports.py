@@ -133,3 +133,80 @@ def newest(df: DataFrame, by: str, value: str, ts: str) -> DataFrame:
 def memory_summary(events: DataFrame) -> DataFrame:
     """type, n, last (summary) of memory events (id, ts, type, summary)."""
     return events.groupBy("type").agg(F.count("*").alias("n"), F.max_by("summary", F.struct("ts", "id")).alias("last"))
+
+
+#: How the paths of test files are told.
+TEST_FILES = ["%/tests/%", "%.test.%", "%.spec.%", r"%\_test.%"]
+
+
+def test_file(path: Column) -> Column:
+    return reduce(lambda a, b: a | b, (path.like(p) for p in TEST_FILES))
+
+
+def without_names(df: DataFrame, name: str, excluded: list[str]) -> DataFrame:
+    return df.where(~F.col(name).isin(excluded))
+
+
+def glob(c: Column, pattern: str) -> Column:
+    """Whether a value fits a pattern of ``*`` and ``?``, upper and lower case apart."""
+    return c.rlike("^" + "".join({"*": ".*", "?": "."}.get(x, x if x.isalnum() else "\\" + x) for x in pattern) + "$")
+
+
+def visible(tools: DataFrame, hidden: list[str], least: float, width: int = 80) -> DataFrame:
+    """id, name, summary (cut to a width) of tools (id, name, summary, group, tier) outside hidden groups and of a tier at least."""
+    shown = tools.where(~F.col("group").isin(hidden) & (F.col("tier") >= least))
+    return shown.select("id", "name", F.substr("summary", F.lit(1), F.lit(width)).alias("summary"))
+
+
+def completeness(stats: DataFrame) -> DataFrame:
+    """The percentage of symbols (one row: symbols, blindspots) that no blind spot stands against, 0 at least; without symbols 0."""
+    share = F.when(F.col("symbols") == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 100 - 100.0 * F.col("blindspots") / F.col("symbols")))
+    return stats.select(F.round(share, 3).alias("completeness"))
+
+
+def token_savings(rows: DataFrame) -> DataFrame:
+    """whole, snippets, reduction (percent): tokens, a quarter of the characters each, of rows (text, snippet)."""
+    of = lambda c: F.coalesce(F.sum(F.floor(F.length(c) / 4)), F.lit(0))
+    x = rows.agg(of("text").alias("whole"), of("snippet").alias("snippets"))
+    return x.withColumn("reduction", F.when(F.col("whole") == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - F.col("snippets") / F.col("whole")), 3)))
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    """runs, baseline, payload, reduction (percent), factor over runs (baseline, payload)."""
+    x = runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum("baseline"), F.lit(0.0)).alias("baseline"), F.coalesce(F.sum("payload"), F.lit(0.0)).alias("payload"))
+    share = F.when(F.col("baseline") == 0, F.lit(0.0)).otherwise(100 * (1 - F.col("payload") / F.col("baseline")))
+    return x.withColumns({"reduction": share, "factor": F.when(F.col("payload") == 0, F.lit(0.0)).otherwise(F.col("baseline") / F.col("payload"))})
+
+
+def run_anomalies(runs: DataFrame, slow: float) -> DataFrame:
+    """run, anomalies of runs (run, baseline, payload, ms) that have any: no_baseline, payload_over_baseline, slow."""
+    found = F.concat_ws(",", F.when(F.col("baseline") == 0, "no_baseline"), F.when(F.col("payload") > F.col("baseline"), "payload_over_baseline"), F.when(F.col("ms") > slow, "slow"))
+    return runs.select("run", found.alias("anomalies")).where("anomalies <> ''")
+
+
+def staged(rows: DataFrame, limit: int = 25) -> DataFrame:
+    """The first rows (id, intent, exports) by intent and exports, highest first."""
+    return rows.orderBy(F.desc("intent"), F.desc("exports"), "id").limit(limit)
+
+
+def args_hash(**args: Column) -> Column:
+    """16 hexadecimal digits that stand for named arguments, whatever their order."""
+    return F.substr(F.sha2(F.to_json(F.struct(*(args[k].alias(k) for k in sorted(args)))), 256), F.lit(1), F.lit(16))
+
+
+def uptime(seconds: Column) -> Column:
+    """Seconds as hours and minutes, minutes and seconds, or seconds."""
+    whole = lambda n: F.floor(seconds / n).cast("string")
+    part = lambda n, of: F.floor((seconds % n) / of).cast("long").cast("string")
+    return F.when(seconds >= 3600, F.concat(whole(3600), F.lit("h "), part(3600, 60), F.lit("m"))).when(seconds >= 60, F.concat(whole(60), F.lit("m "), part(60, 1), F.lit("s"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
+
+
+def ordered_unique(rows: DataFrame) -> DataFrame:
+    """key, values: the different values of each key in the order (at) in which they first came."""
+    first = rows.groupBy("key", "value").agg(F.min("at").alias("at"))
+    return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def pool(*channels: DataFrame) -> DataFrame:
+    """id of everything that any channel (id) found, once."""
+    return reduce(lambda a, b: a.unionByName(b), channels).distinct()

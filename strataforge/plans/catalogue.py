@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     if not QUERIES:
-        from strataforge.plans import decisions, graph, relational, reports, retrieval, sources, state, tabular, text  # noqa: F401
+        from strataforge.plans import decisions, graph, relational, reports, retrieval, sources, state, summaries, tabular, text, trees  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

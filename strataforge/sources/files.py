@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,65 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def below(root: str, path: Column) -> Column:
+    """A file's path below a root, whatever scheme the reader writes before it."""
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    return F.regexp_replace(F.regexp_replace(path, r"^[a-z]+:/+", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes files (path, content) below a root that all executors reach; how many. A task that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = f"{base}/{path}"
+                place.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with place.open_output_stream(name) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
+    """file, text of the Markdown files of a tree (.md, .mdx, .markdown), but for those in hidden folders, node_modules, dist and build."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx,markdown,MD,MDX}").load(root)
+    x = raw.select(below(root, F.col("path")).alias("file"), F.col("content").cast("string").alias("text"))
+    return x.where(~F.col("file").rlike(r"(^|/)(\.[^/]*|node_modules|dist|build)/"))
+
+
+def read_tail(spark: SparkSession, path: str, size: int = 256 << 10, limit: int | None = None) -> DataFrame:
+    """line, text of the last whole lines in the last ``size`` bytes of a file, newest first, at most ``limit``. No more than that is read."""
+    from pyarrow import fs
+
+    place, name = fs.FileSystem.from_uri(path)
+    with place.open_input_file(name) as f:
+        start = max(0, f.size() - size)
+        f.seek(start)
+        data = f.read()
+    lines = data.decode("utf-8", "replace").split("\n")[1 if start else 0 :]
+    lines = [x for x in lines if x.strip()][::-1][:limit]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+def merged_config(file: DataFrame, env: DataFrame) -> DataFrame:
+    """key, value, origin of options (key, value) of a file and of the environment, whose non-blank values win."""
+    e = env.where("value IS NOT NULL AND trim(value) <> ''").select("key", F.col("value").alias("_env"))
+    x = file.select("key", F.col("value").alias("_file")).join(e, "key", "full")
+    return x.select("key", F.coalesce("_env", "_file").alias("value"), F.when(F.col("_env").isNotNull(), "env").otherwise("file").alias("origin"))
+
+
 def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, include_text: bool = False) -> DataFrame:
-    """path (below the root), size, modified, content, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty (where the reader lists those), unsupported_ext, generated, minified, too_large. Nothing stops a scan early."""
+    """path (below the root), size, modified, content, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty (where the reader lists those), unsupported_ext, generated, minified, too_large. Nothing stops a scan early; folders and files whose names begin with a dot or an underscore are not listed by Spark's readers."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
-    x = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    x = raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    # The size is tested by the reader, so only large files are opened for their heads, and others only if their content is asked for.
+    heads = raw.where(F.col("length") > TESTED).select("path", minified(F.col("content")).alias("_minified"))
+    x = x.join(heads, "path", "left").withColumn("path", below(root, F.col("path")))
     folder = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in IGNORED) + r"|\.[^/]+)/"
     known = extension(F.col("path")).isin(SOURCE + (TEXTS if include_text else []))
     status = (
@@ -50,11 +104,17 @@ def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, i
         .when(F.col("size") == 0, "empty")
         .when(~known, "unsupported_ext")
         .when(F.lower("path").rlike(GENERATED) | F.lower("path").rlike(LOCK), "generated")
-        .when((F.col("size") > TESTED) & minified(F.col("content")), "minified")
+        .when(F.col("_minified"), "minified")
         .when(F.col("size") > LARGEST, "too_large")
         .otherwise("authored")
     )
-    return x.withColumn("status", status)
+    return x.withColumn("status", status).drop("_minified")
+
+
+def exclusions(files: DataFrame) -> DataFrame:
+    """folder, reason, files of the folders that a scan leaves out whole: the outermost one of each file."""
+    folder = F.regexp_extract("path", "^((?:.*?/)??(?:" + "|".join(d.replace(".", r"\.") for d in IGNORED) + r"|\.[^/]+))/", 1)
+    return files.where("status = 'excluded_dir'").groupBy(folder.alias("folder"), F.col("status").alias("reason")).agg(F.count("*").alias("files"))
 
 
 def source_stats(files: DataFrame) -> DataFrame:
@@ -214,4 +274,4 @@ def config_map(files: DataFrame, names: list[str]) -> DataFrame:
     """name, present of fixed configuration files."""
     wanted = files.sparkSession.createDataFrame([(n,) for n in names], "name string")
     have = files.select(F.substring_index("path", "/", -1).alias("name")).distinct().withColumn("present", F.lit(True))
-    return F.broadcast(wanted).join(have, "name", "left").na.fill(False, ["present"])
+    return wanted.join(have, "name", "left").na.fill(False, ["present"])
