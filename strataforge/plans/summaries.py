@@ -33,18 +33,18 @@ def glob_exclusions(spark, d):
     return R.with_match(kept.select("p_partkey"), read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "p_partkey")
 
 
-@register("visible_tools", "SELECT p_partkey AS id, p_name AS name, left(p_type, 10) AS summary FROM part WHERE p_brand <> 'Brand#11' AND p_retailprice >= 1000")
+@register("visible_tools", "SELECT p_partkey AS id, p_name AS name, left(p_type, 10) AS summary FROM part WHERE p_brand <> 'Brand#11' AND p_size >= 25")
 def visible_tools(spark, d):
     """Parts as tools: those of a hidden group or a lower tier are left out, the rest are projected to a compact form."""
     p = read(spark, d, "part")
-    return P.visible(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("summary"), F.col("p_brand").alias("group"), F.col("p_retailprice").alias("tier")), hidden=["Brand#11"], least=1000, width=10)
+    return P.visible(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("summary"), F.col("p_brand").alias("group"), F.col("p_size").alias("tier")), hidden=["Brand#11"], least=25, width=10)
 
 
-@register("fossils", f"WITH e AS ({A.DISTINCT_EDGES}), n AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1) SELECT p_partkey AS id, CASE WHEN coalesce(n, 0) = 0 THEN 'dead' ELSE 'sleeping' END AS status, coalesce(n, 0)::BIGINT AS score FROM part LEFT JOIN n ON p_partkey = id WHERE coalesce(n, 0) <= 1")
+@register("fossils", "WITH n AS (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) SELECT p_partkey AS id, CASE WHEN coalesce(n, 0) = 0 THEN 'dead' ELSE 'sleeping' END AS status, coalesce(n, 0)::BIGINT AS score FROM part LEFT JOIN n ON p_partkey = id WHERE coalesce(n, 0) <= 1")
 def fossils(spark, d):
-    """Dead and sleeping nodes, least used first."""
-    ins = A.part_edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    x = A.parts(spark, d).select("id").join(ins, "id", "left").na.fill(0, ["n"]).where("n <= 1")
+    """Dead and sleeping nodes, least used first: parts by the suppliers that sell many of them at once."""
+    used = read(spark, d, "lineitem").where("l_quantity >= 49").groupBy(F.col("l_partkey").alias("id")).agg(F.count_distinct("l_suppkey").alias("n"))
+    x = A.parts(spark, d).select("id").join(used, "id", "left").na.fill(0, ["n"]).where("n <= 1")
     return x.select("id", F.when(F.col("n") == 0, "dead").otherwise("sleeping").alias("status"), F.col("n").alias("score")).sort("score", "id")
 
 
@@ -144,11 +144,14 @@ def left_counts_filtered(spark, d):
     return R.left_counts(s, read(spark, d, "lineitem").where("l_quantity > 40").select("l_suppkey"), "s_suppkey", "l_suppkey")
 
 
-@register("import_pairs", f"SELECT DISTINCT a.page_id AS importer, b.page_id AS target FROM ({A.HREFS}) a JOIN pages b ON a.spec = b.url WHERE a.page_id <> b.page_id")
+@register("import_pairs", "SELECT DISTINCT a.n_name AS importer, b.n_name AS target FROM (SELECT DISTINCT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderpriority = '1-URGENT') JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey WHERE a.n_name <> b.n_name")
 def import_pairs(spark, d):
-    """Links joined with the pages that they name, on both sides."""
-    p = read(spark, d, "pages").select(F.col("url").alias("spec"), F.col("page_id").alias("target"))
-    return A.hrefs(spark, d).join(p, "spec").where("page_id <> target").select(F.col("page_id").alias("importer"), "target").distinct()
+    """Edges between nations joined with the names of both ends."""
+    urgent = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    x = read(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(urgent, "l_orderkey")
+    x = x.join(read(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").select("c_nationkey", "s_nationkey").distinct()
+    name = lambda key, alias: read(spark, d, "nation").select(F.col("n_nationkey").alias(key), F.col("n_name").alias(alias))
+    return x.join(name("c_nationkey", "importer"), "c_nationkey").join(name("s_nationkey", "target"), "s_nationkey").where("importer <> target").select("importer", "target").distinct()
 
 
 @register("ranked_dependencies", "SELECT DISTINCT l_orderkey, p_partkey, p_retailprice AS rank FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 100")
