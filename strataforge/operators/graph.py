@@ -23,8 +23,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, tolerance
         return nodes.select("id", F.lit(0.0).alias("rank"))
     e = edges.select("src", "dst").where("src <> dst").distinct().join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = e.groupBy("src").agg(F.count("*").alias("out"))
-    e = cut(e.join(out, "src"))
-    linked = cut(nodes.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
+    # Edges lie by source and ranks by node in the same partitions, so a round moves only what edges give.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = cut(e.join(out, "src").repartition(parts, "src"))
+    linked = cut(nodes.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")).repartition(parts, "id"))
     rank = linked.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
     for i in range(100 if tolerance else iterations):
         gain = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("gain"))
@@ -76,7 +78,7 @@ def traverse(edges: DataFrame, start: int, depth: int = 2, *, incoming: bool = F
     return seen
 
 
-def scc(edges: DataFrame, most: int = 200) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """id, component: the strongly connected components of more than one node (or with a self loop), named by their smallest node.
 
     Nodes that can't be on a cycle (no edge in or none out) are trimmed, then colours (the smallest node that reaches one) spread
@@ -86,7 +88,7 @@ def scc(edges: DataFrame, most: int = 200) -> DataFrame:
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = spark.createDataFrame([], f"id {e.schema['src'].dataType.simpleString()}, component {e.schema['src'].dataType.simpleString()}")
-    for _ in range(most):
+    while True:
         size = e.count()
         while size:
             e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -118,8 +120,6 @@ def scc(edges: DataFrame, most: int = 200) -> DataFrame:
         found = cut(found.unionByName(member.join(big, "colour", "left_semi").select("id", F.col("colour").alias("component"))))
         gone = member.select("id")
         e = cut(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    else:
-        raise RuntimeError("components did not settle")
     single = loops.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.unionByName(single)
 

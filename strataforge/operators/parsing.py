@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESERVED = {"if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "class", "def", "import", "export", "await", "async", "super", "print"}
@@ -21,7 +21,22 @@ LANGUAGES: dict[str, tuple[list[tuple[str, str]], list[str]]] = {
     "python": ([("function", rf"^\s*(?:async\s+)?def\s+({NAME})"), ("class", rf"^\s*class\s+({NAME})")], [r"(?m)^\s*import\s+([\w.]+)", r"(?m)^\s*from\s+(\.*[\w.]*)\s+import"]),
     "rust": ([("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+({NAME})"), ("struct", rf"^\s*(?:pub\s+)?struct\s+({NAME})"), ("enum", rf"^\s*(?:pub\s+)?enum\s+({NAME})"), ("trait", rf"^\s*(?:pub\s+)?trait\s+({NAME})")], [r"(?m)^\s*(?:pub\s+)?use\s+([^;{]+)", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;"]),
     "go": ([("function", rf"^func\s+(?:\([^)]*\)\s*)?({NAME})"), ("type", rf"^type\s+({NAME})")], [r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$']),
-    "java": ([("class", rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed|data|open)\s+)*(?:class|interface|enum|record|object)\s+({NAME})"), ("function", rf"^\s*(?:(?:public|private|protected|static|final|override|suspend|internal)\s+)*(?:fun|func)\s+({NAME})"), ("method", rf"^\s*(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\],.? ]+\s+({NAME})\s*\(")], [r"(?m)^\s*(?:import|using)\s+(?:static\s+)?([\w.*]+)"]),
+    "java": (
+        [("class", rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+({NAME})"), ("method", rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\],.? ]+\s+({NAME})\s*\(")],
+        [r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)"],
+    ),
+    "kotlin": (
+        [("class", rf"^\s*(?:(?:public|private|internal|open|abstract|sealed|data|enum|inner)\s+)*(?:class|interface|object)\s+({NAME})"), ("function", rf"^\s*(?:(?:public|private|internal|override|suspend|inline|open|operator)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?({NAME})")],
+        [r"(?m)^\s*import\s+([\w.*]+)"],
+    ),
+    "csharp": (
+        [("class", rf"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|struct|enum|record)\s+({NAME})"), ("method", rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)+[\w<>\[\],.? ]+\s+({NAME})\s*\(")],
+        [r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"],
+    ),
+    "swift": (
+        [("class", rf"^\s*(?:(?:public|private|internal|open|final|fileprivate)\s+)*(?:class|struct|enum|protocol|actor|extension)\s+({NAME})"), ("function", rf"^\s*(?:(?:public|private|internal|open|static|override|mutating|final)\s+)*func\s+({NAME})")],
+        [r"(?m)^\s*(?:@testable\s+)?import\s+(?:(?:class|struct|func|enum)\s+)?([\w.]+)"],
+    ),
     "php": ([("function", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+({NAME})"), ("class", rf"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+({NAME})")], [r"""(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)""", r"(?m)^\s*use\s+([\w\\]+)"]),
     "ruby": ([("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)"), ("class", rf"^\s*(?:class|module)\s+({NAME})")], [r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)"""]),
     "c": ([("struct", rf"^\s*(?:typedef\s+)?(?:struct|class|enum)\s+({NAME})"), ("function", rf"^[A-Za-z_][\w\s*&:<>,]*?\b({NAME})\s*\([^;]*$")], [r'(?m)^\s*#\s*include\s+[<"]([^>"]+)']),
@@ -29,11 +44,17 @@ LANGUAGES: dict[str, tuple[list[tuple[str, str]], list[str]]] = {
     "lua": ([("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)")], [r"""require\s*\(?\s*['"]([^'"]+)"""]),
 }
 #: The language of each extension.
-BY_EXTENSION = {"ts": "javascript", "tsx": "javascript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "java", "cs": "java", "swift": "java", "php": "php", "rb": "ruby", "c": "c", "h": "c", "cpp": "c", "hpp": "c", "sol": "solidity", "lua": "lua"}
+BY_EXTENSION = {"ts": "javascript", "tsx": "javascript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "cs": "csharp", "swift": "swift", "php": "php", "rb": "ruby", "c": "c", "h": "c", "cpp": "c", "hpp": "c", "sol": "solidity", "lua": "lua"}
 DYNAMIC = re.compile(r"\beval\s*\(|\bgetattr\s*\(|\bReflect\.|\b__import__\s*\(|require\(\s*[^'\")]|import\(\s*[^'\")]")
 CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """extension, language, kinds (of symbols, sorted), tree (whether it is read by a syntax tree) of all that can be parsed."""
+    rows = [(f".{e}", lang, sorted({k for k, _ in LANGUAGES[lang][0]}), lang == "python") for e, lang in BY_EXTENSION.items()]
+    return spark.createDataFrame(rows, "extension string, language string, kinds array<string>, tree boolean")
+
+
 def parse(path: str, text: str) -> list[tuple]:
     """Rows (what, name, kind, line, owner, quality) of a file: symbols, calls (owner: the symbol that holds them), imports and diagnostics."""
     lang = BY_EXTENSION.get(path.rsplit(".", 1)[-1].lower(), "")

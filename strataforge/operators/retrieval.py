@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strataforge.functions.decay import age_decay
 from strataforge.functions.text import basename, identifier_tokens, query_tokens
 from strataforge.functions.vectors import cosine
-from strataforge.lineage import cut
+from strataforge.lineage import cut, numbered
 
 K1, B = 1.5, 0.75
 TOKEN = re.compile("[a-z0-9_$]+")
@@ -53,18 +53,6 @@ def ranked(df: DataFrame, *order: Column, limit: int = 50) -> DataFrame:
     return top.withColumn("rank0", F.row_number().over(Window.orderBy(*order, "id")) - 1)
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """id, rank0 of all rows by order and then id: sorted by ranges, then numbered from each range's start, so no task sees all rows."""
-    at = cut(df.orderBy(*order, "id").select("id")).withColumn("_at", F.monotonically_increasing_id())
-    held = {r["p"]: r["count"] for r in at.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
-    starts, before = [], 0
-    for p in range(max(held, default=0) + 1):
-        starts.append(before)
-        before += held.get(p, 0)
-    start = F.element_at(F.lit(starts).cast("array<long>"), F.shiftright("_at", 33).cast("int") + 1)
-    return at.select("id", (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank0"))
-
-
 def identity_tiers(symbols: DataFrame, query: str) -> DataFrame:
     """Symbols (id, name, ...) with a tier: 0 equal, 1 equal but for case, 2 begins so, 3 contains it; others are left out."""
     low, q = F.lower("name"), query.lower()
@@ -172,13 +160,13 @@ def search_symbols(symbols: DataFrame, query: str, limit: int = 50, least: float
     text = F.concat_ws(" ", "name", basename(F.col("path")), "kind")
     plain = symbols.select("id", text.alias("text"))
     terms = [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if len(t) >= 2]
-    identity = numbered(identity_tiers(symbols, query), F.col("tier"), F.desc("importance"))
-    lexical = numbered(bm25(plain, terms).select("id", F.round("score", 9).alias("score")), F.desc("score"))
+    identity = numbered(identity_tiers(symbols, query).select("id", "tier", "importance"), F.col("tier"), F.desc("importance"), F.col("id"))
+    lexical = numbered(bm25(plain, terms).select("id", F.round("score", 9).alias("score")), F.desc("score"), F.col("id"))
     asked = hash_embedding(symbols.sparkSession.createDataFrame([(0, query)], "id long, text string")).select("idx", F.col("value").alias("q"))
     close = hash_embedding(plain).join(F.broadcast(asked), "idx").groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score")).where(F.col("score") >= least)
-    similar_ = numbered(close, F.desc("score"))
+    similar_ = numbered(close, F.desc("score"), F.col("id"))
     pool = identity.select("id").union(lexical.select("id")).union(similar_.select("id")).distinct()
-    structural = numbered(symbols.join(pool, "id", "left_semi"), F.desc("importance"))
+    structural = numbered(symbols.select("id", "importance").join(pool, "id", "left_semi"), F.desc("importance"), F.col("id"))
     return fuse({"identity": identity, "lexical": lexical, "similarity": similar_, "structural": structural}).orderBy(F.desc("score"), "id").limit(limit)
 
 

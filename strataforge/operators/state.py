@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.decay import intent
+from strataforge.lineage import numbered
 
 
 def touches(events: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -92,9 +93,9 @@ def savings(calls: DataFrame, by: str, baseline: int = 1800) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, value: str, position: str) -> DataFrame:
-    """value, id, n: dense ids from 0 in the order of first appearance. Values are reduced before they are numbered, so one task numbers a dictionary."""
+    """value, id, n: dense ids from 0 in the order of first appearance. Values are reduced, then sorted by ranges and numbered from each range's start."""
     x = rows.groupBy(value).agg(F.min(position).alias("_p"), F.count("*").alias("n"))
-    return x.withColumn("id", F.row_number().over(Window.orderBy("_p")) - 1).select(value, "id", "n")
+    return numbered(x, F.col("_p"), F.col(value), name="id").select(value, "id", "n")
 
 
 def encoded(rows: DataFrame, columns: list[str], position: str) -> DataFrame:

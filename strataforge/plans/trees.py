@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from strataforge.operators import indexing, parsing
 from strataforge.operators import tabular as T
 from strataforge.plans.catalogue import register
 from strataforge.plans.sources import _scratch
@@ -227,3 +228,84 @@ def merged_config(spark, d):
     n, r = read(spark, d, "nation"), read(spark, d, "region")
     env = n.join(r, n["n_nationkey"] == r["r_regionkey"]).select(F.col("n_name").alias("key"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("env"), F.col("r_regionkey").cast("string"))).otherwise(" ").alias("value"))
     return S.merged_config(n.select(F.col("n_name").alias("key"), F.concat(F.lit("file"), F.col("n_nationkey").cast("string")).alias("value")), env)
+
+
+#: A file of each language: what it says of a name, and the symbol, import and call that are in it.
+SAYS = {
+    "ts": ("import { x } from './x%';\nexport function run_%(a) {\n  return help_%(a);\n}\n", "run_%", "function", "./x%"),
+    "py": ("import base.m%\n\nclass C_%:\n    pass\n\ny = help_%(1)\n", "C_%", "class", "base.m%"),
+    "rs": ("use std::m%;\npub fn run_%() {\n    help_%();\n}\n", "run_%", "function", "std::m%"),
+    "go": ('import "m%"\nfunc Run_%() {\n\thelp_%()\n}\n', "Run_%", "function", "m%"),
+    "java": ("import a.b%;\npublic class C_% {\n  int x = help_%();\n}\n", "C_%", "class", "a.b%"),
+    "kt": ("import a.b%\nfun run_%() {\n  help_%()\n}\n", "run_%", "function", "a.b%"),
+    "cs": ("using A.B%;\npublic class C_% {\n  int x = help_%();\n}\n", "C_%", "class", "A.B%"),
+    "swift": ("import M%\nfunc run_%() {\n  help_%()\n}\n", "run_%", "function", "M%"),
+    "php": ("require 'm%.php';\nfunction run_%() {\n  help_%();\n}\n", "run_%", "function", "m%.php"),
+    "rb": ("require 'm%'\ndef run_%\n  help_%(1)\nend\n", "run_%", "function", "m%"),
+    "c": ("#include <m%.h>\nint run_%(int a)\n{\n  help_%(a);\n}\n", "run_%", "function", "m%.h"),
+    "sol": ("import './m%.sol';\ncontract C_% {\n  uint x = help_%();\n}\n", "C_%", "contract", "./m%.sol"),
+    "lua": ("local m = require('m%')\nfunction run_%()\n  help_%()\nend\n", "run_%", "function", "m%"),
+    "zzz": ("nothing that is known %", None, None, None),
+}
+
+
+def _sql(c: str) -> str:
+    return "replace('" + c.replace("'", "''") + "', '%', k)"
+
+
+_KEYS = "SELECT s_suppkey::VARCHAR AS k FROM supplier"
+LANGUAGES_SQL = " UNION ALL ".join(
+    f"SELECT 'f' || k || '.{e}' AS path, 'symbol' AS what, {_sql(name)} AS name, '{kind}' AS kind FROM ({_KEYS}) UNION ALL SELECT 'f' || k || '.{e}', 'import', {_sql(target)}, 'import' FROM ({_KEYS}) UNION ALL SELECT 'f' || k || '.{e}', 'call', 'help_' || k, 'call' FROM ({_KEYS})" if name else f"SELECT 'f' || k || '.{e}', 'diagnostic', 'UNSUPPORTED_EXTENSION', 'error' FROM ({_KEYS})"
+    for e, (_, name, kind, target) in SAYS.items()
+)
+
+
+@register("parse_languages", LANGUAGES_SQL)
+def parse_languages(spark, d):
+    """A file of each language for each supplier."""
+    k = F.col("s_suppkey").cast("string")
+    each = F.array(*(F.struct(F.concat(F.lit("f"), k, F.lit(f".{e}")).alias("path"), F.replace(F.lit(text), F.lit("%"), k).alias("text")) for e, (text, *_) in SAYS.items()))
+    rows = parsing.parse_files(read(spark, d, "supplier").select(F.explode(each).alias("x")).select("x.*"))
+    return rows.where("NOT (what = 'call' AND name NOT LIKE 'help%')").select("path", "what", "name", "kind")
+
+
+@register("parse_quality", "SELECT 'py' AS ext, 1.0::DOUBLE AS quality UNION ALL SELECT unnest(['ts', 'rs', 'go', 'java', 'kt', 'cs', 'swift', 'php', 'rb', 'c', 'sol', 'lua']), 0.68::DOUBLE UNION ALL SELECT 'zzz', 0.0::DOUBLE")
+def parse_quality(spark, d):
+    each = F.array(*(F.struct(F.lit(f"f.{e}").alias("path"), F.replace(F.lit(text), F.lit("%"), F.lit("1")).alias("text")) for e, (text, *_) in SAYS.items()))
+    rows = parsing.parse_files(spark.range(1).select(F.explode(each).alias("x")).select("x.*"))
+    return rows.groupBy(F.substring_index("path", ".", -1).alias("ext")).agg(F.max("quality").alias("quality"))
+
+
+@register("language_registry", "SELECT * FROM (VALUES ('.ts', 'javascript'), ('.tsx', 'javascript'), ('.js', 'javascript'), ('.jsx', 'javascript'), ('.mjs', 'javascript'), ('.cjs', 'javascript'), ('.py', 'python'), ('.rs', 'rust'), ('.go', 'go'), ('.java', 'java'), ('.kt', 'kotlin'), ('.cs', 'csharp'), ('.swift', 'swift'), ('.php', 'php'), ('.rb', 'ruby'), ('.c', 'c'), ('.h', 'c'), ('.cpp', 'c'), ('.hpp', 'c'), ('.sol', 'solidity'), ('.lua', 'lua')) t(extension, language)")
+def language_registry(spark, d):
+    return parsing.registry(spark).select("extension", "language")
+
+
+def _modules(spark, d, edited: bool) -> str:
+    """A Python file for each part that imports the next one; edited: every fifth one changed, every seventh one gone."""
+    root, k = _scratch(spark, "modules"), F.col("p_partkey")
+    p = read(spark, d, "part").select("p_partkey").where(k % 7 != 0) if edited else read(spark, d, "part").select("p_partkey")
+    name = F.concat(F.when((k % 5 == 0) & F.lit(edited), F.lit("new_")).otherwise("old_"), k.cast("string"))
+    text = F.concat(F.lit("from ./f"), (k + 1).cast("string"), F.lit(" import x\nimport {y} from './f"), (k + 1).cast("string"), F.lit("'\nfunction "), name, F.lit("() { return 1 }\n"))
+    S.write_tree(p.select(F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("content")), root)
+    return root
+
+
+def _indexed(spark, d):
+    first = indexing.index_tree(spark, _modules(spark, d, False), _scratch(spark, "index"))
+    return first, indexing.index_tree(spark, _modules(spark, d, True), _scratch(spark, "index"), first)
+
+
+@register("index_incremental", "SELECT 'src/f' || p_partkey || '.ts' AS path, CASE WHEN p_partkey % 5 = 0 THEN 'new_' ELSE 'old_' END || p_partkey AS name, CASE WHEN (p_partkey + 1) % 7 <> 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part) THEN 'src/f' || (p_partkey + 1) || '.ts' END AS target FROM part WHERE p_partkey % 7 <> 0")
+def index_incremental(spark, d):
+    """A tree indexed, then changed and indexed again: symbols and resolved links as of the second run."""
+    _, now = _indexed(spark, d)
+    symbols = now.facts.where("what = 'symbol'").select("path", "name")
+    return symbols.join(now.links.select("path", "target"), "path", "left")
+
+
+@register("index_runs", "SELECT count(*)::BIGINT AS first, count_if(p_partkey % 5 = 0 AND p_partkey % 7 <> 0)::BIGINT AS second, count_if(p_partkey % 7 <> 0)::BIGINT AS files FROM part")
+def index_runs(spark, d):
+    """How many files each run had to parse."""
+    first, now = _indexed(spark, d)
+    return spark.createDataFrame([(first.parsed, now.parsed)], "first long, second long").crossJoin(now.files.agg(F.count("*").alias("files")))
