@@ -55,9 +55,13 @@ def connectivity(ins: Column, outs: Column, symbols: Column) -> Column:
     return F.when((ins > 0) & (outs > 0), "connected").when(ins > 0, "leaf").when(outs > 0, "root").when(symbols > 0, "isolated").otherwise("empty")
 
 
-def importance(degree: DataFrame, rank: DataFrame) -> DataFrame:
-    """id, importance: 10 for each edge in, 1000 times the rank."""
-    return degree.join(rank, "id").select("id", (10.0 * F.col("in_degree") + 1000.0 * F.col("rank")).alias("importance"))
+def importance(degree: DataFrame, rank: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """id, importance: 10 for each edge in, 1000 times the rank, and twice the legacy score (id, score) where there is one."""
+    value = 10.0 * F.col("in_degree") + 1000.0 * F.col("rank")
+    x = degree.join(rank, "id")
+    if legacy is not None:
+        x, value = x.join(legacy.select("id", "score"), "id", "left"), value + 2.0 * F.coalesce("score", F.lit(0.0))
+    return x.select("id", value.alias("importance"))
 
 
 def god_objects(edges: DataFrame, threshold: int = 20) -> DataFrame:

@@ -210,3 +210,61 @@ def ordered_unique(rows: DataFrame) -> DataFrame:
 def pool(*channels: DataFrame) -> DataFrame:
     """id of everything that any channel (id) found, once."""
     return reduce(lambda a, b: a.unionByName(b), channels).distinct()
+
+
+#: Types of events that the memory takes.
+EVENT_TYPES = ["view", "click", "purchase", "signup", "error", "query", "edit", "decision", "handoff"]
+
+
+def memory_events(events: DataFrame, most: int = 1000) -> DataFrame:
+    """Events (type, summary, ...) as the memory keeps them: known types only, secrets replaced, summaries cut."""
+    clean = reduce(lambda t, p: F.regexp_replace(t, p, MARK), SECRETS, F.col("summary"))
+    return events.where(F.col("type").isin(EVENT_TYPES)).withColumn("summary", F.substr(clean, F.lit(1), F.lit(most)))
+
+
+def memory_paths(events: DataFrame, last: int = 10) -> DataFrame:
+    """type, n, last_paths: counts, and the paths of the ``last`` latest events (id, ts, type, path) of each type, newest first."""
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("ts"), F.desc("id")))
+    counts = events.groupBy("type").agg(F.count("*").alias("n"))
+    top = events.withColumn("p", place).where(F.col("p") <= last)
+    paths = top.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "path"))), lambda x: x["path"]).alias("last_paths"))
+    return counts.join(paths, "type", "left")
+
+
+def ledger_artifacts(ledger: DataFrame, folder: str) -> list[str]:
+    """Writes a ledger (file_id, kind, state, confidence, reason, resolver_used): all rows, the blocking ones and the named gaps as lines of JSON, totals by state and by kind, and a table in Markdown; the six folders."""
+    from strataforge.operators.decisions import BLOCKING, gap_counts
+
+    rows = ledger.persist()
+    by = lambda c: rows.groupBy(c).agg(F.count("*").alias("n"))
+    table = by("state").select(F.concat(F.lit("| "), "state", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("value"))
+    out = {"ledger": rows, "blocking": rows.where(F.col("state").isin(BLOCKING)), "gaps": gap_counts(rows), "by_state": by("state"), "by_kind": by("kind")}
+    for name, x in out.items():
+        x.write.json(f"{folder}/{name}")
+    table.write.text(f"{folder}/summary.md")
+    rows.unpersist()
+    return [f"{folder}/{x}" for x in (*out, "summary.md")]
+
+
+def brief(gate: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row to resume a session with: risk, health (90 low risk, 65 medium, 35 high, 0 without files), what is forbidden, the next action.
+
+    gate: a row of decisions.risk_gate(); coverage: a row of decisions.coverage().
+    """
+    x = gate.crossJoin(coverage.select("blocking_gaps", "unresolved_source"))
+    health = F.when(~F.col("suggestion_allowed"), 0).when(F.col("risk") == "LOW", 90).when(F.col("risk") == "MEDIUM", 65).otherwise(35)
+    rules = [(~F.col("destructive_allowed"), "delete"), (~F.col("destructive_allowed"), "rename"), (~F.col("repair_allowed"), "repair"), (~F.col("suggestion_allowed"), "suggest")]
+    forbidden = F.concat_ws(",", *(F.when(test, name) for test, name in rules))
+    action = F.when(~F.col("suggestion_allowed"), "index the project").when(F.col("blocking_gaps") > 0, "resolve blocking gaps").when(F.col("risk") != "LOW", "review warnings").otherwise("continue")
+    return x.select("risk", health.alias("health"), forbidden.alias("forbidden"), action.alias("next_action"))
+
+
+def recent_events(events: DataFrame, now: Column, hours: float = 6.0) -> DataFrame:
+    """Events (ts, ...) that are not older than so many hours, nor in the future."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.where((age >= 0) & (age <= int(hours * 3_600_000_000)))
+
+
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Child rows of both: those of the parents (key) that were read again from ``new`` alone, all others as they were."""
+    return old.join(parents.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new.select(old.columns))

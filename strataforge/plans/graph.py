@@ -40,6 +40,12 @@ def importance(spark, d):
     return G.importance(G.degrees(A.parts(spark, d), A.part_edges(spark, d)), _rank(spark, d)).select("id", F.round("importance", 4).alias("importance"))
 
 
+@register("importance_with_legacy", PR + f", g AS (SELECT dst, count(*) AS i FROM e GROUP BY 1) SELECT id, round(10.0::DOUBLE * coalesce(i, 0) + 1000.0::DOUBLE * r + 2.0::DOUBLE * p_size, 4) AS importance FROM r20 JOIN part ON p_partkey = id LEFT JOIN g ON dst = id")
+def importance_with_legacy(spark, d):
+    legacy = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
+    return G.importance(G.degrees(A.parts(spark, d), A.part_edges(spark, d)), _rank(spark, d), legacy).select("id", F.round("importance", 4).alias("importance"))
+
+
 HOT = PR + f", g AS (SELECT dst, count(*) AS i FROM e GROUP BY 1), imp AS (SELECT id, 10.0::DOUBLE * coalesce(i, 0) + 1000.0::DOUBLE * r AS v FROM r20 LEFT JOIN g ON dst = id), o AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1)"
 
 
@@ -88,6 +94,17 @@ def scc_nations(spark, d):
     return G.scc(A.nation_edges(spark, d))
 
 
+@register("health_with_long_files", CYCLES + ", f AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(DISTINCT component) FROM s) AS cycles, (SELECT count(*) FROM (SELECT dst FROM e GROUP BY 1 HAVING count(*) > 20)) AS gods, (SELECT count(*) FROM documents WHERE len(string_split(text, chr(10))) > 40) AS longs, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS dead) SELECT n, longs, greatest(0.0::DOUBLE, floor(100 - (10 * cycles + 8 * gods + 4 * longs + dead) / greatest(1.0::DOUBLE, n / 50.0::DOUBLE) + 0.5)) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM f")
+def health_with_long_files(spark, d):
+    """Documents as files: long ones count, too."""
+    e, docs = A.nation_edges(spark, d), read(spark, d, "documents")
+    files = docs.agg(F.count("*").alias("n"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("dead"))
+    longs = G.long_files(docs.select("doc_id", "text"), 40).agg(F.count("*").alias("longs"))
+    x = files.crossJoin(longs).crossJoin(G.scc(e).agg(F.count_distinct("component").alias("cycles"))).crossJoin(G.god_objects(e).agg(F.count("*").alias("gods")))
+    score, grade = G.health(F.col("n"), F.col("cycles"), F.col("gods"), F.col("longs"), F.col("dead"))
+    return x.select("n", "longs", score.alias("score"), grade.alias("grade"))
+
+
 @register("health_score", CYCLES + ", f AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(DISTINCT component) FROM s) AS cycles, (SELECT count(*) FROM (SELECT dst FROM e GROUP BY 1 HAVING count(*) > 20)) AS gods, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS dead) SELECT n, cycles, gods, dead, greatest(0.0::DOUBLE, floor(100 - (10 * cycles + 8 * gods + dead) / greatest(1.0::DOUBLE, n / 50.0::DOUBLE) + 0.5)) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM f")
 def health_score(spark, d):
     e = A.nation_edges(spark, d)

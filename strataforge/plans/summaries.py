@@ -6,14 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataforge.functions import text as X
+from strataforge.functions import vectors as V
 from strataforge.functions.decay import intent
 from strataforge.operators import decisions as D
 from strataforge.operators import graph as G
 from strataforge.operators import relational as R
 from strataforge.operators import reports as P
+from strataforge.operators import state as S
+from strataforge.operators import tabular as T
 from strataforge.plans import adapters as A
 from strataforge.plans.catalogue import register
-from strataforge.plans.decisions import FILES, files
+from strataforge.plans.decisions import FILES, GATE, LEDGER, _gate, files
+from strataforge.plans.sources import _scratch
 from strataforge.plans.tabular import read
 
 
@@ -208,3 +212,102 @@ def dead_files(spark, d):
     """Files that nothing names, but for entry points, tests, settings and folders that are loaded by name."""
     named = read(spark, d, "benchmark").select(F.col("item_id").alias("file_id"))
     return G.dead_files(files(spark, d).select("file_id", "path"), named, "file_id")
+
+
+_VEC = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
+
+
+@register("unit_vectors", f"SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM ({_VEC}))")
+def unit_vectors(spark, d):
+    u = read(spark, d, "embeddings").select("vec_id", V.normalise(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("length"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@register("mean_pooling", f"SELECT vec_id, round(p[1] / sqrt(list_sum(list_transform(p, lambda x: x * x))), 6) AS first FROM (SELECT a.vec_id, list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] + b.v[i]) / 2) AS p FROM ({_VEC}) a JOIN ({_VEC}) b ON b.vec_id = a.vec_id + 1)")
+def mean_pooling(spark, d):
+    """Each vector pooled with the next one, and a third that the mask leaves out."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    x = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    pooled = V.mean_pool(F.array("a", "b", F.transform("a", lambda v: v * 100)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return x.select("vec_id", F.round(F.get(pooled, F.lit(0)), 6).alias("first"))
+
+
+@register("aggregate_edges", "SELECT 'a' AS k, 0.0::DOUBLE AS avg, 'inf'::DOUBLE AS min, '-inf'::DOUBLE AS max, 0.0::DOUBLE AS sum, 2.0::DOUBLE AS n UNION ALL SELECT 'b', 1.5::DOUBLE, 0.0::DOUBLE, 3.0::DOUBLE, 3.0::DOUBLE, 3.0::DOUBLE")
+def aggregate_edges(spark, d):
+    """Groups without numbers, and cells that are blank, words or numbers."""
+    x = spark.createDataFrame([("a", "x"), ("a", "1f"), ("b", ""), ("b", "3"), ("b", "y")], "k string, v string")
+    out = T.aggregate(x, "k", "v", "avg").withColumnRenamed("avg_v", "avg")
+    for op in ("min", "max", "sum"):
+        out = out.join(T.aggregate(x, "k", "v", op).withColumnRenamed(f"{op}_v", op), "k")
+    return out.join(T.aggregate(x, "k", "v", "median").withColumnRenamed("count_v", "n"), "k")
+
+
+@register("redact_nested", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'key [REDACTED_SECRET]' ELSE 'key none' END AS text, 'a,' || CASE WHEN p_partkey % 3 = 0 THEN '[REDACTED_SECRET]' ELSE 'none' END AS list, CASE WHEN p_partkey % 3 = 0 THEN '[REDACTED_SECRET]' ELSE 'none' END AS inside FROM part")
+def redact_nested(spark, d):
+    """A key of a cloud account in a text, an array and a map."""
+    secret = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("AKIA"), F.lpad(F.col("p_partkey").cast("string"), 16, "7"))).otherwise("none")
+    x = read(spark, d, "part").select("p_partkey", F.concat(F.lit("key "), secret).alias("text"), F.array(F.lit("a"), secret).alias("list"), F.create_map(F.lit("k"), secret).alias("map"))
+    x = P.redact_values(x, ["text", "list", "map"])
+    return x.select("p_partkey", "text", F.array_join("list", ",").alias("list"), F.element_at("map", "k").alias("inside"))
+
+
+@register("memory_events", "SELECT event_type AS type, count(*)::BIGINT AS n, max(length('user ' || user_id || ' ' || repeat('x', (event_id % 30)::INTEGER))) AS longest FROM (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN 'nonsense' ELSE event_type END AS event_type FROM events) WHERE event_type <> 'nonsense' GROUP BY 1")
+def memory_events(spark, d):
+    e = read(spark, d, "events").select(F.when(F.col("event_id") % 11 == 0, "nonsense").otherwise(F.col("event_type")).alias("type"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" "), F.repeat(F.lit("x"), (F.col("event_id") % 30).cast("int"))).alias("summary"))
+    return P.memory_events(e).groupBy("type").agg(F.count("*").alias("n"), F.max(F.length("summary")).cast("long").alias("longest"))
+
+
+@register("memory_paths", "SELECT type, n, paths AS last_paths FROM (SELECT event_type AS type, count(*)::BIGINT AS n FROM events GROUP BY 1) JOIN (SELECT event_type AS type, string_agg('u' || user_id, ',' ORDER BY p) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS p FROM events) WHERE p <= 10 GROUP BY 1) USING (type)")
+def memory_paths(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+    return P.memory_paths(e).withColumn("last_paths", F.array_join("last_paths", ","))
+
+
+@register("ledger_artifacts", f"SELECT 'state' AS what, state AS name, count(*)::BIGINT AS n FROM ({LEDGER}) GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*)::BIGINT FROM ({LEDGER}) GROUP BY 2 UNION ALL SELECT 'blocking', 'rows', count(*)::BIGINT FROM ({LEDGER}) WHERE state IN ('resolver_missing', 'requires_runtime', 'failed_with_reason')")
+def ledger_artifacts(spark, d):
+    """The artifacts written, and read back."""
+    folder = _scratch(spark, "ledger")
+    P.ledger_artifacts(D.resolution(files(spark, d)), folder)
+    of = lambda what: spark.read.schema(f"{what} string, n long").json(f"{folder}/by_{what}").select(F.lit(what).alias("what"), F.col(what).alias("name"), "n")
+    blocking = spark.read.schema("file_id long").json(f"{folder}/blocking").agg(F.count("*").alias("n"))
+    return of("state").unionByName(of("kind")).unionByName(blocking.select(F.lit("blocking").alias("what"), F.lit("rows").alias("name"), "n"))
+
+
+@register("session_brief", f"SELECT risk, CASE WHEN NOT suggestion_allowed THEN 0 WHEN risk = 'LOW' THEN 90 WHEN risk = 'MEDIUM' THEN 65 ELSE 35 END AS health, concat_ws(',', CASE WHEN NOT destructive_allowed THEN 'delete' END, CASE WHEN NOT destructive_allowed THEN 'rename' END, CASE WHEN NOT repair_allowed THEN 'repair' END, CASE WHEN NOT suggestion_allowed THEN 'suggest' END) AS forbidden, CASE WHEN NOT suggestion_allowed THEN 'index the project' WHEN gaps > 0 THEN 'resolve blocking gaps' WHEN risk <> 'LOW' THEN 'review warnings' ELSE 'continue' END AS next_action FROM ({GATE}), (SELECT count_if(state IN ('resolver_missing', 'requires_runtime', 'failed_with_reason')) AS gaps FROM ({LEDGER}))")
+def session_brief(spark, d):
+    return P.brief(_gate(spark, d), D.coverage(D.resolution(files(spark, d))))
+
+
+@register("recent_events", "SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE now - ts <= INTERVAL 6 HOUR")
+def recent_events(spark, d):
+    e = read(spark, d, "events").select("event_id", "ts")
+    now = e.agg(F.max("ts").alias("now"))
+    return P.recent_events(e.crossJoin(F.broadcast(now)), F.col("now")).select("event_id")
+
+
+@register("replaced_children", "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q FROM lineitem WHERE l_orderkey % 4 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, 0.0::DOUBLE FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1")
+def replaced_children(spark, d):
+    """Every fourth order was read again, with one line each."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    again = li.where("l_orderkey % 4 = 0")
+    return P.replace_children(li, again.where("l_linenumber = 1").withColumn("q", F.lit(0.0)), again, "l_orderkey")
+
+
+@register("meta_upsert", "SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' || n_regionkey END AS value FROM nation UNION ALL SELECT r_name || '!', 'new' FROM region")
+def meta_upsert(spark, d):
+    """Key and value settings: some replaced, some added."""
+    n = read(spark, d, "nation")
+    old = n.select(F.col("n_name").alias("key"), F.concat(F.lit("old"), F.col("n_regionkey").cast("string")).alias("value"))
+    new = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.lit("new").alias("value")).unionByName(read(spark, d, "region").select(F.concat("r_name", F.lit("!")).alias("key"), F.lit("new").alias("value")))
+    return S.upsert(old, new, "key")
+
+
+@register("ledger_by_state", f"SELECT file_id, state, path FROM ({LEDGER}) l JOIN (SELECT file_id, path FROM ({FILES})) f USING (file_id)")
+def ledger_by_state(spark, d):
+    f = files(spark, d)
+    return D.resolution(f).select("file_id", "state").join(f.select("file_id", "path"), "file_id").sort("state", "path")
+
+
+@register("newest_artifacts", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def newest_artifacts(spark, d):
+    return P.newest(read(spark, d, "events"), "user_id", "event_id", "ts")

@@ -271,3 +271,45 @@ def test_watching_takes_each_file_once(spark, tmp_path):
     assert seen == ["a.py", "b.py"]
     stored = spark.createDataFrame([(f"file:{src}/a.py",), (f"file:{src}/gone.py",)], "path string")
     assert [r["path"].rsplit("/", 1)[-1] for r in streams.reconcile(spark, stored, str(src)).collect()] == ["gone.py"]
+
+
+def test_tables_without_two_numbers(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 1)], "s string, n int")
+    for df in (one, one.select("s"), one.where("false")):
+        assert tabular.correlations(df).count() == 0
+    assert {tuple(r) for r in tabular.hotspots(one).collect()} == {("constant", "n", 1.0)}
+
+
+def test_blank_cells_are_no_values(spark):
+    got = {r["name"]: r for r in tabular.profile(spark.createDataFrame([("", "1"), ("x", " 2.5 "), (None, "")], "a string, b string")).collect()}
+    assert (got["a"]["type"], got["a"]["nulls"], got["a"]["distinct"]) == ("string", 2, 1)
+    assert (got["b"]["type"], got["b"]["distinct"], got["b"]["min"], got["b"]["max"], got["b"]["mean"]) == ("number", 2, 1.0, 2.5, 1.75)
+
+
+def test_what_reads_as_a_number(spark):
+    cells = ["1d", "1f", "1", "-.5e3", "0x1F", "1.", "NaN", "1 2", "Infinity", "", "+7"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", numbers.is_number(F.col("c")).alias("n")).collect()
+    assert [r["c"] for r in rows if r["n"]] == ["1", "-.5e3", "0x1F", "1.", "Infinity", "+7"]
+
+
+def test_a_search_for_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "id long, text string")
+    assert retrieval.bm25(docs, []).count() == 0
+    cards = spark.createDataFrame([("n", "t")], "name string, text string")
+    assert retrieval.postings_lookup(retrieval.postings(cards), cards, "").count() == 0
+
+
+def test_tail_of_a_file(spark, tmp_path):
+    p = tmp_path / "x.log"
+    p.write_text("".join(f"line {i}\n" for i in range(100)))
+    tail = files.read_tail(spark, f"file://{p}", 25).orderBy("line")
+    assert [r["text"] for r in tail.collect()] == ["line 99", "line 98", "line 97"]
+    assert files.read_tail(spark, f"file://{p}", limit=2).count() == 2
+
+
+def test_places_over_several_ranges(spark):
+    from strataforge.lineage import numbered
+
+    df = spark.range(1000).repartition(7)
+    assert all(r["id"] == 999 - r["rank0"] for r in numbered(df, F.desc("id")).collect())
+    assert numbered(df.where("false"), F.col("id")).count() == 0
