@@ -75,11 +75,13 @@ class Model:
         return row, (begin, lang[order], np.log(2.0 * n[order] + 1)), np.log(0.5 / np.maximum(total, 0.5))
 
     def __getstate__(self) -> tuple:
-        return self.langs, self.rows, self.items, self.floors
+        """Workers get hashes of items in place of the items."""
+        self._forget()
+        return self.langs, self.items, self.floors, self.start, self.grams
 
     def __setstate__(self, state: tuple) -> None:
-        self.langs, self.rows, self.items, self.floors = state
-        self.start = None
+        self.langs, self.items, self.floors, self.start, self.grams = state
+        self._forget()
 
     def _forget(self) -> None:
         """Only the known words are left: their hashes in order, where their numbers begin, how many they are, and their table."""
@@ -105,11 +107,11 @@ class Model:
         chars = np.frombuffer(f" {' '.join(found)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.array([len(w) for w in found], np.int64) + 2
         first = np.cumsum(size - 1) - (size - 1)  # each word's first blank is the last one of the word before
-        table, total, known = np.full(len(found), len(self.rows)), np.zeros((len(found), langs)), np.zeros(len(found), np.int64)
+        table, total, known = np.full(len(found), len(self.items)), np.zeros((len(found), langs)), np.zeros(len(found), np.int64)
         for n in range(LONGEST, 0, -1):
             k = LONGEST - n + 1
             hashes, order = self.grams[k]
-            todo = np.flatnonzero((table == len(self.rows)) & (size >= n))
+            todo = np.flatnonzero((table == len(self.items)) & (size >= n))
             if not len(todo) or not len(hashes):
                 continue
             windows = size[todo] - n + 1
@@ -159,7 +161,7 @@ class Model:
             self._learn(hashes[new], [raw[starts[j] : ends[j]].decode() for j in where[new].tolist()])
         slot = np.searchsorted(self.hashes, hashes)[inverse]
         text = np.searchsorted(begins, starts, "right") - 1
-        tables, langs = len(self.rows) + 1, len(self.langs)
+        tables, langs = len(self.items) + 1, len(self.langs)
         by_table = np.bincount(text * tables + self.table[slot], minlength=len(texts) * tables).reshape(-1, tables)
         total = np.zeros((len(texts), langs))
         for k, floor in enumerate(self.floors):
