@@ -87,13 +87,21 @@ def mentions(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.explode(F.array_distinct(found)).alias("path"))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a whole text is one JSON value, as JSON.parse takes it. Spark's parsers stop at the value's end whatever follows, so the text is read as one of two items: a mark that it can't hold must be the other."""
+    mark = F.sha2(text, 256)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    items = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", strict)
+    return F.coalesce((F.size(items) == 2) & (F.get(items, F.lit(1)) == mark), F.lit(False))
+
+
 def audit_config(configs: DataFrame, tools: list[str]) -> DataFrame:
     """path, category, severity of findings in agent configurations (path, text): invalid JSON, no policy, waste of tokens, risky phrases, unknown tools."""
     tokens = estimate_tokens(F.col("text"))
     named = F.array_distinct(F.regexp_extract_all("text", F.lit(r"tool:([a-z_]+)"), F.lit(1)))
     known = F.array(*map(F.lit, tools)) if tools else F.array().cast("array<string>")
     rules = [
-        (F.endswith("path", F.lit(".json")) & F.try_parse_json("text").isNull(), "invalid_json", F.lit("high")),
+        (F.endswith("path", F.lit(".json")) & ~is_json(F.col("text")), "invalid_json", F.lit("high")),
         (~F.lower("text").rlike("policy|must not|never"), "missing_policy", F.lit("medium")),
         (tokens > 4000, "token_waste", F.when(tokens > 8000, "high").otherwise("medium")),
         (F.lower("text").rlike(r"read (the )?(whole|entire) (repo|codebase)|disable (the )?sandbox"), "anti_pattern", F.lit("high")),

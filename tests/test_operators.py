@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.functions import numbers, text, vectors
-from strataforge.operators import decisions, graph, parsing, relational, retrieval, state, tabular
+from strataforge.operators import decisions, graph, parsing, relational, reports, retrieval, state, tabular
 from strataforge.sources import files
 from strataforge.streaming import streams
 
@@ -313,3 +313,11 @@ def test_places_over_several_ranges(spark):
     df = spark.range(1000).repartition(7)
     assert all(r["id"] == 999 - r["rank0"] for r in numbered(df, F.desc("id")).collect())
     assert numbered(df.where("false"), F.col("id")).count() == 0
+
+
+def test_json_is_tested_to_its_end(spark):
+    fine = ['{"a": 1}', ' {"a": [1, {"b": null}], "c": "}"}\n', '"s"', "7", "null", "[]", '{"a": 1, "a": 2}']
+    bad = ["8294846167456848 With words", '{"a": 1} x', '{"a": 1', "1] 2", "[1]]", "1, 2", '1, "x"] ', "{'a': 1}", "NaN", "", "  ", "words", None]
+    df = spark.createDataFrame([(f"{i}.json", t) for i, t in enumerate(fine + bad)], "path string, text string")
+    got = {r["path"] for r in reports.audit_config(df, []).where("category = 'invalid_json'").collect()}
+    assert got == {f"{i}.json" for i in range(len(fine), len(fine + bad))}
