@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataforge.operators import parsing
 from strataforge.operators.state import needs_index, stale, upsert
-from strataforge.sources.files import scan
+from strataforge.sources.files import contents, scan
 
 #: How a file is told to have imports.
 IMPORTS = r"(?m)^\s*(import|from|use|using|require|#\s*include)\b|\brequire\s*\("
@@ -34,7 +34,7 @@ def index_tree(spark: SparkSession, root: str, store: str, previous: Index | Non
     With a previous index, only new, changed and incomplete files are parsed, what is gone goes, and all else is carried over;
     then links are resolved anew over all files. An empty tree, or one where nothing changed, is a run like any other.
     """
-    found = scan(spark, root).where("status = 'authored'").select("path", F.col("content").cast("string").alias("text"))
+    found = contents(scan(spark, root).where("status = 'authored'").select("path"), root).select("path", F.col("content").cast("string").alias("text"))
     found = found.select("path", "text", F.sha2(F.col("text"), 256).alias("hash"), F.col("text").rlike(IMPORTS).alias("has_imports"))
     found.write.parquet(f"{store}/scan")
     found = spark.read.parquet(f"{store}/scan")

@@ -287,6 +287,7 @@ def _modules(spark, d, edited: bool) -> str:
     p = read(spark, d, "part").select("p_partkey").where(k % 7 != 0) if edited else read(spark, d, "part").select("p_partkey")
     name = F.concat(F.when((k % 5 == 0) & F.lit(edited), F.lit("new_")).otherwise("old_"), k.cast("string"))
     text = F.concat(F.lit("from ./f"), (k + 1).cast("string"), F.lit(" import x\nimport {y} from './f"), (k + 1).cast("string"), F.lit("'\nfunction "), name, F.lit("() { return 1 }\n"))
+    p = p.repartition(2 * spark.sparkContext.defaultParallelism)  # ids are dealt out, so that all tasks write
     S.write_tree(p.select(F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("content")), root)
     return root
 

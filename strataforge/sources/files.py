@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
@@ -10,8 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from strataforge.functions.text import contained, extension
+from strataforge.lineage import cut
 from strataforge.operators.decisions import GENERATED, LOCK, SOURCE
 
 IGNORED = ["node_modules", "dist", "build", ".git", ".next", "coverage", "vendor", "__pycache__", "target", "out"]
@@ -50,10 +53,13 @@ def write_tree(files: DataFrame, root: str) -> int:
         from pyarrow import fs
 
         place, base = fs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = f"{base}/{path}"
-                place.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                if (folder := name.rsplit("/", 1)[0]) != made:
+                    place.create_dir(folder, recursive=True)
+                    made = folder
                 with place.open_output_stream(name) as f:
                     f.write(content or b"")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
@@ -89,13 +95,109 @@ def merged_config(file: DataFrame, env: DataFrame) -> DataFrame:
     return x.select("key", F.coalesce("_env", "_file").alias("value"), F.when(F.col("_env").isNotNull(), "env").otherwise("file").alias("origin"))
 
 
+#: Rows of a batch of names; rows and bytes of a batch of contents.
+NAMES, FILES, BYTES = 10_000, 1000, 4 << 20
+
+
+def _opened(root: str) -> bool:
+    """Whether Python workers can open a root: a folder of a local disk or another file system of pyarrow's."""
+    from pyarrow import fs
+
+    try:
+        place, base = fs.FileSystem.from_uri(root)
+        return place.get_file_info(base).type == fs.FileType.Directory
+    except (OSError, ValueError):
+        return False
+
+
+def _width(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _entries(place, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """name, whether a folder, size, modified (ms) of what is in a folder, one after another where the disk is a local one; not what Spark's readers hide."""
+    from pyarrow import fs
+
+    hidden = lambda name: name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    if isinstance(place, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                if not hidden(x.name) and (x.is_dir() or x.is_file()):
+                    at = x.stat()
+                    yield x.name, x.is_dir(), at.st_size, at.st_mtime_ns // 1_000_000
+    else:
+        for x in place.get_file_info(fs.FileSelector(folder)):
+            if not hidden(x.base_name) and x.type in (fs.FileType.File, fs.FileType.Directory):
+                yield x.base_name, x.type == fs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1_000_000
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), size, modified of all files of a tree that are not empty, but for hidden ones.
+
+    Tasks list the folders, a level of the tree after another, so the driver holds no names, however many there are. One folder
+    is one task's work. Where Python workers can't open the root, Spark's reader lists it, which does keep all names on the driver.
+    """
+    if not _opened(root):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return raw.select(below(root, F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(root)
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["path", "folder", "size", "ms"])
+        rows = []
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                for name, *rest in _entries(place, f"{base}/{folder}"):
+                    rows.append((f"{folder}/{name}" if folder else name, *rest))
+                    if len(rows) == NAMES:
+                        yield pack(rows)
+                        rows = []
+        if rows:
+            yield pack(rows)
+
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while out is None or not level.isEmpty():
+        found = cut(level.mapInArrow(run, "path string, folder boolean, size long, ms long"))
+        level = found.where("folder").select("path").repartition(_width(spark), "path")
+        files = found.where("NOT folder AND size > 0")
+        out = files if out is None else out.unionByName(files)
+    return out.select("path", "size", F.timestamp_millis("ms").alias("modified"))
+
+
+def contents(files: DataFrame, root: str, most: int | None = None) -> DataFrame:
+    """files (path below a root, ...) with content (or its first ``most`` bytes), read by tasks in batches of some MB. Only these files are opened."""
+    spark = files.sparkSession
+    if not _opened(root):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        content = F.col("content") if most is None else F.substr("content", F.lit(1), F.lit(most))
+        return files.join(raw.select(below(root, F.col("path")).alias("path"), content.alias("content")), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, path in enumerate(batch.column("path").to_pylist(), 1):
+                with place.open_input_stream(f"{base}/{path}") as f:
+                    held.append(f.read(most))
+                size += len(held[-1])
+                if i == batch.num_rows or len(held) == FILES or size >= BYTES:
+                    part = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], [*part.schema.names, "content"])
+                    first, held, size = i, [], 0
+
+    return files.repartition(_width(spark), "path").mapInArrow(run, StructType([*files.schema]).add("content", BinaryType()))
+
+
 def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, include_text: bool = False) -> DataFrame:
-    """path (below the root), size, modified, content, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty (where the reader lists those), unsupported_ext, generated, minified, too_large. Nothing stops a scan early; folders and files whose names begin with a dot or an underscore are not listed by Spark's readers."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    x = raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    # The size is tested by the reader, so only large files are opened for their heads, and others only if their content is asked for.
-    heads = raw.where(F.col("length") > TESTED).select("path", minified(F.col("content")).alias("_minified"))
-    x = x.join(heads, "path", "left").withColumn("path", below(root, F.col("path")))
+    """path (below the root), size, modified, status of all files of a tree: authored, or why not: excluded_dir, ignored, empty (where the reader lists those), unsupported_ext, generated, minified, too_large. Nothing stops a scan early; folders and files whose names begin with a dot or an underscore are not listed, as by Spark's readers. contents() reads the files."""
+    x = listed(spark, root)
+    # Only large files are opened, for their heads.
+    heads = contents(x.where(F.col("size") > TESTED), root, HEAD).withColumn("_minified", minified(F.col("content"))).drop("content")
+    x = x.where(F.col("size") <= TESTED).withColumn("_minified", F.lit(False)).unionByName(heads)
     folder = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in IGNORED) + r"|\.[^/]+)/"
     known = extension(F.col("path")).isin(SOURCE + (TEXTS if include_text else []))
     status = (

@@ -315,6 +315,25 @@ def test_places_over_several_ranges(spark):
     assert numbered(df.where("false"), F.col("id")).count() == 0
 
 
+def test_scan_keeps_no_names_on_the_driver(spark, tmp_path, monkeypatch):
+    """Tasks list the tree: what Spark's reader, whose list of files is the driver's, says of it is the same, and it isn't asked."""
+    for name, body in {"src/a.ts": "let a = 1\n", "src/a b%20.ts": "let b = 1\n", "src/deep/er/c.py": "c = 1\n", "src/_hidden.ts": "x\n", "_gone/d.ts": "x\n", "_k=v/e.ts": "x\n", ".git/f.ts": "x\n", "g.ts._COPYING_": "x\n", "empty.ts": "", "big.js": "x" * 600_000}.items():
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True, parents=True)
+        p.write_text(body)
+    monkeypatch.setattr(files, "_opened", lambda root: False)
+    want = sorted(map(tuple, files.contents(files.scan(spark, str(tmp_path)), str(tmp_path)).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(files, "FILES", 2)
+    assert [r[0] for r in want] == ["_k=v/e.ts", "big.js", "src/a b%20.ts", "src/a.ts", "src/deep/er/c.py"]
+    found = files.contents(files.scan(spark, str(tmp_path)), str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.inputFiles() == []
+    assert files.scan(spark, str(tmp_path / "src" / "deep" / "er")).first()["path"] == "c.py"
+    (tmp_path / "none").mkdir()
+    assert files.scan(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_json_is_tested_to_its_end(spark):
     fine = ['{"a": 1}', ' {"a": [1, {"b": null}], "c": "}"}\n', '"s"', "7", "null", "[]", '{"a": 1, "a": 2}']
     bad = ["8294846167456848 With words", '{"a": 1} x', '{"a": 1', "1] 2", "[1]]", "1, 2", '1, "x"] ', "{'a': 1}", "NaN", "", "  ", "words", None]
