@@ -340,3 +340,14 @@ def test_json_is_tested_to_its_end(spark):
     df = spark.createDataFrame([(f"{i}.json", t) for i, t in enumerate(fine + bad)], "path string, text string")
     got = {r["path"] for r in reports.audit_config(df, []).where("category = 'invalid_json'").collect()}
     assert got == {f"{i}.json" for i in range(len(fine), len(fine + bad))}
+
+
+def test_index_runs_asks_no_reader_for_a_list_of_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from strataforge.plans import trees
+
+    spark.range(30).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    real = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: pytest.fail("the driver lists all files") if source == "binaryFile" else real(self, source))
+    assert trees.index_runs(spark, str(tmp_path)).collect() == [(30, 5, 25)]
