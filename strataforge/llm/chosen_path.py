@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.llm import textvec
-from strataforge.llm.common import cut, groups, join_hot, maybe_in, small_batches, table, tidy
+from strataforge.llm.common import cut, groups, join_hot, maybe_in, relieve, small_batches, table, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that the paths must bring together, and that the sketches must let through.
@@ -123,18 +123,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node connected to each node of the edges (a, b), by large and small stars until nothing changes."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, total = None, 2 * e.count()
-    # Edges don't grow in number, so the checkpoints, and the shuffles that read them, need no more partitions than this.
+    # Edges don't grow in number, so the checkpoints, and the shuffles that read them, need no more partitions than this. What a
+    # join reads three times is a checkpoint, too: else each of the three is a shuffle with tasks of its own, all told to the driver.
     n = _parts(total, EDGE_ROWS)
     e = e.coalesce(n)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k").coalesce(n))
         large = join_hot(both, low, "a", "k", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large.coalesce(n))
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).coalesce(n))
         small = join_hot(large, low, "a", "k", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(small.coalesce(n))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        relieve(e.sparkSession)
         if now == before:
             break
         before = now
@@ -201,6 +203,7 @@ def buckets(nodes: DataFrame, runs: int, equal: int, limit: int = BUCKET) -> tup
         if big.isEmpty():
             break
         left, linked = thinned(big, nodes, equal, limit, turn, total)
+        relieve(nodes.sparkSession)
         edges.append(linked)
         left = cut(_sized(left, total).coalesce(_parts(total, EDGE_ROWS)))
         out.append(left.where(F.col("size") <= limit).select(F.col("path").alias("cell"), "node"))
@@ -465,9 +468,11 @@ def _classified(docs: DataFrame, threshold: float, words: int, recall: float) ->
     total = base.count()
     nodes = cut(nodes.coalesce(_parts(total, NODE_ROWS)))
     cells, linked = buckets(nodes, runs, equal)
+    relieve(docs.sparkSession)
     near = components(candidate_edges(cells, nodes, equal).unionByName(linked))
     members = cut(near.join(nodes.select("node", "id", "w", "n"), "node").coalesce(_parts(total, NODE_ROWS)))
     found = verified(members, docs, threshold, words)
+    relieve(docs.sparkSession)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     root = found.where(~F.col("open")).select("node", F.col("to").alias("class"))
     spread = found.where("open").select(F.col("node").alias("a"), F.col("to").alias("b"))

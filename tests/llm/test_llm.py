@@ -790,3 +790,28 @@ def test_pack_of_a_table(spark):
             ids = [*t.whole.encode(TOKENS[r["doc_id"] - 20], add_special_tokens=False).ids, 2]
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_components_take_few_tasks_whatever_the_shuffle_partitions(spark):
+    """What a join of the stars reads thrice is made once: the driver hears of each task."""
+    from strataforge.llm.common import relieve
+
+    edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40) if i % 8 != 7], "a binary, b binary")
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    sc = spark.sparkContext
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("stars", "stars")
+        got = {r["node"]: r["root"] for r in chosen_path.components(edges).collect()}
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("stars")]
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+        done = sum(s.numCompletedTasks for s in stages if s)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {bytes([i]): bytes([i // 8 * 8]) for i in range(40)}
+    assert done < 850
+    relieve(spark)
