@@ -45,7 +45,8 @@ def index_tree(spark: SparkSession, root: str, store: str, previous: Index | Non
     new = spark.read.parquet(f"{store}/parsed")
     of = lambda what: F.count_if(F.col("what") == what)
     counts = new.groupBy("path").agg(of("symbol").alias("symbols"), of("diagnostic").alias("blindspots"), of("import").alias("imports"))
-    rows = todo.select("path", "hash").join(counts, "path", "left").na.fill(0, ["symbols", "blindspots", "imports"])
+    # As many rows as files, of which the estimate from compressed columns is too low: not broadcast.
+    rows = todo.select("path", "hash").join(counts.hint("merge"), "path", "left").na.fill(0, ["symbols", "blindspots", "imports"])
     if previous is not None:
         gone = stale(previous.files.select("path"), found.select("path"), "path")
         kept = previous.files.join(gone, "path", "left_anti")

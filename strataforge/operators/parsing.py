@@ -136,7 +136,8 @@ def parse_files(files: DataFrame) -> DataFrame:
 def resolve_specifiers(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """path, spec, target of imports (path, spec): relative ones and aliases, against files (path); null where nothing fits.
 
-    Each import becomes its few possible files, which are matched by equality; the first that exists wins.
+    Each import becomes its few possible files, which are matched by equality; the first that exists wins. They are never
+    broadcast: Spark's estimate of their size, from compressed columns and without the explosion, is far too low for the driver.
     """
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     joined = F.when(F.startswith("spec", F.lit(".")), F.concat(folder, "spec"))
@@ -148,7 +149,7 @@ def resolve_specifiers(imports: DataFrame, files: DataFrame, aliases: dict[str,
     tries = F.concat(F.array(*(F.concat("base", F.lit(e)) for e in ends)), F.array(F.regexp_replace("base", r"\.js$", ".ts"), F.regexp_replace("base", r"\.jsx$", ".tsx")))
     x = imports.select("path", "spec").distinct().withColumn("base", clean)
     each = x.where("base IS NOT NULL").select("path", "spec", F.posexplode(tries).alias("p", "target"))
-    hit = each.join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "spec").agg(F.min(F.struct("p", "target")).alias("t"))
+    hit = each.hint("merge").join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "spec").agg(F.min(F.struct("p", "target")).alias("t"))
     return x.join(hit, ["path", "spec"], "left").select("path", "spec", F.col("t.target").alias("target"))
 
 

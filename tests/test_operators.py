@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -351,3 +352,14 @@ def test_index_runs_asks_no_reader_for_a_list_of_files(spark, tmp_path, monkeypa
     real = DataFrameReader.format
     monkeypatch.setattr(DataFrameReader, "format", lambda self, source: pytest.fail("the driver lists all files") if source == "binaryFile" else real(self, source))
     assert trees.index_runs(spark, str(tmp_path)).collect() == [(30, 5, 25)]
+
+
+def test_possible_files_of_imports_are_not_broadcast(spark, tmp_path):
+    n = F.col("id").cast("string")
+    found = spark.range(2000).select(F.concat(F.lit("src/f"), n, F.lit(".ts")).alias("path"), F.concat(F.lit("./f"), (F.col("id") + 1).cast("string")).alias("spec"))
+    found.write.parquet(str(tmp_path / "imports"))
+    found = spark.read.parquet(str(tmp_path / "imports"))
+    links = parsing.resolve_specifiers(found, found.select("path"))
+    assert re.findall(r"(\w+Join)\s+\[target", links._jdf.queryExecution().executedPlan().toString()) == ["SortMergeJoin"]
+    assert links.where("target = concat('src/f', CAST(regexp_extract(path, '([0-9]+)', 1) + 1 AS INT), '.ts')").count() == 1999
+    assert links.where("target IS NULL").count() == 1
