@@ -10,6 +10,7 @@ MODULES = {
     "op2_line_dedup": "line_dedup",
     "op3_ngram_jaccard_join": "chosen_path",
     "op4_url_filters": "url_filters",
+    "op4_url_filters_any_length": "url_filters",
     "op5_language_id": "language_id",
     "op6_nearest_neighbours": "nearest",
     "op7_warc": "warc",

@@ -303,6 +303,23 @@ def test_rules_of_any_length_against_brute_force(spark):
     assert verdicts == {u: "block" if any(w <= s for w in want) else "allow" for (u, _), (s, _) in zip(rows, sets, strict=True)}
 
 
+def test_query_of_any_length_blocks_what_only_longer_rules_fit(spark, tmp_path):
+    from strataforge.llm import queries
+    from tests.compare import duck, rows
+
+    urls = [("http://x/a/b/c", 1)] * 4 + [(f"http://x/{two}", 0) for two in ("a/b", "a/c", "b/c")] * 10 + [("http://x/a/b/d/e", None), (None, 1), ("http://y/e/c/f/b/a", None), ("http://y/a/b", None), ("http://z.com/en/a/b/c", 0)]
+    spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(urls)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    blocked = {}
+    for name in ("op4_url_filters", "op4_url_filters_any_length"):
+        df = queries.queries()[name](spark, str(tmp_path))
+        got = df.collect()
+        blocked[name] = {r["page_id"] for r in got if r["verdict"] == "block"}
+        want = duck(str(tmp_path)).sql(queries.oracle_sql()[name])
+        assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+    assert blocked == {"op4_url_filters": {38}, "op4_url_filters_any_length": {0, 1, 2, 3, 36, 38}}
+
+
 # ---- 5 language
 
 def test_language_backoff_and_unknown(spark):
